@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters Python's str.strip() removes.
-UNICODE_SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-
 def floor_at_zero(value: Column) -> Column:
     """``max(0, value)`` that stays NULL for a NULL value (Spark's greatest skips NULLs)."""
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), value))
@@ -38,11 +33,6 @@ def event_micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def strip(text: Column) -> Column:
-    """Remove leading and trailing whitespace of every kind (``trim`` takes spaces only)."""
-    return F.regexp_replace(text, f"(^{UNICODE_SPACE}+)|({UNICODE_SPACE}+$)", "")
-
-
 def round_exact(value: Column, digits: int) -> Column:
     """Round half-even on the exact binary value, as printf does.
 

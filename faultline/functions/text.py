@@ -1,38 +1,37 @@
-"""Paragraph splitting and greedy packing, one row in and one array out."""
+"""Paragraph packing: one text in, an array of chunks out, linear in the text."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from faultline.functions.scalar import strip
+BLANK_LINE = "\n\n"  # fixed value
 
-BLANK_LINE = "\n\n"
 
+def pack_paragraphs(text: str, max_chars: int) -> list[str]:
+    """Chunks of consecutive paragraphs.
 
-def paragraphs(text: Column) -> Column:
-    """Blocks between blank lines, stripped, empties dropped."""
-    blocks = F.transform(F.split(text, "\n\n"), strip)
-    return F.filter(blocks, lambda b: F.length(b) > 0)
-
-
-def pack(blocks: Column, max_chars: int) -> Column:
-    """Greedy packing in order: add a block while buffer + block + 2 stays in the limit.
-
-    A block over the limit is kept whole. The array is only extended when a
-    chunk closes, so the fold stays cheap on long texts.
+    A paragraph joins the open chunk while chunk + paragraph + 2 stays within the
+    limit. One that is longer than the limit becomes a chunk of its own, whole.
     """
-
-    def flush(state: Column) -> Column:
-        return F.when(F.length(state.buf) > 0, F.concat(state.out, F.array(state.buf))).otherwise(state.out)
-
-    def step(state: Column, block: Column) -> Column:
-        fits = F.length(state.buf) + F.length(block) + 2 <= max_chars
-        joined = F.when(F.length(state.buf) > 0, F.concat(state.buf, F.lit(BLANK_LINE), block)).otherwise(block)
-        return F.struct(
-            F.when(fits, state.out).otherwise(flush(state)).alias("out"),
-            F.when(fits, joined).otherwise(block).alias("buf"),
+    chunks: list[list[str]] = []
+    used = 0
+    for block in filter(None, map(str.strip, text.split(BLANK_LINE))):
+        if not chunks or used + len(block) + 2 > max_chars:
+            chunks.append([block])
+            used = len(block)
+        else:
+            chunks[-1].append(block)
+            used += len(BLANK_LINE) + len(block)
+    return [BLANK_LINE.join(chunk) for chunk in chunks]
+
+
+def packed_chunks(text: Column, max_chars: int) -> Column:
+    @F.arrow_udf("array<string>")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pa.array(
+            [None if t is None else pack_paragraphs(t, max_chars) for t in texts.to_pylist()], pa.list_(pa.string())
         )
 
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("buf"))
-    return F.aggregate(blocks, start, step, flush)
+    return packed(text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultline import constants as K
 from faultline import schemas
 from faultline.functions.scalar import lookup
-from faultline.functions.text import pack, paragraphs
+from faultline.functions.text import packed_chunks
 
 CORPUS_COLUMNS = ("text", "source", "chunk", "asset_id", "asset_type")
 
@@ -16,7 +16,7 @@ CORPUS_COLUMNS = ("text", "source", "chunk", "asset_id", "asset_type")
 def chunk_texts(df: DataFrame, text: str = "text", max_chars: int = K.CHUNK_CHARS) -> DataFrame:
     """Replace each whole text by its chunks, numbered from 0. Map-only."""
     others = [c for c in df.columns if c != text]
-    chunks = F.posexplode(pack(paragraphs(F.col(text)), max_chars)).alias("chunk", text)
+    chunks = F.posexplode(packed_chunks(F.col(text), max_chars)).alias("chunk", text)
     return df.select(*others, chunks)
 
 

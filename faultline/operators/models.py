@@ -76,8 +76,8 @@ def embed(df: DataFrame, text: str, model: EmbeddingModel, output: str = "embedd
     Rows with a NULL text are dropped: a lateral function that returns nothing joins nothing.
     """
 
-    def answer(texts: list[str]) -> list[list[float]]:
-        vectors = [list(map(float, v)) for v in _with_retries(lambda: model.call(texts), model.retries)]
+    def answer(texts: list[str]) -> list[Sequence[float]]:
+        vectors = list(_with_retries(lambda: model.call(texts), model.retries))
         if len(vectors) != len(texts):
             raise ValueError(f"{model.name} returned {len(vectors)} vectors for {len(texts)} texts")
         wrong = {len(v) for v in vectors} - {model.dim}

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import constants as K
 from faultline import schemas
 from faultline.functions import vectors
-from faultline.functions.hashing import sparse_hash_vector
+from faultline.functions.hashing import hash_batch, sparse_hash_vector
 from faultline.operators import (
     corpus as corpus_ops,
 )
@@ -261,7 +260,7 @@ CTES["doc_vec"] = CTES["corpus_vec"].replace("chunk_id", "doc_id").replace("FROM
 @query("SELECT doc_id, cast(idx AS int) AS idx, cast(w AS int) AS w FROM doc_vec")
 def hash_embed_sparse(spark, d):
     docs = domain.table(spark, d, "documents").select("doc_id", sparse_hash_vector(F.col("text"), K.EMBEDDING_DIM).alias("v"))
-    return docs.select("doc_id", F.inline("v"))
+    return docs.select("doc_id", F.inline(F.arrays_zip("v.at", "v.w")).alias("idx", "w"))
 
 
 def _centroids(vectors_df: DataFrame) -> DataFrame:
@@ -317,15 +316,14 @@ def vector_top3_lsh(spark, d):
 def hash_model(dim: int) -> EmbeddingModel:
     """The hash embedder as an external model, to exercise the provider interface."""
 
-    def one(text: str) -> list[float]:
-        vector = [0.0] * dim
-        for token in re.findall("[a-z0-9]+", text.lower()):
-            digest = int(hashlib.md5(token.encode()).hexdigest(), 16)
-            vector[digest % dim] += -1.0 if digest >> 8 & 1 else 1.0
-        length = sum(x * x for x in vector) ** 0.5 or 1.0
-        return [x / length for x in vector]
+    def call(texts: list[str]) -> np.ndarray:
+        offsets, at, w = hash_batch(texts, dim)
+        out = np.zeros((len(texts), dim))
+        out[np.repeat(np.arange(len(texts)), np.diff(offsets)), at] = w
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return out / np.where(length == 0.0, 1.0, length)
 
-    return EmbeddingModel("hash", dim, lambda texts: [one(t) for t in texts], batch_size=64)
+    return EmbeddingModel("hash", dim, call, batch_size=64)
 
 
 @query("""
