@@ -57,11 +57,13 @@ def _halo_rows(
     last_first = Window.partitionBy(key, SLICE).orderBy(*desc_all(order))
     tails = sliced.withColumn("_back", F.row_number().over(last_first)).filter(F.col("_back") <= preceding)
     in_order = Window.partitionBy(key).orderBy(*order)
-    tails = tails.withColumn("_pos", F.row_number().over(in_order)).drop("_back")
-    starts = tails.groupBy(key, SLICE).agg(F.min("_pos").alias("_first")).filter(F.col("_first") > 1)
-    wanted = starts.select(
-        key,
-        SLICE,
-        F.explode(F.sequence(F.greatest(F.lit(1), F.col("_first") - preceding), F.col("_first") - 1)).alias("_pos"),
+    first_of_slice = F.lag(SLICE).over(in_order).isNull() | (F.lag(SLICE).over(in_order) != F.col(SLICE))
+    tails = tails.withColumns({"_pos": F.row_number().over(in_order), "_first": first_of_slice})
+    # At most 1,001 starts per key; a row serves every later slice it is close enough to.
+    start = F.when(F.col("_first"), F.struct(F.col("_pos").alias("pos"), F.col(SLICE).alias("slice")))
+    tails = tails.withColumn("_starts", F.collect_list(start).over(Window.partitionBy(key)))
+    position = F.col("_pos")
+    served = F.filter("_starts", lambda s: (s.pos > position) & (s.pos - preceding <= position))
+    return tails.withColumn(SLICE, F.explode(F.transform(served, lambda s: s["slice"]))).select(
+        key, *order, value, SLICE
     )
-    return tails.drop(SLICE).join(wanted, [key, "_pos"]).drop("_pos")

@@ -45,7 +45,7 @@ def asof_join(
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction must be backward or forward, not {direction!r}")
     if strategy == "auto":
-        strategy = "interval" if direction == "backward" and _is_small(right, key) else "merge"
+        strategy = asof_strategy(right, key) if direction == "backward" else "merge"
     if strategy == "interval":
         if direction != "backward":
             raise ValueError("interval joins look backward only")
@@ -53,11 +53,12 @@ def asof_join(
     return _merge_join(left, right, payload, key, left_ts, right_ts, tie, direction, slices)
 
 
-def _is_small(right: DataFrame, key: str) -> bool:
-    rows, most = (
-        right.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
-    )
-    return rows <= BROADCAST_ROWS and (most or 0) <= BROADCAST_VERSIONS_PER_KEY
+def asof_strategy(right: DataFrame, key: str = "asset_id") -> str:
+    """``interval`` if the right side is proven small, in rows and per key, else ``merge``."""
+    per_key = right.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows, most = per_key.agg(F.sum("n"), F.max("n")).first()
+    small = (rows or 0) <= BROADCAST_ROWS and (most or 0) <= BROADCAST_VERSIONS_PER_KEY
+    return "interval" if small else "merge"
 
 
 def _alive(right: DataFrame) -> Column:

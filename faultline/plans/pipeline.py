@@ -11,7 +11,7 @@ from faultline import constants as K
 from faultline.functions.hashing import sparse_hash_vector
 from faultline.operators import diagnosis, incidents, planning, recovery, scoring
 from faultline.operators.anomaly import rolling_zscore
-from faultline.operators.asof import asof_join
+from faultline.operators.asof import asof_join, asof_strategy
 from faultline.operators.models import TextModel
 from faultline.operators.slicing import Slices, hot_slices
 from faultline.session import materialize
@@ -20,11 +20,16 @@ CHUNK_ID = "chunk_id"
 
 
 def with_versions(
-    telemetry: DataFrame, specs: DataFrame, registry: DataFrame, *, slices: Slices | None = None, strategy: str = "auto"
+    telemetry: DataFrame,
+    specs: DataFrame,
+    registry: DataFrame,
+    *,
+    slices: Slices | None = None,
+    registry_strategy: str = "auto",
 ) -> DataFrame:
     """Telemetry with the spec and tie assets valid at each reading."""
-    with_specs = asof_join(telemetry, specs, payload=scoring.SPEC_COLUMNS, slices=slices, strategy=strategy)
-    return asof_join(with_specs, registry, payload=["tie_assets"], slices=slices, strategy=strategy)
+    with_specs = asof_join(telemetry, specs, payload=scoring.SPEC_COLUMNS, slices=slices)
+    return asof_join(with_specs, registry, payload=["tie_assets"], slices=slices, strategy=registry_strategy)
 
 
 def score(
@@ -34,10 +39,11 @@ def score(
     *,
     order: tuple[str, ...] = ("ts", "event_id"),
     slices: Slices | None = None,
+    registry_strategy: str = "auto",
 ) -> DataFrame:
     """Readings with z-score, envelope, features, fault score and severity."""
     anomalies = rolling_zscore(telemetry, order=order, slices=slices)
-    return grade(with_versions(anomalies, specs, registry, slices=slices))
+    return grade(with_versions(anomalies, specs, registry, slices=slices, registry_strategy=registry_strategy))
 
 
 def grade(versioned: DataFrame) -> DataFrame:
@@ -71,8 +77,11 @@ def diagnose(
     return diagnosis.diagnose(raised, diagnosis.with_context(retrieved), model, as_of)
 
 
-def plan(diagnosed: DataFrame, registry: DataFrame, crews: DataFrame, *, slices: Slices | None = None) -> DataFrame:
-    base = planning.plan_base(diagnosed, registry, slices=slices)
+def plan(
+    diagnosed: DataFrame, registry: DataFrame, crews: DataFrame, *,
+    slices: Slices | None = None, registry_strategy: str = "auto",
+) -> DataFrame:
+    base = planning.plan_base(diagnosed, registry, slices=slices, strategy=registry_strategy)
     return planning.build_plans(planning.choose_crews(base, crews), as_of=F.col("decided_ts"))
 
 
@@ -95,10 +104,12 @@ def decide(
     model calls are written out between jobs.
     """
     slices = hot_slices(telemetry, rows_per_slice=rows_per_slice)
-    scored = materialize(score(telemetry, specs, registry, order=order, slices=slices))
+    found = asof_strategy(registry)
+    scored = materialize(score(telemetry, specs, registry, order=order, slices=slices, registry_strategy=found))
     raised = materialize(incidents.build_incidents(scored))
     diagnosed = materialize(diagnose(raised, corpus, model=model, as_of=F.col("ts")))
-    planned = materialize(plan(diagnosed, registry, planning.crew_latest(pings, crew_order), slices=slices))
+    crews = planning.crew_latest(pings, crew_order)
+    planned = materialize(plan(diagnosed, registry, crews, slices=slices, registry_strategy=found))
     at = F.col("ts")
     executed = planning.executed_actions(planned, at)
     recovered = recovery.first_recovery(
