@@ -53,22 +53,22 @@ def sparse_hash_vector(text: Column, dim: int) -> Column:
     return hashed(text)
 
 
-def densify(sparse: Column, dim: int) -> Column:
-    """L2-normalised ``array<double>``; a text without tokens gives the zero vector."""
-    squares = F.aggregate(sparse.w, F.lit(0).cast("long"), lambda acc, w: acc + w.cast("long") * w)
-    norm = F.sqrt(squares.cast("double"))
-    scale = F.when(norm == 0.0, F.lit(1.0)).otherwise(norm)
-    zero = F.lit(0.0)
-    filled = F.transform(
-        F.arrays_zip(sparse.at.alias("at"), sparse.w.alias("w")),
-        lambda e, i: F.concat(
-            F.array_repeat(zero, e.at - F.coalesce(F.get(sparse.at, i - 1), F.lit(-1)) - 1),
-            F.array(e.w / scale),
-        ),
-    )
-    last = F.coalesce(F.try_element_at(sparse.at, F.lit(-1)), F.lit(-1))
-    return F.concat(F.flatten(filled), F.array_repeat(zero, F.lit(dim) - 1 - last))
+def dense_rows(texts: list[str | None], dim: int) -> np.ndarray:
+    """L2-normalised vectors; a text without tokens gives the zero vector."""
+    offsets, at, w = hash_batch(texts, dim)
+    out = np.zeros((len(texts), dim))
+    out[np.repeat(np.arange(len(texts)), np.diff(offsets)), at] = w
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(length == 0.0, 1.0, length)
 
 
 def hash_embedding(text: Column, dim: int) -> Column:
-    return densify(sparse_hash_vector(text, dim), dim)
+    """The dense ``array<float>`` form, for tables that store embeddings."""
+
+    @F.arrow_udf("array<float>")
+    def embedded(texts: pa.Array) -> pa.Array:
+        rows = dense_rows(texts.to_pylist(), dim).astype(np.float32)
+        offsets = np.arange(0, rows.size + 1, dim, dtype=np.int32)
+        return pa.ListArray.from_arrays(offsets, rows.ravel())
+
+    return embedded(text)

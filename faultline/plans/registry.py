@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import constants as K
 from faultline import schemas
 from faultline.functions import vectors
-from faultline.functions.hashing import hash_batch, sparse_hash_vector
+from faultline.functions.hashing import dense_rows, sparse_hash_vector
 from faultline.operators import (
     corpus as corpus_ops,
 )
@@ -315,15 +314,7 @@ def vector_top3_lsh(spark, d):
 
 def hash_model(dim: int) -> EmbeddingModel:
     """The hash embedder as an external model, to exercise the provider interface."""
-
-    def call(texts: list[str]) -> np.ndarray:
-        offsets, at, w = hash_batch(texts, dim)
-        out = np.zeros((len(texts), dim))
-        out[np.repeat(np.arange(len(texts)), np.diff(offsets)), at] = w
-        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return out / np.where(length == 0.0, 1.0, length)
-
-    return EmbeddingModel("hash", dim, call, batch_size=64)
+    return EmbeddingModel("hash", dim, lambda texts: dense_rows(texts, dim))
 
 
 @query("""

@@ -71,7 +71,7 @@ def version_history(documents: DataFrame, valid_ts: str = "valid_ts") -> DataFra
 
 def read_manuals(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """Text files whole, one row each, as ``(source, text)`` with line ends normalised."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     text = F.regexp_replace("value", "\r\n?", "\n")
     return files.select(F.col("_metadata.file_name").alias("source"), text.alias("text"))
 
