@@ -30,7 +30,7 @@ def severity_counts(state: DataFrame) -> DataFrame:
     """Assets per level, all three levels present."""
     levels = state.sparkSession.createDataFrame([(s,) for s in K.SEVERITIES], "severity string")
     counts = state.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(levels).join(counts, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
+    return levels.join(counts, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def kpis(incidents: DataFrame, executed: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -71,6 +71,7 @@ def choose_crews(base: DataFrame, crews: DataFrame) -> DataFrame:
     The choice depends on a plan only through skill, region and position, so it is
     made once per distinct site, however many incidents an asset raises. A NULL
     distance ranks before any other. Plans without a qualified crew stay, at 1e18.
+    ``crews`` is read several times: pass a stored table, not a long computation.
     """
     serving = serving_crews(crews)
     sites = base.select(*SITE).distinct()

@@ -50,20 +50,18 @@ def violation_summary(checked: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("dataset", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _conforms(value: Column, data_type: T.DataType) -> Column:
-    """Whether a present, non-NULL JSON value has the declared type."""
-    kind = F.schema_of_variant(value)
-    if isinstance(data_type, T.ArrayType):
-        return F.try_variant_get(value, "$", data_type.simpleString()).isNotNull() & kind.startswith("ARRAY")
-    accepted = {
-        T.StringType: "STRING",
-        T.DoubleType: "BIGINT|DOUBLE|FLOAT|DECIMAL.*",
-        T.LongType: "BIGINT",
-        T.IntegerType: "BIGINT",
-        T.BooleanType: "BOOLEAN",
-        T.TimestampType: "BIGINT",  # epoch milliseconds on the wire
-    }[type(data_type)]
-    return kind.rlike(f"^({accepted})$")
+# What a parsed JSON value of each declared type may look like. Timestamps are epoch milliseconds.
+_NUMBER = r"BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\)"
+_ACCEPTED = {
+    "string": "STRING",
+    "double": _NUMBER,
+    "int": "BIGINT",
+    "bigint": "BIGINT",
+    "boolean": "BOOLEAN",
+    "timestamp": "BIGINT",
+    "array<string>": "ARRAY<(STRING|VOID)>",
+    "array<float>": f"ARRAY<({_NUMBER}|VOID)>",
+}
 
 
 def check_contract(df: DataFrame, payload: str, contract: T.StructType) -> DataFrame:
@@ -72,15 +70,16 @@ def check_contract(df: DataFrame, payload: str, contract: T.StructType) -> DataF
     ``malformed`` for unreadable JSON, else the first offending field in contract
     order as ``missing:<field>`` or ``type:<field>``.
     """
-    parsed = df.withColumn("_fields", F.from_json(payload, "map<string,variant>"))
-    reason = F.when(F.col(payload).isNotNull() & F.col("_fields").isNull(), "malformed")
+    fields = F.from_json(payload, "map<string,variant>")
+    parsed = df.withColumn("_kinds", F.transform_values(fields, lambda _, value: F.schema_of_variant(value)))
+    reason = F.when(F.col(payload).isNotNull() & F.col("_kinds").isNull(), "malformed")
     for field in contract.fields:
-        value = F.try_element_at("_fields", F.lit(field.name))
-        absent = value.isNull() | (F.schema_of_variant(value) == "VOID")
+        kind = F.coalesce(F.try_element_at("_kinds", F.lit(field.name)), F.lit("VOID"))
         if not field.nullable:
-            reason = reason.when(absent, f"missing:{field.name}")
-        reason = reason.when(~absent & ~_conforms(value, field.dataType), f"type:{field.name}")
-    return parsed.withColumn("reason", reason).drop("_fields")
+            reason = reason.when(kind == "VOID", f"missing:{field.name}")
+        accepted = f"^({_ACCEPTED[field.dataType.simpleString()]}|VOID)$"
+        reason = reason.when(~kind.rlike(accepted), f"type:{field.name}")
+    return parsed.withColumn("reason", reason).drop("_kinds")
 
 
 def decode_fields(df: DataFrame, payload: str, contract: T.StructType) -> DataFrame:

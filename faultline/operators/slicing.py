@@ -55,15 +55,11 @@ def hot_slices(
     second pass read its timestamps, into mergeable quantile sketches.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if rows_per_slice is None:
-        rows_per_slice = DEFAULT_ROWS_PER_SLICE
-    if total <= rows_per_slice:
+    total, most = counts.filter(F.col(key).isNotNull()).agg(F.sum("n"), F.max("n")).first()
+    limit = max(rows_per_slice or DEFAULT_ROWS_PER_SLICE, -(-(total or 0) // MAX_SHARE))
+    if (most or 0) <= limit:
         return None
-    limit = max(rows_per_slice, -(-total // MAX_SHARE))
     hot = {row[key]: row["n"] for row in counts.filter((F.col("n") > limit) & F.col(key).isNotNull()).collect()}
-    if not hot:
-        return None
 
     spark = df.sparkSession
     key_type = df.schema[key].dataType

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.sources.readers import spread
+
 REGION_CASE = (
     "case {k} % 5 when 0 then 'North' when 1 then 'South' when 2 then 'East' else 'West' end"
 )
@@ -194,12 +196,13 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("event_id", f"{PAYLOAD} AS payload")
+    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id"))
+    return events.selectExpr("event_id", f"{PAYLOAD} AS payload")
 
 
 def manuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as manuals: every line a paragraph, the whole text kept."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("source"),
         F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"),
     )

@@ -108,7 +108,7 @@ def decide(
     scored = materialize(score(telemetry, specs, registry, order=order, slices=slices, registry_strategy=found))
     raised = materialize(incidents.build_incidents(scored))
     diagnosed = materialize(diagnose(raised, corpus, model=model, as_of=F.col("ts")))
-    crews = planning.crew_latest(pings, crew_order)
+    crews = materialize(planning.crew_latest(pings, crew_order))
     planned = materialize(plan(diagnosed, registry, crews, slices=slices, registry_strategy=found))
     at = F.col("ts")
     executed = planning.executed_actions(planned, at)

@@ -33,6 +33,7 @@ from faultline.operators.slicing import hot_slices
 from faultline.plans import domain, pipeline
 from faultline.plans.oracle import CTES, RECOVERY_SECONDS, oracle, r
 from faultline.session import materialize
+from faultline.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,12 +99,17 @@ def _crews(spark, d) -> DataFrame:
     return planning.crew_latest(domain.crew_pings(spark, d), domain.CREW_ORDER)
 
 
+def _stored_crews(spark, d) -> DataFrame:
+    """Choosing crews reads the roster several times."""
+    return materialize(_crews(spark, d))
+
+
 def _base(spark, d) -> DataFrame:
     return planning.plan_base(_diagnosed(spark, d), domain.registry(spark, d))
 
 
 def _planned(spark, d) -> DataFrame:
-    return pipeline.plan(materialize(_diagnosed(spark, d)), domain.registry(spark, d), _crews(spark, d))
+    return pipeline.plan(materialize(_diagnosed(spark, d)), domain.registry(spark, d), _stored_crews(spark, d))
 
 
 def _decisions(spark, d) -> pipeline.Decisions:
@@ -258,7 +264,8 @@ CTES["doc_vec"] = CTES["corpus_vec"].replace("chunk_id", "doc_id").replace("FROM
 
 @query("SELECT doc_id, cast(idx AS int) AS idx, cast(w AS int) AS w FROM doc_vec")
 def hash_embed_sparse(spark, d):
-    docs = domain.table(spark, d, "documents").select("doc_id", sparse_hash_vector(F.col("text"), K.EMBEDDING_DIM).alias("v"))
+    docs = spread(domain.table(spark, d, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", sparse_hash_vector(F.col("text"), K.EMBEDDING_DIM).alias("v"))
     return docs.select("doc_id", F.inline(F.arrays_zip("v.at", "v.w")).alias("idx", "w"))
 
 
@@ -321,7 +328,7 @@ def hash_model(dim: int) -> EmbeddingModel:
     SELECT d.doc_id, 3072 AS dim, cast(count(v.idx) AS int) AS non_zero, round(coalesce(sum(v.w * v.w) / sum(v.w * v.w), 0), 4) AS norm
     FROM documents d LEFT JOIN doc_vec v ON d.doc_id = v.doc_id GROUP BY d.doc_id""")
 def embed_provider(spark, d):
-    docs = domain.table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(domain.table(spark, d, "documents").select("doc_id", "text"))
     embedded = embed(docs, "text", hash_model(K.EMBEDDING_DIM))
     return embedded.select(
         "doc_id",
@@ -386,7 +393,7 @@ def plan_base(spark, d):
 
 @query(f"SELECT incident_id, cand_crew_id, region_match, {r('dist')} AS dist FROM plan_ranked")
 def crew_ranked(spark, d):
-    ranked = planning.choose_crews(materialize(_base(spark, d)), _crews(spark, d))
+    ranked = planning.choose_crews(materialize(_base(spark, d)), _stored_crews(spark, d))
     return rounded(ranked.select("incident_id", "cand_crew_id", "region_match", "dist"), "dist")
 
 
@@ -429,7 +436,7 @@ def _recovery(spark, d, rows_per_slice: int | None = None) -> DataFrame:
     scored = materialize(_scored(spark, d))
     raised = incidents.build_incidents(scored)
     done = planning.executed_actions(pipeline.plan(
-        materialize(_diagnosed_from(raised, spark, d)), domain.registry(spark, d), _crews(spark, d)
+        materialize(_diagnosed_from(raised, spark, d)), domain.registry(spark, d), _stored_crews(spark, d)
     ), F.col("ts"))
     slices = hot_slices(scored, rows_per_slice=rows_per_slice)
     return recovery.first_recovery(done, incidents.enriched(scored), window_seconds=RECOVERY_SECONDS, slices=slices)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +41,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Write a stage that several consumers read, so none of them recomputes it.
 
-    The files outlive an executor, unlike cached blocks.
+    A columnar table in the shared folder: it outlives an executor, later readers
+    take only the columns they need, and its known size guides their joins.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

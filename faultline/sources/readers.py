@@ -81,3 +81,13 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
     if df.isEmpty():
         raise LookupError("no rows received")
     return df.limit(n)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a table stored in fewer splits than there are cores.
+
+    For scans feeding heavy per-row work. A large table has more splits than cores
+    and is left alone, so nothing big is ever shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
