@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,12 +54,22 @@ def asof_join(
     return _merge_join(left, right, payload, key, left_ts, right_ts, tie, direction, slices)
 
 
+def asof_strategies(rights: Sequence[DataFrame], key: str = "asset_id") -> list[str]:
+    """For each right side ``interval`` if it is proven small, in rows and per key, else ``merge``.
+
+    All are measured in one job.
+    """
+    parts = [
+        right.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.lit(i).alias("i"), F.sum("n").alias("rows"), F.max("n").alias("most"))
+        for i, right in enumerate(rights)
+    ]
+    sizes = {r.i: (r.rows or 0, r.most or 0) for r in reduce(DataFrame.unionByName, parts).collect()}
+    small = [sizes[i][0] <= BROADCAST_ROWS and sizes[i][1] <= BROADCAST_VERSIONS_PER_KEY for i in range(len(parts))]
+    return ["interval" if s else "merge" for s in small]
+
+
 def asof_strategy(right: DataFrame, key: str = "asset_id") -> str:
-    """``interval`` if the right side is proven small, in rows and per key, else ``merge``."""
-    per_key = right.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rows, most = per_key.agg(F.sum("n"), F.max("n")).first()
-    small = (rows or 0) <= BROADCAST_ROWS and (most or 0) <= BROADCAST_VERSIONS_PER_KEY
-    return "interval" if small else "merge"
+    return asof_strategies([right], key)[0]
 
 
 def _alive(right: DataFrame) -> Column:

@@ -47,8 +47,11 @@ def retrieve(
     gated = gated_in(incidents).withColumn("query_text", query_text())
     texts = gated.select("query_text").filter(F.col("query_text").isNotNull()).distinct()
     queries = texts.withColumn("qvec", embed_text(F.col("query_text")))
-    hits = vector_search(queries, corpus, query_id="query_text", corpus_id=chunk_id, k=k, dim=dim, vector=vector)
-    gathered = gather_hits(hits, corpus, query_id="query_text", corpus_id=chunk_id, columns=["text", "source"])
+    shown = ["text", "source"]
+    hits = vector_search(
+        queries, corpus, query_id="query_text", corpus_id=chunk_id, k=k, dim=dim, vector=vector, carried=shown
+    )
+    gathered = gather_hits(hits, query_id="query_text", columns=shown)
     return gated.join(gathered, "query_text").select(*CARRIED, "hits")
 
 

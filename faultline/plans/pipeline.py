@@ -11,7 +11,7 @@ from faultline import constants as K
 from faultline.functions.hashing import sparse_hash_vector
 from faultline.operators import diagnosis, incidents, planning, recovery, scoring
 from faultline.operators.anomaly import rolling_zscore
-from faultline.operators.asof import asof_join, asof_strategy
+from faultline.operators.asof import asof_join, asof_strategies
 from faultline.operators.models import TextModel
 from faultline.operators.slicing import Slices, hot_slices
 from faultline.session import materialize
@@ -19,17 +19,21 @@ from faultline.session import materialize
 CHUNK_ID = "chunk_id"
 
 
+Strategies = tuple[str, str]  # of the spec and the registry join
+
+
 def with_versions(
     telemetry: DataFrame,
     specs: DataFrame,
     registry: DataFrame,
     *,
     slices: Slices | None = None,
-    registry_strategy: str = "auto",
+    strategies: Strategies | None = None,
 ) -> DataFrame:
     """Telemetry with the spec and tie assets valid at each reading."""
-    with_specs = asof_join(telemetry, specs, payload=scoring.SPEC_COLUMNS, slices=slices)
-    return asof_join(with_specs, registry, payload=["tie_assets"], slices=slices, strategy=registry_strategy)
+    for_specs, for_registry = strategies or asof_strategies([specs, registry])
+    with_specs = asof_join(telemetry, specs, payload=scoring.SPEC_COLUMNS, slices=slices, strategy=for_specs)
+    return asof_join(with_specs, registry, payload=["tie_assets"], slices=slices, strategy=for_registry)
 
 
 def score(
@@ -39,11 +43,11 @@ def score(
     *,
     order: tuple[str, ...] = ("ts", "event_id"),
     slices: Slices | None = None,
-    registry_strategy: str = "auto",
+    strategies: Strategies | None = None,
 ) -> DataFrame:
     """Readings with z-score, envelope, features, fault score and severity."""
     anomalies = rolling_zscore(telemetry, order=order, slices=slices)
-    return grade(with_versions(anomalies, specs, registry, slices=slices, registry_strategy=registry_strategy))
+    return grade(with_versions(anomalies, specs, registry, slices=slices, strategies=strategies))
 
 
 def grade(versioned: DataFrame) -> DataFrame:
@@ -104,12 +108,12 @@ def decide(
     model calls are written out between jobs.
     """
     slices = hot_slices(telemetry, rows_per_slice=rows_per_slice)
-    found = asof_strategy(registry)
-    scored = materialize(score(telemetry, specs, registry, order=order, slices=slices, registry_strategy=found))
+    strategies = asof_strategies([specs, registry])
+    scored = materialize(score(telemetry, specs, registry, order=order, slices=slices, strategies=strategies))
     raised = materialize(incidents.build_incidents(scored))
     diagnosed = materialize(diagnose(raised, corpus, model=model, as_of=F.col("ts")))
     crews = materialize(planning.crew_latest(pings, crew_order))
-    planned = materialize(plan(diagnosed, registry, crews, slices=slices, registry_strategy=found))
+    planned = materialize(plan(diagnosed, registry, crews, slices=slices, registry_strategy=strategies[1]))
     at = F.col("ts")
     executed = planning.executed_actions(planned, at)
     recovered = recovery.first_recovery(

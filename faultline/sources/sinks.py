@@ -26,6 +26,10 @@ def distribute(df: DataFrame, key: str, buckets: int = 6) -> DataFrame:
     return df.repartition(buckets, key)
 
 
+# JSON would otherwise keep milliseconds only.
+FORMAT_OPTIONS = {"json": {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}}
+
+
 class KeyedTable:
     """Latest row per key over a log of change batches.
 
@@ -40,6 +44,7 @@ class KeyedTable:
     ):
         self.path, self.key, self.order, self.file_format = path, key, tuple(order), file_format
         self.schema = T.StructType([*schema.fields, T.StructField(OP_COLUMN, T.StringType())])
+        self.options = FORMAT_OPTIONS.get(file_format, {})
 
     def _batches(self, spark: SparkSession, part: str) -> list[int]:
         """Numbers of the complete batches in a folder."""
@@ -59,14 +64,14 @@ class KeyedTable:
         paths += [f"{self.path}/log/batch={n}" for n in log if n > base]
         if not paths:
             return spark.createDataFrame([], self.schema), -1
-        changes = spark.read.schema(self.schema).format(self.file_format).load(paths)
+        changes = spark.read.schema(self.schema).format(self.file_format).options(**self.options).load(paths)
         return latest_per_key(changes, self.key, self.order), max(base, *log, -1)
 
     def apply(self, changes: DataFrame, batch: int) -> None:
         if OP_COLUMN not in changes.columns:
             changes = changes.withColumn(OP_COLUMN, F.lit(None).cast("string"))
         latest = latest_per_key(changes.select(*self.schema.names), self.key, self.order)
-        latest.write.mode("overwrite").format(self.file_format).save(f"{self.path}/log/batch={batch}")
+        self._write(latest, f"log/batch={batch}")
 
     def read(self, spark: SparkSession) -> DataFrame:
         latest, _ = self._changes(spark)
@@ -75,7 +80,10 @@ class KeyedTable:
     def compact(self, spark: SparkSession) -> None:
         latest, newest = self._changes(spark)
         if newest >= 0:
-            latest.write.mode("overwrite").format(self.file_format).save(f"{self.path}/base/batch={newest}")
+            self._write(latest, f"base/batch={newest}")
+
+    def _write(self, df: DataFrame, folder: str) -> None:
+        df.write.mode("overwrite").format(self.file_format).options(**self.options).save(f"{self.path}/{folder}")
 
 
 def work_order_documents(path: str) -> KeyedTable:
@@ -83,8 +91,17 @@ def work_order_documents(path: str) -> KeyedTable:
     return KeyedTable(path, schemas.WORK_ORDERS, "work_order_id", ("ts",), "json")
 
 
-def upsert_stream(changes: DataFrame, table: KeyedTable, checkpoint: str) -> DataStreamWriter:
-    return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(table.apply)
+def upsert_stream(
+    changes: DataFrame, table: KeyedTable, checkpoint: str, compact_every: int = 100
+) -> DataStreamWriter:
+    """Keep a table current from a change stream, folding its log now and then."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.apply(batch, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            table.compact(batch.sparkSession)
+
+    return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 
 
 def fan_out(
