@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,25 @@ def local_session(cores: int | str = "*", memory: str = "16g", app: str = "fault
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started.
+
+    The archive is made beside the driver, which serves it to the executors as it
+    does any ``addPyFile``. Not needed where the package is installed on every node.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_ships_faultline", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="faultline-package-")
+    context.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
+    context._ships_faultline = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; invent one only for a local session."""
     context = spark.sparkContext
