@@ -85,7 +85,10 @@ def plan(
     diagnosed: DataFrame, registry: DataFrame, crews: DataFrame, *,
     slices: Slices | None = None, registry_strategy: str = "auto",
 ) -> DataFrame:
-    base = planning.plan_base(diagnosed, registry, slices=slices, strategy=registry_strategy)
+    found = asof_strategies([registry])[0] if registry_strategy == "auto" else registry_strategy
+    base = planning.plan_base(diagnosed, registry, slices=slices, strategy=found)
+    if found == "merge":  # read twice below, and a merge is worth doing once
+        base = materialize(base)
     return planning.build_plans(planning.choose_crews(base, crews), as_of=F.col("decided_ts"))
 
 
