@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import bpe, license_scan, packing, quality_rules
+from faultline.llm import ann_forest, bpe, language_id, license_scan, packing, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +58,16 @@ def op3_ngram_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query
+def op9_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann_forest.usable(table(spark, sf_dir, "embeddings"))
+    return ann_forest.search(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+@query
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
