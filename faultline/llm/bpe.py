@@ -31,12 +31,14 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.frames import whole_text
+
 #: Words compiled into the transducer.
 LEXICON_WORDS = 1 << 16
 #: The longest word, in bytes, that the transducer holds and that numpy merges; longer ones are merged one by one.
 SHORT_WORD = 24
 #: Characters tokenized together, and longer words remembered by a worker.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 2_000_000
 REMEMBERED_WORDS = 50_000
 NO_RANK = np.int32(2**31 - 1)
 
@@ -470,21 +472,36 @@ def compile_lexicon(words: DataFrame, path: str) -> str:
     return name
 
 
+def _encoded(texts: pa.Array, path: str, lexicon: str | None) -> pa.ListArray:
+    worker = worker_encoder(path, lexicon)
+    flats, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for block in blocks(texts.to_pylist()):
+        flat, size = worker.encode(block)
+        flats.append(flat)
+        sizes.append(size)
+    offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats)))
+
+
+def _decoded(lists: pa.Array, path: str) -> pa.Array:
+    table = pa.array(vocabulary(path).tokens, pa.string())
+    flat, offsets = lists.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+    inside = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, None)
+    taken = table.take(inside)
+    if taken.null_count:
+        there = np.concatenate([[0], np.cumsum(taken.is_valid().to_numpy(zero_copy_only=False))])
+        offsets, taken = there[offsets], taken.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), taken), " ")
+
+
 def encode(docs: DataFrame, path: str, lexicon: str | None = None, text: str = "text", into: str = "ids") -> DataFrame:
     """Add the token ids of each text as ``array<int>``."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        worker = worker_encoder(path, lexicon)
-        flats, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for block in blocks(texts.to_pylist()):
-            flat, size = worker.encode(block)
-            flats.append(flat)
-            sizes.append(size)
-        offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flats)))
+        return _encoded(texts, path, lexicon)
 
-    return docs.withColumn(into, ids(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    return docs.withColumn(into, ids(whole_text(text)))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -492,18 +509,23 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
 
     @F.arrow_udf("string")
     def joined(lists: pa.Array) -> pa.Array:
-        table = pa.array(vocabulary(path).tokens, pa.string())
-        flat, offsets = lists.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
-        inside = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, None)
-        taken = table.take(inside)
-        if taken.null_count:
-            there = np.concatenate([[0], np.cumsum(taken.is_valid().to_numpy(zero_copy_only=False))])
-            offsets, taken = there[offsets], taken.drop_null()
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), taken), " ")
+        return _decoded(lists, path)
 
     return docs.withColumn(into, joined(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
+def encode_and_decode(docs: DataFrame, path: str, lexicon: str | None = None, text: str = "text") -> DataFrame:
+    """Add ``ids`` and the text ``decoded`` from them in one pass, with one Python worker a task instead of two."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _encoded(texts, path, lexicon)
+        return pa.StructArray.from_arrays([ids, _decoded(ids, path)], ["ids", "decoded"])
+
+    done = docs.withColumn("round_trip", both(whole_text(text)))
+    return done.withColumns({"ids": F.col("round_trip.ids"), "decoded": F.col("round_trip.decoded")}).drop("round_trip")
+
+
 def sha256_of_ids(ids: str | Column) -> Column:
     """Lowercase hex of the decimal ids joined by one space."""
     return F.sha2(F.array_join(F.col(ids).cast("array<string>") if isinstance(ids, str) else ids.cast("array<string>"), " "), 256)

@@ -35,7 +35,7 @@ def op1_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = bpe.compile_lexicon(bpe.frequent_words(docs, path), path)
-    decoded = bpe.decode(bpe.encode(docs, path, lexicon), path)
+    decoded = bpe.encode_and_decode(docs, path, lexicon)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
