@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann_forest, bpe, language_id, license_scan, ngram_join, packing, pii, quality_rules, suffix_dedup
+from faultline.llm import ann_forest, bpe, language_id, license_scan, ngram_join, packing, pii, quality_rules, suffix_dedup, weak_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,3 +96,9 @@ def op7_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op8_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return weak_quality.judge(docs, weak_quality.train(docs, table(spark, sf_dir, "labels")))
