@@ -227,28 +227,38 @@ def decide(texts: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> np.ndarr
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(block, n_bytes, ids, ends, data): texts in blocks, compressed."""
+    """(block, n_bytes, ids, ends, data, carried): texts in blocks, compressed, and the rows' further columns."""
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        carried: list[pa.RecordBatch] = []
 
         def row() -> pa.RecordBatch:
             ends = np.cumsum([len(t) for _, t in held]).astype(np.int64)
             ids = np.array([i for i, _ in held], np.int64)
             packed = zstandard.compress(b"".join(t for _, t in held), 3)
-            return pa.RecordBatch.from_pydict({"block": [task << 32 | n], "n_bytes": [size], "ids": [squeeze(ids)], "ends": [squeeze(ends)], "data": [packed]})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, carried[0].schema) as out:
+                for part in carried:
+                    out.write_batch(part)
+            rest = zstandard.compress(sink.getvalue().to_pybytes(), 1)
+            return pa.RecordBatch.from_pydict({"block": [task << 32 | n], "n_bytes": [size], "ids": [squeeze(ids)], "ends": [squeeze(ends)], "data": [packed], "carried": [rest]})
 
         for batch in batches:
-            for scalar, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            others = pa.RecordBatch.from_arrays(batch.columns[2:], names=batch.schema.names[2:]) if batch.num_columns > 2 else pa.record_batch([pa.nulls(batch.num_rows)], ["none"])
+            begin = 0
+            for at, (scalar, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 held.append((scalar, text.as_buffer().to_pybytes()))
                 size += len(held[-1][1])
                 if size >= BLOCK_BYTES:
+                    carried.append(others.slice(begin, at + 1 - begin))
                     yield row()
-                    n, held, size = n + 1, [], 0
+                    n, held, size, carried, begin = n + 1, [], 0, [], at + 1
+            carried.append(others.slice(begin))
         if held:
             yield row()
 
-    return stage(docs.mapInArrow(in_task, "block long, n_bytes long, ids binary, ends binary, data binary"))
+    return stage(docs.mapInArrow(in_task, "block long, n_bytes long, ids binary, ends binary, data binary, carried binary"))
 
 
 def shared_anchors(held: DataFrame, ranges: int) -> DataFrame:
@@ -342,35 +352,59 @@ def removed(block: Block, shared: np.ndarray, buckets: int, flags: dict[int, byt
     return np.cumsum(cover[:-1]) > 0
 
 
-ROW = "n_bytes long, removed array<struct<start: long, end: long>>, kept binary"
+ROW = "n_bytes long, removed array<struct<start: long, end: long>>, kept binary, kept_text string"
 
 
-def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, removed, kept) of every document: byte spans that go, and the bytes that stay."""
+def whole_characters(data: bytes, spans: list[dict]) -> str:
+    """What the spans leave of a text, without characters that they cut in two."""
+    at, parts = 0, []
+    for span in [*spans, {"start": len(data), "end": len(data)}]:
+        parts.append(data[at : span["start"]].decode("utf-8", "ignore"))
+        at = span["end"]
+    return "".join(parts)
+
+
+def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, removed, kept, kept_text) and the carried columns of every document: byte spans that go,
+    the bytes that stay, and, if asked for, their text."""
     spark = docs.sparkSession
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("text"))
+    further = [F.col(c).alias(f"carried_{c}") for c in carry]
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).cast("binary").alias("text"), *further)
     held = blocks(chosen.where("doc_id is not null"))
     total = held.agg(F.sum("n_bytes")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges, buckets = max(least, total // RANGE_BYTES), max(least, total // BUCKET_BYTES)
-    answered = held.join(shared_anchors(held, ranges), "block", "left")
-    flagged = repeated_windows(answered, ranges, buckets)
+    bare = held.drop("carried")
+    found = shared_anchors(bare, ranges)
+    flagged = repeated_windows(bare.join(found, "block", "left"), ranges, buckets)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 block = block_of(row)
                 gone = removed(block, block.shared(ranges, _answers(row, ranges)), buckets, {f["bucket"]: f["bits"] for f in row["flags"] or []})
-                out: dict[str, list] = {"doc_id": [], "n_bytes": [], "removed": [], "kept": []}
+                out: dict[str, list] = {"doc_id": [], "n_bytes": [], "removed": [], "kept": [], "kept_text": []}
                 for name, a, b in zip(block.ids.tolist(), [0, *block.ends[:-1].tolist()], block.ends.tolist(), strict=True):
                     edge = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0))
                     out["doc_id"].append(name)
                     out["n_bytes"].append(b - a)
                     out["removed"].append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
                     out["kept"].append(block.data[a:b][~gone[a:b]].tobytes())
+                    out["kept_text"].append(whole_characters(block.data[a:b].tobytes(), out["removed"][-1]) if with_text else None)
                 span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(span)), ("kept", pa.binary())]))
-
-    done = answered.join(flagged, "block", "left").mapInArrow(finish, f"doc_id long, {ROW}")
-    nameless = chosen.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start: long, end: long>>").alias("removed"), F.col("text").alias("kept"))
-    return done.unionByName(nameless)
+                made = pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(span)), ("kept", pa.binary()), ("kept_text", pa.string())]))
+                others = pa.ipc.open_stream(zstandard.decompress(row["carried"])).read_all().combine_chunks()
+                columns = [others.column(c).combine_chunks() for c in others.schema.names if c != "none"]
+                yield pa.RecordBatch.from_arrays([*made.columns, *columns], [*made.schema.names, *(c for c in others.schema.names if c != "none")])
+
+    kinds = "".join(f", carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    done = held.join(found, "block", "left").join(flagged, "block", "left").mapInArrow(finish, f"doc_id long, {ROW}{kinds}")
+    nameless = chosen.where("doc_id is null").select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.array().cast("array<struct<start: long, end: long>>").alias("removed"),
+        F.col("text").alias("kept"),
+        (F.col("text").cast("string") if with_text else F.lit(None).cast("string")).alias("kept_text"),
+        *(f"carried_{c}" for c in carry),
+    )
+    return done.unionByName(nameless).withColumnsRenamed({f"carried_{c}": c for c in carry})
