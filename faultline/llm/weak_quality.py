@@ -28,7 +28,7 @@ ANNOTATED = 20_000
 TRAINED = 6_000
 BUCKETS = 1 << 16
 EPOCHS = 120
-DECAY = 1e-5
+DECAY = 1e-4
 ROUNDS = 50
 NONE, GOOD, BAD = 0, 1, 2
 
@@ -68,18 +68,29 @@ def votes(text: str) -> list[int]:
     return [*defects, GOOD if n >= 40 else NONE, GOOD if plain else NONE, BAD if insulted >= 2 else GOOD if not insulted else NONE]
 
 
+def shaped(text: str) -> str:
+    """A text with every run of characters of one class inside a word cut to one."""
+    data = np.frombuffer(text.encode().translate(_SHAPE), np.uint8)
+    keep = np.ones(len(data), bool)
+    keep[1:] = (data[1:] != data[:-1]) | (data[1:] <= 32)
+    return data[keep].tobytes().decode("latin-1")
+
+
 def features(texts: list[str]) -> list[np.ndarray]:
-    """Distinct buckets of each text's words, of their shapes, and of a word that repeats the one before."""
+    """Distinct buckets of each text's words and of their shapes, and one for the tenth of its words that are new,
+    and one if it stutters."""
     words, sizes = word_hashes(texts)
-    shapes, _ = word_hashes([t.encode().translate(_SHAPE).decode("latin-1") for t in texts])
+    shapes, _ = word_hashes([shaped(t) for t in texts])
     half = np.uint64(BUCKETS // 2 - 1)
     word, shape = (words & half).astype(np.int64), (shapes & half).astype(np.int64) + BUCKETS // 2
     again = np.zeros(len(words), bool)
     again[1:] = words[1:] == words[:-1]
     out, at = [], 0
     for n in sizes.tolist():
-        extra = [0] if n > 1 and again[at + 1 : at + n].mean() > 0.1 else []
-        out.append(np.unique(np.concatenate([word[at : at + n], shape[at : at + n], np.array(extra, np.int64)])))
+        new = np.unique(word[at : at + n])
+        extra = [1 + 10 * len(new) // n] if n >= 30 else []
+        extra += [0] if n > 1 and again[at + 1 : at + n].mean() > 0.1 else []
+        out.append(np.unique(np.concatenate([new, shape[at : at + n], np.array(extra, np.int64)])))
         at += n
     return out
 
@@ -93,7 +104,9 @@ class LabelModel:
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
         """Expectation-maximisation over distinct vote patterns (rows) and how many documents have them."""
-        share = np.where((patterns == BAD).any(axis=1), 0.1, 0.9)
+        # A bad vote weighs double at the start, as defects are voted on one by one.
+        good, bad = (patterns == GOOD).sum(axis=1), (patterns == BAD).sum(axis=1)
+        share = (good + 0.5) / (good + 2 * bad + 1.0)
         for _ in range(ROUNDS):
             weight = np.stack([counts * share, counts * (1 - share)])
             self.prior = float((weight[0].sum() + 1) / (counts.sum() + 2))
