@@ -13,10 +13,12 @@ from faultline.operators.slicing import SLICE, Slices, slice_key
 
 BROADCAST_ROWS = 200_000
 BROADCAST_VERSIONS_PER_KEY = 64
+APART_PARTS = 1024
 OP_COLUMN = "_op"
 DELETE = "delete"
 
 _SIDE, _TIME, _HIT = "_side", "_time", "_hit"
+_APART = "_apart"
 
 
 def asof_join(
@@ -37,7 +39,8 @@ def asof_join(
     ``backward`` takes the newest right row at or before the left time, ``forward``
     the earliest at or after it. Among right rows with equal time the largest
     ``tie`` wins. A right row with ``_op = 'delete'`` ends its key: later left rows
-    are unmatched until a new version arrives.
+    are unmatched until a new version arrives. A NULL key or time on either side
+    matches nothing.
 
     ``interval`` broadcasts validity intervals and moves no left row; ``merge``
     sorts both sides together, linear in their rows for any number of versions.
@@ -78,10 +81,15 @@ def _alive(right: DataFrame) -> Column:
     return F.coalesce(F.col(OP_COLUMN) != DELETE, F.lit(True))
 
 
+def _placed(right: DataFrame, key: str, right_ts: str) -> DataFrame:
+    """Versions that can match at all."""
+    return right.filter(F.col(key).isNotNull() & F.col(right_ts).isNotNull())
+
+
 def _interval_join(left, right, payload, key, left_ts, right_ts, tie) -> DataFrame:
     versions = Window.partitionBy(key).orderBy(right_ts, *tie)
     intervals = (
-        right.withColumn("_until", F.lead(right_ts).over(versions))
+        _placed(right, key, right_ts).withColumn("_until", F.lead(right_ts).over(versions))
         .filter(_alive(right))
         .select(
             F.col(key).alias("_key"),
@@ -103,8 +111,13 @@ def _interval_join(left, right, payload, key, left_ts, right_ts, tie) -> DataFra
 def _merge_join(left, right, payload, key, left_ts, right_ts, tie, direction, slices) -> DataFrame:
     backward = direction == "backward"
     hit = F.struct(_alive(right).alias("alive"), *payload)
-    versions = right.select(key, F.col(right_ts).alias(_TIME), F.lit(0).alias(_SIDE), hit.alias(_HIT), *_tie_columns(tie))
-    rows = left.withColumns({_TIME: F.col(left_ts), _SIDE: F.lit(1)})
+    versions = _placed(right, key, right_ts).select(
+        key, F.col(right_ts).alias(_TIME), F.lit(0).alias(_SIDE), hit.alias(_HIT), *_tie_columns(tie)
+    )
+    # Rows that can't match stand apart from all versions, spread over many partitions.
+    nowhere = F.col(key).isNull() | F.col(left_ts).isNull()
+    apart = F.when(nowhere, F.pmod(F.xxhash64(*[c for c in left.columns if _hashable(left, c)]), F.lit(APART_PARTS)))
+    rows = left.withColumns({_TIME: F.col(left_ts), _SIDE: F.lit(1), _APART: apart})
     if slices is not None:
         rows, versions = slices.assign(rows, _TIME), slices.assign(versions, _TIME)
     merged = rows.unionByName(versions, allowMissingColumns=True)
@@ -114,7 +127,7 @@ def _merge_join(left, right, payload, key, left_ts, right_ts, tie, direction, sl
     # the partition's end would be recomputed for every row.
     time = F.col(_TIME).asc() if backward else F.col(_TIME).desc()
     running = (
-        Window.partitionBy(*slice_key(key, slices))
+        Window.partitionBy(*slice_key(key, slices), _APART)
         .orderBy(time, _SIDE, *[f"_tie_{i}" for i in range(len(tie))])
         .rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -124,10 +137,14 @@ def _merge_join(left, right, payload, key, left_ts, right_ts, tie, direction, sl
         merged = merged.join(F.broadcast(carried), [key, SLICE], "left").withColumn(
             "_match", F.coalesce("_match", "_carried")
         )
-    found = F.when(F.col("_match.alive"), F.col("_match"))
+    found = F.when(F.col("_match.alive") & F.col(_APART).isNull(), F.col("_match"))
     return merged.select(*[F.col(c) for c in left.columns], *[found.getField(c).alias(c) for c in payload])
 
 
+def _hashable(df: DataFrame, column: str) -> bool:
+    return "map<" not in df.schema[column].dataType.simpleString()
+
+
 def _tie_columns(tie: Sequence[str]) -> list[Column]:
     return [F.col(c).alias(f"_tie_{i}") for i, c in enumerate(tie)]
 

@@ -13,6 +13,10 @@ from faultline.functions.hashing import sparse_hash_vector
 from faultline.operators.incidents import gated_in, gated_out
 from faultline.operators.models import TextModel, predict
 from faultline.operators.retrieval import gather_hits, vector_search
+from faultline.session import materialize
+
+#: Query texts whose hits, at most k chunks each, are broadcast to the incidents.
+BROADCAST_TEXTS = 4096
 
 CARRIED = (
     "incident_id", "asset_id", "asset_type", "region", "severity", "signal", "value", "fault_score",
@@ -45,13 +49,16 @@ def retrieve(
     """
     embed_text = embedding or (lambda text: sparse_hash_vector(text, dim))
     gated = gated_in(incidents).withColumn("query_text", query_text())
-    texts = gated.select("query_text").filter(F.col("query_text").isNotNull()).distinct()
+    # Stored: the search looks at the texts more than once, and their number decides the join below.
+    texts = materialize(gated.select("query_text").filter(F.col("query_text").isNotNull()).distinct())
     queries = texts.withColumn("qvec", embed_text(F.col("query_text")))
     shown = ["text", "source"]
     hits = vector_search(
         queries, corpus, query_id="query_text", corpus_id=chunk_id, k=k, dim=dim, vector=vector, carried=shown
     )
     gathered = gather_hits(hits, query_id="query_text", columns=shown)
+    if texts.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        gathered = F.broadcast(gathered)  # at most k chunks for each text, so no incident moves
     return gated.join(gathered, "query_text").select(*CARRIED, "hits")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -92,11 +93,16 @@ def embed(df: DataFrame, text: str, model: EmbeddingModel, output: str = "embedd
 def predict(df: DataFrame, prompt: str, model: TextModel, output: str = "output") -> DataFrame:
     """Add the model's answer to ``prompt``, one call item per row.
 
-    A NULL prompt is not sent and answers NULL, so the incident is not lost.
+    A NULL prompt is not sent and answers NULL, so the incident is not lost. Neither is it
+    when the provider fails on every try: its batch answers NULL, which the parser sends a crew for.
     """
 
     def answer(prompts: list[str]) -> list[str | None]:
-        answers = list(_with_retries(lambda: model.call(model.system_prompt, prompts), model.retries))
+        try:
+            answers = list(_with_retries(lambda: model.call(model.system_prompt, prompts), model.retries))
+        except Exception as error:
+            logging.getLogger(__name__).warning("%s failed on %d prompts: %s", model.name, len(prompts), error)
+            return [None] * len(prompts)
         if len(answers) != len(prompts):
             raise ValueError(f"{model.name} returned {len(answers)} answers for {len(prompts)} prompts")
         return answers

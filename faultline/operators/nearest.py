@@ -1,30 +1,43 @@
 """Exact nearest-candidate join on a plane, without pairing every site with every candidate.
 
 Positions are indexed in square cells whose side doubles from level to level; the
-top level is one cell. A site takes the finest level at which its own cell holds a
+top level is one cell that covers every position of both sides. A site takes the finest level at which its own cell holds a
 candidate. That candidate is at most a cell diagonal (1.42 sides) away, so the
 nearest one lies within two cells either way, and only those 25 cells are joined.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = 22
-WORLD_SIDE = 512.0  # degrees; one top-level cell covers every coordinate
+LEAST_WORLD = 512.0  # degrees; the usual coordinates fit, and a wider world doubles it
 
 
-def _cell(position: Column, level: Column) -> Column:
-    side = F.lit(WORLD_SIDE) / F.pow(F.lit(2.0), F.lit(LEVELS - 1) - level)
-    return F.floor((position + WORLD_SIDE / 2) / side)
+def _world(sites: DataFrame, candidates: DataFrame, site_position: tuple[str, str], position: tuple[str, str]) -> float:
+    """Side of a square round the origin that holds every position: a power of two times the least one."""
 
+    def reach(df: DataFrame, columns: tuple[str, str]) -> DataFrame:
+        return df.agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in columns])).cast("double").alias("reach"))
 
-def _indexed(df: DataFrame, x: str, y: str) -> DataFrame:
+    reached = reach(sites, site_position).unionByName(reach(candidates, position)).agg(F.max("reach")).first()[0] or 0.0
+    if not math.isfinite(reached):
+        raise ValueError("positions must be finite")
+    return LEAST_WORLD * 2.0 ** max(0, math.ceil(math.log2(max(reached, 1.0) / (LEAST_WORLD / 2))) + 1)
+
+
+def _cell(position: Column, level: Column, world: float) -> Column:
+    side = F.lit(world) / F.pow(F.lit(2.0), F.lit(LEVELS - 1) - level)
+    return F.floor((position + world / 2) / side)
+
+
+def _indexed(df: DataFrame, x: str, y: str, world: float) -> DataFrame:
     return df.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumns(
-        {"_cx": _cell(F.col(x), F.col("_level")), "_cy": _cell(F.col(y), F.col("_level"))}
+        {"_cx": _cell(F.col(x), F.col("_level"), world), "_cy": _cell(F.col(y), F.col("_level"), world)}
     )
 
 
@@ -44,8 +57,8 @@ def nearest(
 ) -> DataFrame:
     """Per site its nearest candidate of the same group; equal distances go to the smallest identity.
 
-    Sites and candidates need non-NULL positions and distinct site rows. Sites whose
-    group has no candidate are absent from the result.
+    Sites and candidates need finite, non-NULL positions, of any extent, and distinct site
+    rows. Sites whose group has no candidate are absent from the result.
     """
     (sx, sy), (x, y) = site_position, position
     cell = [*group, "_level", "_cx", "_cy"]
@@ -53,18 +66,19 @@ def nearest(
 
     # Candidates at one spot differ only by identity: keep the smallest.
     spots = candidates.groupBy(*group, x, y).agg(F.min(identity).alias(identity))
-    indexed = _indexed(spots, x, y)
+    world = _world(sites, candidates, site_position, position)
+    indexed = _indexed(spots, x, y, world)
 
     occupied = indexed.select(*cell).distinct()
     level = (
-        _indexed(sites.select(*site_columns), sx, sy)
+        _indexed(sites.select(*site_columns), sx, sy, world)
         .join(occupied, cell)
         .groupBy(*site_columns)
         .agg(F.min("_level").alias("_level"))
     )
     reach = F.sequence(F.lit(-2), F.lit(2))
     around = (
-        level.withColumns({"_cx": _cell(F.col(sx), F.col("_level")), "_cy": _cell(F.col(sy), F.col("_level"))})
+        level.withColumns({"_cx": _cell(F.col(sx), F.col("_level"), world), "_cy": _cell(F.col(sy), F.col("_level"), world)})
         .withColumn("_dx", F.explode(reach))
         .withColumn("_dy", F.explode(reach))
         .withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")})

@@ -6,8 +6,9 @@ partition by (key, slice) instead, carrying a bounded amount of state over each
 Ordinary keys stay whole, in slice 0.
 
 Sizes are bounded by construction: a key is hot only above 1/16384 of all rows, so
-there are at most 16,384 hot keys and 32,768 cuts however large the data is. That
-is what makes the driver-side list and the broadcast below safe.
+there are at most 16,384 hot keys and, all together, a few times as many cuts however
+large the data is; one key may hold them all. That is what makes the driver-side list
+and the broadcast below safe. NULL is a key like any other.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 from faultline.functions.scalar import event_micros
 
 MAX_SHARE = 16384
-MAX_SLICES_PER_KEY = 1000
+#: Cuts are looked up in steps of so many.
+STEP = 128
 DEFAULT_ROWS_PER_SLICE = 2_000_000
 SLICE = "_slice"
 
@@ -34,15 +36,23 @@ class Slices:
     cuts: DataFrame
 
     def hot_rows(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.cuts.select(self.key)), self.key, "left_semi")
+        hot = self.cuts.select(F.col(self.key).alias("_hot"))
+        return df.join(F.broadcast(hot), F.col(self.key).eqNullSafe(F.col("_hot")), "left_semi")
 
     def assign(self, df: DataFrame, ts: str) -> DataFrame:
         """Add the slice number: how many of the key's cuts are at or before ``ts``."""
-        passed = F.filter("_cuts", lambda cut: cut <= event_micros(F.col(ts)))
+        at = event_micros(F.col(ts))
+        heads = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / STEP).cast("int")), lambda n: F.get("_cuts", n * STEP)
+        )
+        cuts = self.cuts.filter(F.size("_cuts") > 0).select(F.col(self.key).alias("_hot"), "_cuts", heads.alias("_heads"))
+        whole = F.size(F.filter("_heads", lambda head: head <= at))
+        step = F.slice("_cuts", (whole - 1) * STEP + 1, F.lit(STEP))
+        passed = F.when(whole > 0, (whole - 1) * STEP + F.size(F.filter(step, lambda cut: cut <= at)))
         return (
-            df.join(F.broadcast(self.cuts), self.key, "left")
-            .withColumn(SLICE, F.coalesce(F.size(passed), F.lit(0)))
-            .drop("_cuts")
+            df.join(F.broadcast(cuts), F.col(self.key).eqNullSafe(F.col("_hot")), "left")
+            .withColumn(SLICE, F.coalesce(passed, F.lit(0)))
+            .drop("_hot", "_cuts", "_heads")
         )
 
 
@@ -55,15 +65,15 @@ def hot_slices(
     second pass read its timestamps, into mergeable quantile sketches.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total, most = counts.filter(F.col(key).isNotNull()).agg(F.sum("n"), F.max("n")).first()
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
     limit = max(rows_per_slice or DEFAULT_ROWS_PER_SLICE, -(-(total or 0) // MAX_SHARE))
     if (most or 0) <= limit:
         return None
-    hot = {row[key]: row["n"] for row in counts.filter((F.col("n") > limit) & F.col(key).isNotNull()).collect()}
+    hot = {row[key]: row["n"] for row in counts.filter(F.col("n") > limit).collect()}
 
     spark = df.sparkSession
     key_type = df.schema[key].dataType
-    pieces = min(MAX_SLICES_PER_KEY, max(-(-n // limit) for n in hot.values()))
+    pieces = max(-(-n // limit) for n in hot.values())
     strides = spark.createDataFrame(
         [(k, max(1, pieces // min(pieces, -(-n // limit)))) for k, n in hot.items()],
         T.StructType([T.StructField(key, key_type), T.StructField("stride", T.IntegerType())]),
@@ -71,9 +81,9 @@ def hot_slices(
     fractions = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
     quantiles = (
         df.select(key, event_micros(F.col(ts)).alias("us"))
-        .join(F.broadcast(strides), key)
+        .join(F.broadcast(strides.withColumnRenamed(key, "_hot")), F.col(key).eqNullSafe(F.col("_hot")))
         .groupBy(key, "stride")
-        .agg(F.percentile_approx("us", fractions, F.lit(10000)).alias("q"))
+        .agg(F.percentile_approx("us", fractions, F.lit(4 * MAX_SHARE)).alias("q"))
     )
     kept = F.filter("q", lambda _, i: (i + 1) % F.col("stride") == 0)
     cuts = quantiles.select(key, F.array_sort(F.array_distinct(kept)).alias("_cuts")).collect()

@@ -85,10 +85,14 @@ def plan(
     diagnosed: DataFrame, registry: DataFrame, crews: DataFrame, *,
     slices: Slices | None = None, registry_strategy: str = "auto",
 ) -> DataFrame:
+    """Plans from diagnosed incidents and crews.
+
+    Choosing crews reads the plan base several times, and the base may have model calls
+    or a merge behind it, so it is written out first: each incident is computed, and each
+    model asked, once.
+    """
     found = asof_strategies([registry])[0] if registry_strategy == "auto" else registry_strategy
-    base = planning.plan_base(diagnosed, registry, slices=slices, strategy=found)
-    if found == "merge":  # read twice below, and a merge is worth doing once
-        base = materialize(base)
+    base = materialize(planning.plan_base(diagnosed, registry, slices=slices, strategy=found))
     return planning.build_plans(planning.choose_crews(base, crews), as_of=F.col("decided_ts"))
 
 

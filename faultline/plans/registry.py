@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,7 @@ from faultline.operators.slicing import hot_slices
 from faultline.plans import domain, pipeline
 from faultline.plans.oracle import CTES, RECOVERY_SECONDS, oracle, r
 from faultline.session import materialize
+from faultline.sources import sinks
 from faultline.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -315,10 +317,22 @@ def vector_top3_lsh(spark, d):
     data = domain.table(spark, d, "embeddings")
     return retrieval.vector_search_lsh(
         data.withColumnRenamed("vec_id", "query_id"), data, query_id="query_id", corpus_id="vec_id",
-        k=K.RETRIEVAL_K, dim=VECTOR_DIM, query_vector="embedding",
+        k=K.RETRIEVAL_K, dim=VECTOR_DIM, query_vector="embedding", tables=8, planes=4,
     )
 
 
+@query("SELECT vec_id AS query_id, TRUE AS complete, TRUE AS exact FROM embeddings")
+def vector_lsh_verified(spark, d):
+    """Of each approximate answer: does it hold k neighbours, and is every score the exact cosine?"""
+    data = domain.table(spark, d, "embeddings")
+    found = vector_top3_lsh(spark, d)
+    of = data.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
+    other = data.select("vec_id", F.col("embedding").alias("b"))
+    exact = F.abs(F.col("score") - vectors.cosine(F.col("a"), F.col("b"))) < 1e-6
+    checked = found.join(of, "query_id").join(other, "vec_id")
+    return checked.groupBy("query_id").agg((F.count("*") == K.RETRIEVAL_K).alias("complete"), F.bool_and(exact).alias("exact"))
+
+
 def hash_model(dim: int) -> EmbeddingModel:
     """The hash embedder as an external model, to exercise the provider interface."""
     return EmbeddingModel("hash", dim, lambda texts: dense_rows(texts, dim))
@@ -429,6 +443,17 @@ def work_orders(spark, d):
     return planning.work_orders(_planned(spark, d), F.col("ts"))
 
 
+@query(f"SELECT {', '.join(schemas.WORK_ORDERS.names)} FROM work_orders")
+def work_order_documents(spark, d):
+    """Work orders written to the document store, one half twice, and read back."""
+    orders = materialize(planning.work_orders(_planned(spark, d), F.col("ts")))
+    store = sinks.work_order_documents(f"{spark.sparkContext.getCheckpointDir()}/orders-{uuid.uuid4()}")
+    store.apply(orders, 0)
+    store.apply(orders.filter(F.pmod(F.xxhash64("incident_id"), F.lit(2)) == 0), 1)
+    store.compact(spark)
+    return store.read(spark)
+
+
 # --- recovery -----------------------------------------------------------------
 
 

@@ -87,8 +87,12 @@ class KeyedTable:
 
 
 def work_order_documents(path: str) -> KeyedTable:
-    """Work orders as JSON documents, identified by ``work_order_id``; the newest replaces the rest."""
-    return KeyedTable(path, schemas.WORK_ORDERS, "work_order_id", ("ts",), "json")
+    """Work orders as JSON documents, one an incident; the newest replaces the rest.
+
+    The displayed ``work_order_id`` holds eight characters of the incident id, which many
+    orders may share, so documents are told apart by the whole ``incident_id``.
+    """
+    return KeyedTable(path, schemas.WORK_ORDERS, "incident_id", ("ts", "work_order_id"), "json")
 
 
 def upsert_stream(

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIME = "event_us"
+NO_WATERMARK = -(2**62)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -49,12 +50,12 @@ class InOrder(StatefulProcessor):
         self.memory = handle.getListState("memory", self.memory_schema)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        watermark = max(0, timerValues.getCurrentWatermarkInMs()) * 1000
+        watermark = _watermark(timerValues)
         arrived = [tuple(row[c] for c in self.input_schema.names) for row in rows]
         yield from self._drain(key, [r for r in arrived if r[self.time] >= watermark], watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._drain(key, [], max(0, timerValues.getCurrentWatermarkInMs()) * 1000)
+        yield from self._drain(key, [], _watermark(timerValues))
 
     def close(self) -> None:
         pass
@@ -83,6 +84,12 @@ class InOrder(StatefulProcessor):
             yield named(*values)
 
 
+def _watermark(timer_values) -> int:
+    """The watermark in microseconds. Before there is one Spark reports 0, which no event time has passed."""
+    millis = timer_values.getCurrentWatermarkInMs()
+    return millis * 1000 if millis > 0 else NO_WATERMARK
+
+
 def _store(state, rows: list[tuple]) -> None:
     if rows:
         state.put(rows)
@@ -101,8 +108,16 @@ def in_order(stream: DataFrame, key: str, processor: InOrder) -> DataFrame:
 
 
 def to_micros(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Event time as a number beside ``ts``, so that state is free of time zones."""
-    return df.withColumn(TIME, F.unix_micros(ts))
+    """Event time as a number beside ``ts``, so that state is free of time zones.
+
+    A row without a time has no place in the order and is left out; ``untimed`` gives those rows.
+    """
+    return df.filter(F.col(ts).isNotNull()).withColumn(TIME, F.unix_micros(ts))
+
+
+def untimed(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows that the ordered operators leave out, for a reject output."""
+    return df.filter(F.col(ts).isNull())
 
 
 def state_schema(df: DataFrame, ts: str = "ts") -> T.StructType:

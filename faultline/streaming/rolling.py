@@ -14,16 +14,23 @@ from faultline.streaming.ordered import TIME, InOrder, in_order, state_schema, t
 _MEMORY = T.StructType([T.StructField("value", T.DoubleType())])
 
 
-def zscore(frame: list[float | None]) -> float:
-    """Deviation of the frame's last value from its mean in population std units, 0 without spread."""
-    value = frame[-1]
-    if value is None:
+def zscore(frame: list[float | None]) -> float | None:
+    """Deviation of the frame's last value from its mean in population std units, 0 without spread.
+
+    A missing value has no deviation where there is spread, as in the batch operator.
+    """
+    known = [x for x in frame if x is not None]
+    if not known:
         return 0.0
+    value = frame[-1]
     # Measured from one member: equal values then give exactly no spread.
-    shifted = [x - value for x in frame if x is not None]
+    origin = known[-1]
+    shifted = [x - origin for x in known]
     mean = sum(shifted) / len(shifted)
     variance = sum((x - mean) ** 2 for x in shifted) / len(shifted)
-    return -mean / variance**0.5 if variance > 0 else 0.0
+    if variance <= 0:
+        return 0.0
+    return None if value is None else (value - origin - mean) / variance**0.5
 
 
 class RollingScore(InOrder):

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from faultline.operators import incidents, planning
 from faultline.plans import pipeline
+from faultline.session import materialize
 from faultline.sources.sinks import KeyedTable, fan_out
 from faultline.streaming.asof import asof_join_table
 from faultline.streaming.rolling import rolling_zscore_stream
@@ -42,6 +43,7 @@ def plan_stream(
     crews: KeyedTable,
     tables: dict[str, KeyedTable],
     checkpoint: str,
+    compact_every: int = 100,
 ) -> DataStreamWriter:
     """Plans and what follows from them, per batch, against the crew table of that moment.
 
@@ -57,12 +59,13 @@ def plan_stream(
     }
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        plans = pipeline.plan(batch, registry, crews.read(batch.sparkSession)).persist()
-        try:
-            for name, table in tables.items():
-                table.apply(views[name](plans), batch_id)
-        finally:
-            plans.unpersist()
+        # Stored, so that crews are merged and plans made once, however many tables read them.
+        roster = materialize(crews.read(batch.sparkSession))
+        plans = materialize(pipeline.plan(batch, registry, roster))
+        for name, table in tables.items():
+            table.apply(views[name](plans), batch_id)
+            if batch_id % compact_every == compact_every - 1:
+                table.compact(batch.sparkSession)
 
     return diagnosed.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 

@@ -131,7 +131,7 @@ def test_lsh_finds_most_true_neighbours_and_ranks_exactly(spark):
     q = c.limit(30).select(F.col("id").alias("q"), F.col("embedding").alias("qvec"))
     options = {"query_id": "q", "corpus_id": "id", "k": 3, "dim": 16}
     exact = {(r.q, r.id) for r in retrieval.vector_search(q, c, **options).collect()}
-    found = {(r.q, r.id) for r in retrieval.vector_search_lsh(q, c, planes=4, **options).collect()}
+    found = {(r.q, r.id) for r in retrieval.vector_search_lsh(q, c, tables=8, planes=4, **options).collect()}
     assert len(found & exact) / len(exact) > 0.9
 
 
