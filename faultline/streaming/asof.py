@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from faultline.operators.asof import asof_join
 from faultline.operators.latest import DELETE, OP_COLUMN
-from faultline.streaming.ordered import TIME, InOrder, in_order, state_schema, to_micros
+from faultline.streaming.ordered import TIME, InOrder, in_order, state_schema, timed
 
 _SIDE = "side"
 
@@ -53,13 +53,10 @@ def asof_join_stream(
     has passed it. State per key: one version and the rows inside ``delay``.
     """
     op = F.col(OP_COLUMN) if OP_COLUMN in versions.columns else F.lit(None).cast("string")
-    left = telemetry.withWatermark("ts", delay).withColumn(_SIDE, F.lit(1))
-    right = (
-        versions.select(key, F.col(version_ts).alias("ts"), *payload, op.alias(OP_COLUMN))
-        .withWatermark("ts", delay)
-        .withColumn(_SIDE, F.lit(0))
-    )
-    both = to_micros(left.unionByName(right, allowMissingColumns=True))
+    left = timed(telemetry, delay).withColumn(_SIDE, F.lit(1))
+    changes = versions.select(key, F.col(version_ts).alias("ts"), *payload, op.alias(OP_COLUMN))
+    right = timed(changes, delay).withColumn(_SIDE, F.lit(0))
+    both = left.unionByName(right, allowMissingColumns=True)
     plain = state_schema(both)
     joined = in_order(both, key, AsOf(plain, payload, [TIME, _SIDE, *tie]))
     return joined.withColumn("ts", F.timestamp_micros(TIME)).select(*telemetry.columns, *payload)

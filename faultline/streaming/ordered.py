@@ -12,6 +12,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIME = "event_us"
 NO_WATERMARK = -(2**62)
+#: Watermarks begin at 1970, and rows before one are late. Event times are told to the engine
+#: later by 1969 years, so that any time from the year 1 on is after its beginning.
+SHIFT_US = 62_135_596_800_000_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -78,16 +81,16 @@ class InOrder(StatefulProcessor):
         _store(self.memory, memory)
         wakes = [w for w in (self.wake_at(memory), min((r[self.time] for r in later), default=None)) if w is not None]
         if wakes:
-            self.handle.registerTimer(min(wakes) // 1000 + 1)
+            self.handle.registerTimer((min(wakes) + SHIFT_US) // 1000 + 1)
         named = Row(*self.output_schema.names)
         for values in out:
             yield named(*values)
 
 
 def _watermark(timer_values) -> int:
-    """The watermark in microseconds. Before there is one Spark reports 0, which no event time has passed."""
+    """The watermark in microseconds of event time. Before there is one the engine reports 0."""
     millis = timer_values.getCurrentWatermarkInMs()
-    return millis * 1000 if millis > 0 else NO_WATERMARK
+    return millis * 1000 - SHIFT_US if millis > 0 else NO_WATERMARK
 
 
 def _store(state, rows: list[tuple]) -> None:
@@ -107,12 +110,13 @@ def in_order(stream: DataFrame, key: str, processor: InOrder) -> DataFrame:
     )
 
 
-def to_micros(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Event time as a number beside ``ts``, so that state is free of time zones.
+def timed(df: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
+    """Event time as a number, so that state is free of time zones, and ``ts`` shifted, with a watermark.
 
     A row without a time has no place in the order and is left out; ``untimed`` gives those rows.
     """
-    return df.filter(F.col(ts).isNotNull()).withColumn(TIME, F.unix_micros(ts))
+    known = df.filter(F.col(ts).isNotNull()).withColumn(TIME, F.unix_micros(ts))
+    return known.withColumn(ts, F.timestamp_micros(F.col(TIME) + SHIFT_US)).withWatermark(ts, delay)
 
 
 def untimed(df: DataFrame, ts: str = "ts") -> DataFrame:

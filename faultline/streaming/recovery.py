@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline import constants as K
-from faultline.streaming.ordered import TIME, InOrder, in_order, to_micros
+from faultline.streaming.ordered import TIME, InOrder, in_order, timed
 
 _HEALTHY = "healthy"
 _ACTION = T.StructType(
@@ -79,13 +79,12 @@ def recovery_stream(
     without one, with a NULL ``rec_time``.
     """
     physical = actions.filter(F.col("action_type").isin(*K.PHYSICAL_ACTIONS))
-    left = physical.select("asset_id", "incident_id", "action_type", "ts").withWatermark("ts", delay)
-    right = enriched.filter(F.col("severity") == "info").select("asset_id", "ts").withWatermark("ts", delay)
+    left = timed(physical.select("asset_id", "incident_id", "action_type", "ts"), delay)
+    right = timed(enriched.filter(F.col("severity") == "info").select("asset_id", "ts"), delay)
     both = left.withColumn(_HEALTHY, F.lit(0)).unionByName(
         right.withColumn(_HEALTHY, F.lit(1)), allowMissingColumns=True
     )
-    timed = to_micros(both).select(*_INPUT.names, "ts")
-    found = in_order(timed, "asset_id", Recovery(window_seconds * 1_000_000, report_unresolved))
+    found = in_order(both.select(*_INPUT.names, "ts"), "asset_id", Recovery(window_seconds * 1_000_000, report_unresolved))
     return found.select(
         "incident_id", "asset_id", "action_type",
         F.timestamp_micros("act_us").alias("act_time"), F.timestamp_micros("rec_us").alias("rec_time"),

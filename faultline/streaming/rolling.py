@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline import constants as K
-from faultline.streaming.ordered import TIME, InOrder, in_order, state_schema, to_micros
+from faultline.streaming.ordered import TIME, InOrder, in_order, state_schema, timed
 
 _MEMORY = T.StructType([T.StructField("value", T.DoubleType())])
 
@@ -66,7 +66,7 @@ def rolling_zscore_stream(
 
     State per key: the last ``preceding`` values and the rows inside ``delay``.
     """
-    timed = to_micros(telemetry.withWatermark("ts", delay))
-    plain = state_schema(timed)
-    scored = in_order(timed, key, RollingScore(plain, value, output, preceding, [TIME, *tie]))
+    rows = timed(telemetry, delay)
+    plain = state_schema(rows)
+    scored = in_order(rows, key, RollingScore(plain, value, output, preceding, [TIME, *tie]))
     return scored.withColumn("ts", F.timestamp_micros(TIME)).select(*telemetry.columns, output)

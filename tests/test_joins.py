@@ -179,3 +179,41 @@ def test_last_n_per_key_is_exact_across_partitions(spark):
     got = last_n_per_key(df, "k", 5, ["ts"])
     assert sorted(r.ts for r in got.filter("k = 'hot'").collect()) == [4986, 4989, 4992, 4995, 4998]
     assert got.count() == sum(min(5, r["count"]) for r in df.groupBy("k").count().collect())
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("strategy", ["interval", "merge"])
+def test_asof_null_keys_and_times_match_nothing(spark, strategy, direction):
+    if (strategy, direction) == ("interval", "forward"):
+        pytest.skip("interval joins look backward only")
+    left = spark.createDataFrame([("A", at(5), 1), (None, at(5), 2), ("A", None, 3), (None, None, 4)], "asset_id string, ts timestamp, event_id long")
+    right = spark.createDataFrame(
+        [(None, at(5), 7), ("A", None, 9), ("A", at(5), 1)], "asset_id string, valid_ts timestamp, v int"
+    )
+    got = asof_join(left, right, payload=["v"], strategy=strategy, direction=direction)
+    assert {r.event_id: r.v for r in got.collect()} == {1: 1, 2: None, 3: None, 4: None}
+
+
+def test_nearest_has_no_edge_of_the_world(spark):
+    sites = spark.createDataFrame([("s", 300.0, 0.0), ("s", -5000.0, 80.0), ("s", 0.0, 0.0)], "g string, x double, y double")
+    crews = spark.createDataFrame([("s", 250.0, 0.0, "near"), ("s", -9000.0, 0.0, "far")], "g string, cx double, cy double, crew string")
+    got = nearest(sites, crews, group=["g"], site_position=("x", "y"), position=("cx", "cy"), identity="crew")
+    assert {r.x: r.crew for r in got.collect()} == {300.0: "near", -5000.0: "far", 0.0: "near"}
+
+
+def test_a_hot_key_has_as_many_slices_as_it_needs(spark):
+    rows = spark.range(40_000).select(F.lit("A").alias("asset_id"), F.timestamp_micros(F.col("id") * 1000).alias("ts"))
+    slices = hot_slices(rows, rows_per_slice=20)
+    sizes = slices.assign(rows, "ts").groupBy("_slice").count().collect()
+    assert len(sizes) > 1500 and max(r["count"] for r in sizes) < 200
+    assert sum(r["count"] for r in sizes) == 40_000
+    cuts = slices.cuts.first()["_cuts"]
+    probe = spark.createDataFrame([("A", c - 1) for c in cuts[:300]] + [("A", c) for c in cuts[:300]], "asset_id string, us long")
+    got = slices.assign(probe.withColumn("ts", F.timestamp_micros("us")), "ts").orderBy("us").collect()
+    assert all(r._slice == sum(c <= r.us for c in cuts) for r in got)
+
+
+def test_null_keys_are_sliced_like_any_other(spark):
+    rows = spark.range(1000).select(F.lit(None).cast("string").alias("asset_id"), F.timestamp_micros(F.col("id") * 1000).alias("ts"))
+    slices = hot_slices(rows, rows_per_slice=50)
+    assert slices.assign(rows, "ts").select("_slice").distinct().count() > 10

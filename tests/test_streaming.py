@@ -220,3 +220,35 @@ def test_late_rows_go_aside(spark, tmp_path):
     late = [r.s for r in spark.read.parquet(f"{tmp_path}/out/late").select(F.unix_seconds("ts").alias("s")).collect()]
     on_time = spark.read.parquet(f"{tmp_path}/out/on_time").count()
     assert (late, on_time) == ([EPOCH + 20], 4)
+
+
+def test_zscore_of_a_missing_value_is_null_where_there_is_spread():
+    assert zscore([1.0, 3.0, None]) is None
+    assert zscore([None]) == 0.0
+    assert zscore([None, 2.0, 4.0]) == pytest.approx(1.0)
+
+
+def test_early_missing_and_untimed_values_match_the_batch(spark, tmp_path):
+    rows = [
+        ("A", "1969-05-01 00:00:00", 1, 1.0), ("A", "1969-05-02 00:00:00", 2, 3.0), ("A", "1975-01-01 00:00:00", 3, None),
+        ("A", "1975-01-02 00:00:00", 4, 5.0), ("A", None, 5, 9.0),
+    ]
+    telemetry = spark.createDataFrame(rows, "asset_id string, t string, event_id long, temp_c double")
+    telemetry = telemetry.select("asset_id", F.to_timestamp("t").alias("ts"), "event_id", "temp_c")
+    future = telemetry.limit(1).select(F.lit("SENTINEL").alias("asset_id"), F.lit("2030-01-01").cast("timestamp").alias("ts"), "event_id", "temp_c")
+    for part in (telemetry, future):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = stream_files(spark, f"{tmp_path}/in", telemetry.schema, max_files_per_trigger=1)
+    scored = collected(spark, rolling_zscore_stream(stream, delay=DELAY), tmp_path, "early")
+    want = rolling_zscore(telemetry.filter("ts is not null"))
+    assert {r.event_id: r.temp_zscore for r in scored.collect()} == pytest.approx({r.event_id: r.temp_zscore for r in want.collect()}, nan_ok=True)
+
+
+def test_orders_that_share_eight_characters_are_kept_apart(spark, tmp_path):
+    plans = [(f"12345678-{n}", "WO-12345678", "A", "P1", None, 2, "d", "open") for n in range(3)]
+    orders = spark.createDataFrame(plans, "incident_id string, work_order_id string, asset_id string, priority string, crew_id string, sla_hours int, description string, status string")
+    orders = orders.withColumn("ts", F.timestamp_seconds(F.lit(EPOCH))).select(*schemas.WORK_ORDERS.names)
+    table = work_order_documents(f"{tmp_path}/orders")
+    table.apply(orders, 0)
+    table.apply(orders.limit(1).withColumn("status", F.lit("closed")).withColumn("ts", F.timestamp_seconds(F.lit(EPOCH + 1))), 1)
+    assert sorted(r.status for r in table.read(spark).collect()) == ["closed", "open", "open"]
