@@ -7,7 +7,7 @@ import os
 import time
 
 from faultline.plans.registry import QUERIES
-from faultline.session import local_session
+from faultline.session import drop_stages, local_session
 
 HEADLINE = (
     "rolling_zscore", "rolling_zscore_sliced", "asof_specs", "asof_specs_merged", "severity", "incidents", "chunks",
@@ -26,6 +26,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        drop_stages(spark)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": seconds, "sf": sf_dir}))
 

@@ -50,20 +50,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="faultline-")
     context.setCheckpointDir(shared)
 
 
+def new_stage(spark: SparkSession) -> str:
+    """A new folder in the shared one, which ``drop_stages`` removes."""
+    ensure_checkpoint_dir(spark)
+    context = spark.sparkContext
+    path = f"{context.getCheckpointDir()}/stage-{uuid.uuid4()}"
+    context._faultline_stages = [*getattr(context, "_faultline_stages", []), path]
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a stage that several consumers read, so none of them recomputes it.
 
     A columnar table in the shared folder: it outlives an executor, later readers
     take only the columns they need, and its known size guides their joins.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4()}"
+    path = new_stage(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Remove the stages of this session; call it when their results are written. Returns how many there were."""
+    context = spark.sparkContext
+    paths, context._faultline_stages = getattr(context, "_faultline_stages", []), []
+    hadoop = context._jvm.org.apache.hadoop.fs
+    for path in paths:
+        folder = hadoop.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

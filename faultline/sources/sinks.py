@@ -78,9 +78,24 @@ class KeyedTable:
         return latest.filter(F.coalesce(F.col(OP_COLUMN) != DELETE, F.lit(True))).drop(OP_COLUMN)
 
     def compact(self, spark: SparkSession) -> None:
+        """Fold the log into a new base, and drop what the base before this one had folded already.
+
+        A base is written once, under the number of its newest batch, and never read by its own
+        writing. The last base but one and its log stay for readers that began before.
+        """
+        bases, log = self._batches(spark, "base"), self._batches(spark, "log")
+        if not log or bases and log[-1] <= bases[-1]:
+            return
         latest, newest = self._changes(spark)
-        if newest >= 0:
-            self._write(latest, f"base/batch={newest}")
+        self._write(latest, f"base/batch={newest}")
+        if bases:
+            self._drop(spark, [f"base/batch={n}" for n in bases[:-1]] + [f"log/batch={n}" for n in log if n <= bases[-1]])
+
+    def _drop(self, spark: SparkSession, folders: list[str]) -> None:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for name in folders:
+            folder = hadoop.Path(f"{self.path}/{name}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     def _write(self, df: DataFrame, folder: str) -> None:
         df.write.mode("overwrite").format(self.file_format).options(**self.options).save(f"{self.path}/{folder}")

@@ -252,3 +252,24 @@ def test_orders_that_share_eight_characters_are_kept_apart(spark, tmp_path):
     table.apply(orders, 0)
     table.apply(orders.limit(1).withColumn("status", F.lit("closed")).withColumn("ts", F.timestamp_seconds(F.lit(EPOCH + 1))), 1)
     assert sorted(r.status for r in table.read(spark).collect()) == ["closed", "open", "open"]
+
+
+def test_compaction_keeps_the_listing_short_and_survives_a_replay(spark, tmp_path):
+    table = KeyedTable(f"{tmp_path}/t", spark.range(1).selectExpr("id", "id as v").schema, "id", ("v",))
+    for n in range(12):
+        table.apply(spark.createDataFrame([(n % 3, n)], "id long, v long"), n)
+        if n % 3 == 2:
+            table.compact(spark)
+            table.compact(spark)
+            table.apply(spark.createDataFrame([(n % 3, n)], "id long, v long"), n)
+    assert {r.id: r.v for r in table.read(spark).collect()} == {0: 9, 1: 10, 2: 11}
+    assert len(table._batches(spark, "log")) <= 6 and len(table._batches(spark, "base")) <= 2
+
+
+def test_stages_are_dropped(spark):
+    from faultline.session import drop_stages, materialize
+
+    drop_stages(spark)
+    stored = materialize(spark.range(3))
+    assert stored.count() == 3
+    assert drop_stages(spark) == 1 and drop_stages(spark) == 0
