@@ -33,9 +33,12 @@ from faultline.operators.models import EmbeddingModel, embed
 from faultline.operators.slicing import hot_slices
 from faultline.plans import domain, pipeline
 from faultline.plans.oracle import CTES, RECOVERY_SECONDS, oracle, r
-from faultline.session import materialize
+from faultline.session import materialize, new_stage
 from faultline.sources import sinks
-from faultline.sources.readers import spread
+from faultline.sources.readers import spread, stream_files
+from faultline.streaming.asof import asof_join_stream
+from faultline.streaming.ordered import use_rocksdb
+from faultline.streaming.rolling import rolling_zscore_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +49,7 @@ TABLES = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 VECTOR_DIM = 64
+SENTINEL = "SENTINEL"
 FORCED_SLICE_ROWS = 16  # small enough that ordinary assets take the hot-key path
 
 
@@ -151,6 +155,41 @@ def rolling_zscore_sliced(spark, d):
     return rounded(scored.select("event_id", "asset_id", "temp_zscore"), "temp_zscore")
 
 
+def _replayed(spark, df, ts="ts", parts=3):
+    """A table as a stream of files in rough time order, ended by a far-future row that moves the watermark past all."""
+    folder = new_stage(spark)
+    low, high = df.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    part = F.floor((F.unix_micros(ts) - F.lit(low or 0)) * parts / F.lit((high or 0) - (low or 0) + 1))
+    for n in range(parts):
+        df.filter(part == n).write.mode("append").parquet(f"{folder}/in")
+    last = {ts: F.lit("2100-01-01 00:00:00").cast("timestamp"), "asset_id": F.lit(SENTINEL)}
+    df.limit(1).withColumns(last).write.mode("append").parquet(f"{folder}/in")
+    return folder, stream_files(spark, f"{folder}/in", df.schema)
+
+
+def _streamed(spark, folder, stream):
+    """What a stream appends to a table once its input is used up, without the row that ended it."""
+    sinks.run_available(sinks.append_stream(stream, f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").filter(F.col("asset_id") != SENTINEL)
+
+
+@query("SELECT event_id, asset_id, ts, temp_c FROM telemetry")
+def telemetry_streamed(spark, d):
+    """Readings read as a stream of files and appended to a table."""
+    telemetry = domain.telemetry(spark, d).select("event_id", "asset_id", "ts", "temp_c")
+    return _streamed(spark, *_replayed(spark, telemetry))
+
+
+@query(_ZSCORE)
+def rolling_zscore_streamed(spark, d):
+    """The rolling score from stream state, against the batch oracle."""
+    use_rocksdb(spark)
+    telemetry = domain.telemetry(spark, d).select("event_id", "asset_id", "ts", "temp_c")
+    folder, stream = _replayed(spark, telemetry)
+    scored = _streamed(spark, folder, rolling_zscore_stream(stream, delay="1 day"))
+    return rounded(scored.select("event_id", "asset_id", "temp_zscore"), "temp_zscore")
+
+
 _ASOF_SPECS = f"""
     SELECT a.event_id, {", ".join(f"s.{c}" for c in scoring.SPEC_COLUMNS)} FROM telemetry a
     ASOF LEFT JOIN spec_versions s ON a.asset_id = s.asset_id AND a.ts >= s.valid_ts"""
@@ -163,6 +202,18 @@ def asof_specs(spark, d):
     return joined.select("event_id", *scoring.SPEC_COLUMNS)
 
 
+@query(_ASOF_SPECS)
+def asof_specs_streamed(spark, d):
+    """Readings joined to the specs of their time, both arriving as streams."""
+    use_rocksdb(spark)
+    telemetry = domain.telemetry(spark, d).select("event_id", "asset_id", "ts")
+    specs = domain.spec_versions(spark, d).select("asset_id", "valid_ts", *scoring.SPEC_COLUMNS)
+    folder, stream = _replayed(spark, telemetry)
+    _, versions = _replayed(spark, specs, "valid_ts")
+    joined = asof_join_stream(stream, versions, payload=scoring.SPEC_COLUMNS, delay="1 day", tie=())
+    return _streamed(spark, folder, joined).select("event_id", *scoring.SPEC_COLUMNS)
+
+
 @query(_ASOF_SPECS)
 def asof_specs_merged(spark, d):
     readings = domain.telemetry(spark, d).select("event_id", "asset_id", "ts")
