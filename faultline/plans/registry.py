@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Callable
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +32,7 @@ from faultline.operators import (
 )
 from faultline.operators.anomaly import rolling_zscore
 from faultline.operators.asof import asof_join
-from faultline.operators.models import EmbeddingModel, embed
+from faultline.operators.models import EmbeddingModel, TextModel, embed
 from faultline.operators.slicing import hot_slices
 from faultline.plans import domain, pipeline
 from faultline.plans.oracle import CTES, RECOVERY_SECONDS, oracle, r
@@ -443,6 +446,40 @@ def rule_diagnosis(spark, d):
     return _shown_diagnosis(diagnosis.reasoned(_contextual(materialize(_raised(spark, d)), spark, d), as_of=F.col("ts")))
 
 
+_PROMPTED = re.compile(
+    r"type=(?P<kind>.*?) signal=(?P<signal>\S+) .*? severity=(?P<severity>\S+) fault_score=(?P<score>\S+)"
+    r" tie_assets=\[(?P<ties>.*?)\]  ENVELOPE.*?CONTEXT \((?P<source>.*?)\): ",
+    re.DOTALL,
+)
+
+
+def _read_prompt(text: str) -> str:
+    """The operating procedure from the words of a prompt alone, as a text model would have to find it."""
+    seen = _PROMPTED.search(text)
+    moving = seen["signal"] in ("vibration_mm_s", "oil_pressure_kpa")
+    score = float(seen["score"])
+    if moving:
+        action = "isolate" if (seen["signal"], seen["severity"]) == ("vibration_mm_s", "critical") else "dispatch_crew"
+    elif seen["severity"] == "warning" and score < 0.5:
+        action = "monitor"
+    else:
+        action = "reroute_load" if seen["ties"] else "throttle_load"
+    found = "Mechanical fault" if moving else "Thermal or load excursion"
+    confidence = Decimal(repr(0.5 + score * 0.45)).quantize(Decimal("0.0001"), ROUND_HALF_UP)
+    return json.dumps({
+        "root_cause": f"{found} on {seen['kind']} indicated by {seen['signal']}", "recommended_action": action,
+        "rationale": f"Severity {seen['severity']}; see {seen['source']}", "confidence": float(confidence), "citation": seen["source"],
+    })
+
+
+@query(f"SELECT {', '.join(_DX)} FROM reasoned")
+def model_diagnosis(spark, d):
+    """The same diagnoses through the model interface: a stand-in model reads the prompts in batches."""
+    model = TextModel(diagnosis.RULE_MODEL_NAME, lambda system, prompts: [_read_prompt(p) for p in prompts])
+    contextual = _contextual(materialize(_raised(spark, d)), spark, d)
+    return _shown_diagnosis(diagnosis.reasoned(contextual, model, as_of=F.col("ts")))
+
+
 # --- planning -----------------------------------------------------------------
 
 
