@@ -30,16 +30,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.bpe import gathered
 from faultline.llm.frames import stage, whole_text
 from faultline.llm.shingles import _LETTER, _powers, mixed
 
 LENGTH = 50
 GRAM = 20
-BLOCK_BYTES = 2_000_000
-#: Bytes of text for each range of anchors and each bucket of suffixes.
+BLOCK_BYTES = 1_000_000
+#: Bytes of text for each range of anchors, and of text round shared anchors for each bucket of suffixes.
 RANGE_BYTES, BUCKET_BYTES = 32_000_000, 4_000_000
-#: Suffixes sorted at a time.
-PART = 400_000
+#: Usual bytes of the text round an anchor.
+AROUND = LENGTH + 12
+#: A bucket is sorted in so many parts, by its anchors, and a part so many suffixes at a time.
+PARTS = 16
+PART = 200_000
 HALF = np.uint64(0xFFFFFFFF)
 
 # A difference cover modulo 7: every difference of two residues is one of two of its members.
@@ -71,7 +75,7 @@ class Block:
         self.hash = np.zeros(0, np.uint64)
         if n < LENGTH:
             return
-        power, self.inverse = _powers(max(1 << 21, 1 << int(np.ceil(np.log2(n + 1)))))
+        power, self.inverse = _powers(max(1 << 20, 1 << int(np.ceil(np.log2(n + 1)))))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_LETTER[data] * power[:n], out=self.sums[1:])
         value = mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.inverse[: n - GRAM + 1])
@@ -149,14 +153,15 @@ def sorted_suffixes(data: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> It
     places = np.flatnonzero(near)
     sample = places[np.isin(places % PERIOD, COVER)]
     depth = -(-int((end[sample] - sample).max(initial=0)) // 8)
-    keys = [words_at(data, sample, end[sample] - sample, n) for n in range(max(depth, 1))]
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        new[1:] |= key[order][1:] != key[order][:-1]
-    rank = np.zeros(len(data), np.int64)
-    rank[sample[order]] = np.cumsum(new)
-    del keys
+    behind = np.zeros(len(sample), np.int32)
+    for n in reversed(range(depth)):  # ranks of the words from the n-th on, from those of the words behind it
+        word = words_at(data, sample, end[sample] - sample, n)
+        order = np.lexsort((behind, word))
+        new = np.zeros(len(order), bool)
+        new[1:] = (word[order][1:] != word[order][:-1]) | (behind[order][1:] != behind[order][:-1])
+        behind[order] = np.cumsum(new, dtype=np.int32)
+    rank = np.zeros(len(data), np.int32)
+    rank[sample] = behind
     first = words_at(data, wanted, end[wanted] - wanted, 0)
     by_first = np.argsort(first, kind="stable")
     edges = np.flatnonzero(np.r_[True, first[by_first][1:] != first[by_first][:-1]])
@@ -168,7 +173,7 @@ def sorted_suffixes(data: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> It
         members = []
         for r in range(PERIOD):
             own = np.flatnonzero(residue == r)
-            key = group[own] << 32 | rank[at[own] + SHIFT[r][r]]
+            key = group[own] << 32 | rank[at[own] + SHIFT[r][r]].astype(np.int64)
             members.append(own[np.argsort(key, kind="stable")])
         # A suffix comes after all smaller ones of every residue; pairs of residues compare at their own shift.
         final = np.zeros(len(at), np.int64)
@@ -177,18 +182,18 @@ def sorted_suffixes(data: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> It
             final[own] += np.arange(len(own))
             for s in range(PERIOD):
                 if s != r and len(members[s]) and len(own):
-                    mine = group[own] << 32 | rank[at[own] + SHIFT[r][s]]
-                    theirs = group[members[s]] << 32 | rank[at[members[s]] + SHIFT[r][s]]
+                    mine = group[own] << 32 | rank[at[own] + SHIFT[r][s]].astype(np.int64)
+                    theirs = group[members[s]] << 32 | rank[at[members[s]] + SHIFT[r][s]].astype(np.int64)
                     final[own] += np.searchsorted(theirs, mine, "right" if s < r else "left")
         out = np.empty_like(at)
         out[final] = at
         yield out
 
 
-def decide(texts: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def decide(whole: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For the windows of all texts, one after another: does the same window stand in a text of a smaller id?"""
-    whole = np.frombuffer(b"".join(texts), np.uint8)
     start = np.cumsum(lengths) - lengths
+    ids = np.unique(ids, return_inverse=True)[1].reshape(-1).astype(np.int32)  # only their order counts
     # Equal texts are one, with their smallest id.
     rows = np.zeros((len(lengths), int(lengths.max())), np.uint8)
     inside = np.arange(rows.shape[1])[None, :] < lengths[:, None]
@@ -196,7 +201,7 @@ def decide(texts: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> np.ndarr
     names = np.ascontiguousarray(np.concatenate([rows, lengths.astype(np.uint8)[:, None]], axis=1))
     _, one, which = np.unique(names.view(f"V{names.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
     which = which.reshape(-1)
-    least = np.full(len(one), np.iinfo(np.int64).max)
+    least = np.full(len(one), np.iinfo(np.int32).max, np.int32)
     np.minimum.at(least, which, ids)
     size = lengths[one]
     padded = size + 8
@@ -204,11 +209,12 @@ def decide(texts: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> np.ndarr
     data = np.zeros(int(padded.sum()) + 16, np.uint8)
     at = np.repeat(base - (np.cumsum(size) - size), size) + np.arange(size.sum())
     data[at] = whole[np.repeat(start[one] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-    text = np.repeat(np.arange(len(one)), padded)
-    end = np.append(np.repeat(base + size, padded), [0] * 16)
+    del rows, names, at
+    text = np.repeat(np.arange(len(one), dtype=np.int32), padded)
+    end = np.append(np.repeat((base + size).astype(np.int32), padded), np.zeros(16, np.int32))
     windows = size - LENGTH + 1
     wanted = np.repeat(base - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    smallest = np.full(len(data), np.iinfo(np.int64).max)
+    smallest = np.full(len(data), np.iinfo(np.int32).max, np.int32)
     for part in sorted_suffixes(data, end, wanted):
         same = np.ones(len(part) - 1, bool)
         for n in range(-(-LENGTH // 8)):
@@ -248,12 +254,13 @@ def blocks(docs: DataFrame) -> DataFrame:
             others = pa.RecordBatch.from_arrays(batch.columns[2:], names=batch.schema.names[2:]) if batch.num_columns > 2 else pa.record_batch([pa.nulls(batch.num_rows)], ["none"])
             begin = 0
             for at, (scalar, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                held.append((scalar, text.as_buffer().to_pybytes()))
-                size += len(held[-1][1])
-                if size >= BLOCK_BYTES:
-                    carried.append(others.slice(begin, at + 1 - begin))
+                raw = text.as_buffer().to_pybytes()
+                if held and size + len(raw) > BLOCK_BYTES:
+                    carried.append(others.slice(begin, at - begin))
                     yield row()
-                    n, held, size, carried, begin = n + 1, [], 0, [], at + 1
+                    n, held, size, carried, begin = n + 1, [], 0, [], at
+                held.append((scalar, raw))
+                size += len(raw)
             carried.append(others.slice(begin))
         if held:
             yield row()
@@ -262,7 +269,7 @@ def blocks(docs: DataFrame) -> DataFrame:
 
 
 def shared_anchors(held: DataFrame, ranges: int) -> DataFrame:
-    """(block, answers): for each range a bit for every anchor of the block, set if another block has it too."""
+    """(block, answers, hits): for each range a bit for every anchor of the block, set if another block has it too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,18 +285,21 @@ def shared_anchors(held: DataFrame, ranges: int) -> DataFrame:
         lists = [np.cumsum(np.ascontiguousarray(spread(p, "u1").reshape(4, -1).T).view(np.uint32).reshape(-1).astype(np.int64)) for p in table.column("anchors").to_pylist()]
         names, count = np.unique(np.concatenate([np.unique(x) for x in lists]), return_counts=True)
         several = names[count > 1]
-        return pa.table({"block": table.column("block"), "range": table.column("range"), "bits": pa.array([several_of(x, several) for x in lists], pa.binary())})
+        shared = [_inside(x, several) for x in lists]
+        return pa.table({
+            "block": table.column("block"), "range": table.column("range"),
+            "bits": pa.array([np.packbits(x).tobytes() for x in shared], pa.binary()), "hits": pa.array([int(x.sum()) for x in shared], pa.int64()),
+        })
 
     sent = held.mapInArrow(send, "range int, block long, anchors binary")
-    answered = sent.groupBy("range").applyInArrow(meet, "block long, range int, bits binary")
-    return answered.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("answers"))
+    answered = sent.groupBy("range").applyInArrow(meet, "block long, range int, bits binary, hits long")
+    return stage(answered.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("answers"), F.sum("hits").alias("hits")))
 
 
-def several_of(anchors: np.ndarray, several: np.ndarray) -> bytes:
-    if not len(several):
-        return np.packbits(np.zeros(len(anchors), bool)).tobytes()
-    at = np.minimum(np.searchsorted(several, anchors), len(several) - 1)
-    return np.packbits(several[at] == anchors).tobytes()
+def _inside(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
 def _answers(row: dict, ranges: int) -> dict[int, np.ndarray]:
@@ -306,25 +316,36 @@ def repeated_windows(held: DataFrame, ranges: int, buckets: int) -> DataFrame:
                 _, _, one = block.texts(block.shared(ranges, _answers(row, ranges)))
                 bucket = part_of(block.hash[one], buckets)
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(one) else np.zeros(0, int)
-                out: dict[str, list] = {"bucket": [], "block": [], "ids": [], "lengths": [], "texts": []}
+                out: dict[str, list] = {"bucket": [], "block": [], "ids": [], "lengths": [], "parts": [], "texts": []}
                 for a, b in zip(edges, [*edges[1:], len(one)], strict=False):
                     runs = one[a:b]
                     out["bucket"].append(int(bucket[a]))
                     out["block"].append(row["block"])
                     out["ids"].append(squeeze(block.ids[block.run_doc[runs]]))
                     out["lengths"].append(squeeze((block.high[runs] + LENGTH - block.low[runs]).astype(np.uint8)))
+                    out["parts"].append(squeeze((block.hash[runs] >> np.uint64(16)).astype(np.uint8) % PARTS))
                     out["texts"].append(zstandard.compress(b"".join(block.data[x:y].tobytes() for x, y in zip(block.low[runs], block.high[runs] + LENGTH, strict=True)), 3))
-                yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("texts", pa.binary())]))
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("parts", pa.binary()), ("texts", pa.binary())]))
 
     def sort(table: pa.Table) -> pa.Table:
         lengths = [spread(p, "u1").astype(np.int64) for p in table.column("lengths").to_pylist()]
         ids = np.concatenate([spread(p, "i8") for p in table.column("ids").to_pylist()])
-        hit = decide([zstandard.decompress(p) for p in table.column("texts").to_pylist()], ids, np.concatenate(lengths))
+        parts = np.concatenate([spread(p, "u1") for p in table.column("parts").to_pylist()])
+        texts = np.frombuffer(b"".join(zstandard.decompress(p) for p in table.column("texts").to_pylist()), np.uint8)
+        size = np.concatenate(lengths)
+        start, first = np.cumsum(size) - size, np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1)
+        hit = np.zeros(int((size - LENGTH + 1).sum()), bool)
+        for part in range(PARTS):  # equal windows have one anchor, so they are in one part
+            own = np.flatnonzero(parts == part)
+            if len(own):
+                windows = size[own] - LENGTH + 1
+                some = decide(gathered(texts, start[own], size[own]), ids[own], size[own])
+                hit[gathered(np.arange(len(hit)), first[own], windows)] = some
         ends = np.cumsum([0, *(int((x - LENGTH + 1).sum()) for x in lengths)])
         bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
-    sent = held.mapInArrow(send, "bucket int, block long, ids binary, lengths binary, texts binary")
+    sent = held.mapInArrow(send, "bucket int, block long, ids binary, lengths binary, parts binary, texts binary")
     answered = sent.groupBy("bucket").applyInArrow(sort, "block long, bucket int, bits binary")
     return answered.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("flags"))
 
@@ -373,9 +394,11 @@ def cut(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tupl
     held = blocks(chosen.where("doc_id is not null"))
     total = held.agg(F.sum("n_bytes")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges, buckets = max(least, total // RANGE_BYTES), max(least, total // BUCKET_BYTES)
+    ranges = max(least, total // RANGE_BYTES)
     bare = held.drop("carried")
-    found = shared_anchors(bare, ranges)
+    counted = shared_anchors(bare, ranges)
+    found = counted.drop("hits")
+    buckets = max(least, AROUND * (counted.agg(F.sum("hits")).first()[0] or 0) // BUCKET_BYTES)
     flagged = repeated_windows(bare.join(found, "block", "left"), ranges, buckets)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
