@@ -6,8 +6,8 @@ Equal sets are one class from the start; the join runs between classes.
    shingles rare first; any order that is the same everywhere gives right results, so its size is fixed.
 2. Each class sends its prefix, the rarest ``n - ceil(t n) + 1`` shingles, to the shingle's partition. There the
    sorted classes of a shingle are streamed: each is paired with the first that passes the length and positional
-   filters, and shingles of three or more classes report their members. Frequent shingles are dealt over ``PARTS``
-   salted parts, whose members are reported too.
+   filters, and shingles of three or more classes report the members that others can reach. Frequent shingles are
+   dealt over ``PARTS`` salted parts, whose members are reported too.
 3. Pairs are verified once on whole sets, after a suffix filter that bounds the overlap by counts of parts of the
    sets. Their links give preliminary components.
 4. Only shingles whose members still lie in different components need more pairs: first each member with one of
@@ -138,77 +138,129 @@ def prefixes(docs: DataFrame, order, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(in_task, "token long, part int, class long, n int, pos int")
 
 
+def reach_of(n, pos, percent: int = PERCENT):
+    """The largest partner that a set of size n may have if its first common shingle stands at pos of its order.
+
+    Two sets pass the positional filter at a shingle exactly if each is within the other's reach there.
+    """
+    return (n - pos) * (100 + percent) // percent - n
+
+
+class Groups:
+    """Members of shingles of one task, shingles with the same members under one name with the longest reach."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, list[np.ndarray]] = {}
+        self.size = 0
+
+    def add(self, name: int, members: np.ndarray) -> None:
+        """``members`` has columns class, n, reach, in order of class."""
+        if name in self.held and len(self.held[name]) == len(members):
+            self.held[name][:, 2] = np.maximum(self.held[name][:, 2], members[:, 2])
+        else:
+            self.held[name] = members
+            self.size += len(members)
+
+    def drained(self) -> np.ndarray:
+        """Rows (class, n, reach, group) of everything held."""
+        rows = [np.column_stack([m, np.full(len(m), name)]) for name, m in self.held.items()]
+        self.held, self.size = {}, 0
+        return np.concatenate([np.zeros((0, 4), np.int64), *rows])
+
+
 def meet(sorted_rows: DataFrame, percent: int) -> DataFrame:
-    """Streams the classes of each token in order of size: rows (a, b, null) of pairs and (null, b, group) of members."""
+    """Streams the classes of each token in order of size: rows (a, b) of pairs, and (b, n, reach, group) of members."""
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set[tuple[int, int]] = set()
-        reported: set[int] = set()
-        held = None  # rows of the last token so far, as (token, part), hub, open members
-
-        def finish(group, out) -> None:
-            (token, part), members, open_group = group[0], group[2], group[3]
-            if open_group:
-                out[1].extend((m, token) for m in members)
-            elif len(members) >= 3 or part and members:
-                name = token if part else int(mixed(np.array([np.sort(mixed(np.array(members, np.int64).view(np.uint64))).sum(), len(members)], np.uint64)).sum().view(np.int64))
-                if part or name not in reported:
-                    if len(reported) > REMEMBERED:
-                        reported.clear()
-                    reported.add(name)
-                    out[1].extend((m, name) for m in members)
+        groups = Groups()
+        pairs: list[tuple[int, int]] = []
+        open_members: list[np.ndarray] = []
+        held = None  # the last token so far: (token, part), hub, rows of its members, whether they go by the token
+
+        def say(a: int, b: int) -> None:
+            pair = (min(a, b), max(a, b))
+            if pair not in said:
+                if len(said) > REMEMBERED:
+                    said.clear()
+                said.add(pair)
+                pairs.append(pair)
+
+        def finish() -> None:
+            (token, part), _, rows, by_token = held
+            if not rows:
+                return
+            members = np.concatenate(rows)
+            if by_token or part:
+                open_members.append(np.column_stack([members, np.full(len(members), token)]))
+                return
+            while len(members) > 1 and not (fits := members[:, 2] >= members[:, 1].min()).all():
+                members = members[fits]  # nobody here is within their reach
+            if len(members) == 2:
+                say(int(members[0, 0]), int(members[1, 0]))
+            elif len(members) > 2:
+                members = members[np.argsort(members[:, 0], kind="stable")]
+                groups.add(class_of(members[:, 0].view(np.uint64)), members)
+
+        def shipped() -> pa.RecordBatch:
+            rows = np.concatenate([np.zeros((0, 4), np.int64), *open_members])
+            if groups.size > REMEMBERED:
+                rows = np.concatenate([rows, groups.drained()])
+            out = _met(pairs, rows)
+            pairs.clear()
+            open_members.clear()
+            return out
 
         for batch in batches:
-            token, part, name, n, pos = (batch.column(k).to_numpy() for k in range(5))
-            out: tuple[list, list] = ([], [])
+            token, part, name, n, pos = (batch.column(k).to_numpy().astype(np.int64) for k in range(5))
+            reach = reach_of(n, pos, percent)
             edge = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])])
             for start, end in zip(edge.tolist(), [*edge[1:].tolist(), len(token)], strict=True):
                 at = (int(token[start]), int(part[start]))
                 if held is None or held[0] != at:
                     if held is not None:
-                        finish(held, out)
+                        finish()
                     if end - start == 1 and end < len(token) and not at[1]:
                         held = None  # a token of one class
                         continue
-                    held = [at, (int(name[start]), int(n[start]), int(pos[start])), [], False]
-                hub, hub_n, hub_pos = held[1]
-                some_n, some_pos = n[start:end].astype(np.int64), pos[start:end]
-                least = needed(some_n, hub_n, percent)
-                fits = (100 * np.minimum(some_n, hub_n) >= percent * np.maximum(some_n, hub_n)) & (1 + np.minimum(some_n - some_pos, hub_n - hub_pos) - 1 >= least)
-                fits &= name[start:end] != hub
+                    held = [at, (int(name[start]), int(n[start]), int(reach[start])), [], False]
+                hub, hub_n, hub_reach = held[1]
+                fits = (n[start:end] <= hub_reach) & (hub_n <= reach[start:end]) & (name[start:end] != hub)
                 for other in name[start:end][fits].tolist():
-                    pair = (min(hub, other), max(hub, other))
-                    if pair not in said:
-                        if len(said) > REMEMBERED:
-                            said.clear()
-                        said.add(pair)
-                        out[0].append(pair)
-                # The next hub is the last class whose size the first can't reach.
-                far = np.flatnonzero(100 * hub_n < percent * some_n)
+                    say(hub, other)
+                # The next hub is the last class that the first can't reach.
+                far = np.flatnonzero(100 * hub_n < percent * n[start:end])
                 if len(far):
                     last = start + int(far[-1])
-                    held[1] = (int(name[last]), int(n[last]), int(pos[last]))
-                held[2] += name[start:end].tolist()
-                if len(held[2]) > NAMED:  # too many to name together: the token itself is the group
-                    out[1].extend((m, at[0]) for m in held[2])
+                    held[1] = (int(name[last]), int(n[last]), int(reach[last]))
+                held[2].append(np.column_stack([name[start:end], n[start:end], reach[start:end]]))
+                if held[3] or sum(map(len, held[2])) > NAMED:  # too many to name together: the token itself is the group
+                    open_members.append(np.column_stack([np.concatenate(held[2]), np.full(sum(map(len, held[2])), at[0])]))
                     held[2], held[3] = [], True
-            if out[0] or out[1]:
-                yield _met(out)
-        out = ([], [])
+            yield shipped()
         if held is not None:
-            finish(held, out)
-        yield _met(out)
+            finish()
+        yield shipped()
+        yield _met([], groups.drained())
+
+    return sorted_rows.mapInArrow(in_task, "a long, b long, n long, reach long, group long")
+
 
-    return sorted_rows.mapInArrow(in_task, "a long, b long, group long")
+def _met(pairs: list[tuple[int, int]], members: np.ndarray) -> pa.RecordBatch:
+    both = np.array(pairs, np.int64).reshape(-1, 2)
+    none = pa.nulls(len(both), pa.int64())
 
+    def column(first, rest) -> pa.Array:
+        return pa.concat_arrays([first, rest])
 
-def _met(out: tuple[list, list]) -> pa.RecordBatch:
-    pairs, members = out
-    return pa.RecordBatch.from_pydict({
-        "a": pa.array([p[0] for p in pairs] + [None] * len(members), pa.int64()),
-        "b": pa.array([p[1] for p in pairs] + [m[0] for m in members], pa.int64()),
-        "group": pa.array([None] * len(pairs) + [m[1] for m in members], pa.int64()),
-    })
+    return pa.RecordBatch.from_arrays(
+        [
+            column(pa.array(both[:, 0]), pa.nulls(len(members), pa.int64())),
+            column(pa.array(both[:, 1]), pa.array(members[:, 0])),
+            *(column(none, pa.array(members[:, k])) for k in (1, 2, 3)),
+        ],
+        ["a", "b", "n", "reach", "group"],
+    )
 
 
 def histogram(shingles: np.ndarray) -> bytes:
@@ -269,8 +321,9 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(group, class, component) of the groups whose members lie in different components."""
-    placed = members.join(found, members["class"] == found.node, "left").select("group", "class", F.coalesce("component", "class").alias("component"))
+    """(group, class, n, reach, component) of the groups whose members lie in different components."""
+    chosen = members.select("group", "class", "n", "reach")
+    placed = chosen.join(found, chosen["class"] == found.node, "left").select("group", "class", "n", "reach", F.coalesce("component", "class").alias("component"))
     mixed_groups = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     return placed.join(mixed_groups.select("group"), "group", "left_semi")
 
@@ -288,7 +341,7 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     order = spark.sparkContext.broadcast(counters(profiled))
     rows = prefixes(chosen, order, percent).repartition("token", "part").sortWithinPartitions("token", "part", "n", "class")
     met = stage(meet(rows, percent))
-    groups = met.where("group is not null").select("group", F.col("b").alias("class")).distinct()
+    groups = met.where("group is not null").groupBy("group", F.col("b").alias("class")).agg(F.max("n").alias("n"), F.max("reach").alias("reach"))
     first = met.where("group is null").select("a", "b").distinct()
     ids = members.where("class is not null and doc_id is not null")
     classes = met.select(F.col("b").alias("class")).unionByName(met.where("a is not null").select(F.col("a").alias("class"))).distinct()
@@ -296,17 +349,16 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
 
     links = stage(verify(first, texts, percent))
     open_groups = stage(unsettled(groups, components(links)))
-    hub = open_groups.groupBy("group").agg(F.min(F.struct("component", "class")).alias("hub"))
-    second = open_groups.join(hub, "group").where("component != hub.component").select(F.col("class").alias("a"), F.col("hub.class").alias("b"))
+    hub = open_groups.groupBy("group").agg(F.min(F.struct("component", "class", "n", "reach")).alias("hub"))
+    within = (F.col("n") <= F.col("hub.reach")) & (F.col("hub.n") <= F.col("reach"))
+    second = open_groups.join(hub, "group").where((F.col("component") != F.col("hub.component")) & within).select(F.col("class").alias("a"), F.col("hub.class").alias("b"))
     tried = first.unionByName(ordered(second))
     more = stage(verify(ordered(second).join(first, ["a", "b"], "left_anti"), texts, percent))
     links = links.unionByName(more)
     open_groups = stage(unsettled(groups.join(open_groups, "group", "left_semi"), components(links)))
-    size = texts.select("class", "n")
-    sized = open_groups.join(size, "class")
-    other = sized.select("group", *(F.col(c).alias(f"{c}_b") for c in ("class", "component", "n")))
-    near = 100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")
-    third = ordered(sized.join(other, "group").where(F.col("component") < F.col("component_b")).where(near).select(F.col("class").alias("a"), F.col("class_b").alias("b")))
+    other = open_groups.select("group", *(F.col(c).alias(f"{c}_b") for c in ("class", "component", "n", "reach")))
+    near = (F.col("component") < F.col("component_b")) & (F.col("n") <= F.col("reach_b")) & (F.col("n_b") <= F.col("reach"))
+    third = ordered(open_groups.join(other, "group").where(near).select(F.col("class").alias("a"), F.col("class_b").alias("b")))
     links = links.unionByName(stage(verify(third.join(tried, ["a", "b"], "left_anti"), texts, percent)))
     return labelled(members, links)
 
