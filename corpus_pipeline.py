@@ -16,12 +16,15 @@ repeat an id live and go together in stage 2, and are cut each for itself in sta
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import language_id, ngram_join, packing, pii, suffix_dedup
-from faultline.llm.frames import stage
+from faultline.llm.frames import short_batches, stage
 from faultline.llm.queries import tokenizer_file
+from faultline.session import ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,12 +64,24 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _shipped(step):
+    """A stage that first lets the workers import this package, as the queries do."""
+
+    @wraps(step)
+    def run_step(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        short_batches(spark)
+        return step(spark, docs, sf_dir)
+
+    return run_step
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("ngram_join", drop_near_copies),
-    ("suffix_dedup", cut_repeats),
-    ("pii", hide_personal_data),
-    ("packing", pack_sequences),
+    ("language_id", _shipped(identify_language)),
+    ("ngram_join", _shipped(drop_near_copies)),
+    ("suffix_dedup", _shipped(cut_repeats)),
+    ("pii", _shipped(hide_personal_data)),
+    ("packing", _shipped(pack_sequences)),
 ]
 
 #: Learning, message passing and tokenizing are beyond SQL; the tests hold each stage against a plain version.

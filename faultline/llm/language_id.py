@@ -30,7 +30,7 @@ SMOOTHING = 0.2
 ROUNDS = 8
 PENALTY = 2.0
 #: Numbers of (trigram, language) held at once.
-CELLS = 8_000_000
+CELLS = 2_400_000
 UNKNOWN = "und"
 
 #: Letters stay, everything else of ASCII parts words.
