@@ -31,14 +31,14 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.frames import whole_text
+from faultline.llm.frames import stage, whole_text
 
 #: Words compiled into the transducer.
 LEXICON_WORDS = 1 << 16
 #: The longest word, in bytes, that the transducer holds and that numpy merges; longer ones are merged one by one.
 SHORT_WORD = 24
 #: Characters tokenized together, and longer words remembered by a worker.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 900_000
 REMEMBERED_WORDS = 50_000
 NO_RANK = np.int32(2**31 - 1)
 
@@ -438,7 +438,7 @@ def worker_encoder(path: str, lexicon: str | None = None) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text: str = "text") -> DataFrame:
-    """The ``size`` most frequent pre-tokens of all texts as (word, n); counted in every task before the shuffle."""
+    """The most frequent pre-tokens of all texts as (word, n), at most ``size``; counted in every task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = vocabulary(path)
@@ -454,7 +454,16 @@ def frequent_words(docs: DataFrame, path: str, size: int = LEXICON_WORDS, text:
                 yield pa.RecordBatch.from_arrays([pa.array(list(odd), pa.string()), pa.array(list(odd.values()), pa.int64())], ["word", "n"])
 
     counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    summed = stage(counted.groupBy("word").agg(F.sum("n").alias("n")))
+    # The least count that leaves at most ``size`` words, from a histogram of a few hundred steps.
+    steps = summed.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+    least, held = None, 0
+    for row in sorted(steps.collect(), key=lambda r: -r.step):
+        held += row.words
+        if held > size:
+            break
+        least = row.least
+    return summed.where(F.col("n") >= F.lit(least))
 
 
 def compile_lexicon(words: DataFrame, path: str) -> str:
