@@ -151,8 +151,10 @@ class Lexicon:
 class Vocabulary:
     """Pre-tokens, merges and token strings of a word-level BPE file of the ``tokenizers`` format."""
 
-    #: Text below U+0250 has no combining marks and settled classes, so Python splits it as the library does.
-    PLAIN = re.compile("[^\\x00-\\u024f]")
+    #: Text below U+0250 has no combining marks and settled classes, so Python splits it as the library does; capitals
+    #: whose lower-case form lies above, such as U+0130, are left to the library.
+    RISING = "".join(chr(c) for c in range(0x250) if max(chr(c).lower()) >= "\u0250")
+    PLAIN = re.compile(f"[^\\x00-\\u024f]|[{RISING}]")
     SPACE = frozenset("\t\n\v\f\r \x85\xa0")
 
     def __init__(self, path: str) -> None:

@@ -38,6 +38,15 @@ def test_random_words_match_library(path, library):
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_short_character_matches_library(path, library):
+    # Some capitals below U+0250 lower to characters above it, or to three bytes.
+    texts = [form.format(chr(c)) for c in range(0x250) for form in ("{0}", "a{0}b {0}1{0}", "x {0} y", "12{0}'s")]
+    texts += ["İstanbul ve Ankara", "Əliyev", "Ƙasar Ɗan", "Ⱥb Ⱦc dȺ"]
+    flat, sizes = bpe.Encoder(bpe.vocabulary(path)).encode(texts)
+    got = [ids.tolist() for ids in np.split(flat, np.cumsum(sizes)[:-1])]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_transducer_numbers_its_words_and_shares_suffixes():
     words = sorted(a.encode() + b.encode() for a, b in itertools.product(("walk", "talk", "é"), ("", "s", "ed", "ing")))
     walk = bpe.Transducer.of(words)
