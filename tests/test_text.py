@@ -16,6 +16,7 @@ from faultline.functions import hashing, vectors
 from faultline.functions.text import pack_paragraphs
 from faultline.operators import corpus, diagnosis, retrieval
 from faultline.operators.models import EmbeddingModel, TextModel, embed, predict
+from faultline.plans import registry
 from faultline.plans.registry import hash_model
 from faultline.sources.readers import read_manuals
 
@@ -135,6 +136,21 @@ def test_lsh_finds_most_true_neighbours_and_ranks_exactly(spark):
     assert len(found & exact) / len(exact) > 0.9
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_registered_lsh_finds_nine_tenths_of_the_other_neighbours(spark, size):
+    folder = f"/root/testdata/{size}"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, matrix = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    length = np.linalg.norm(matrix, axis=1)
+    scores = np.round(matrix @ matrix.T / np.outer(length, length), 9)
+    best = {ids[n]: ids[np.lexsort((ids, -scores[n]))[:3]] for n in range(len(ids))}
+    exact = {(q, i) for q, found in best.items() for i in found if i != q}
+    given = {(r.query_id, r.vec_id) for r in registry.vector_top3_lsh(spark, folder).collect()}
+    assert len(given & exact) >= 0.9 * len(exact)
+    reported = registry.vector_lsh_recall(spark, folder).first()
+    assert (reported.neighbours, reported.found) == (len(exact), len(given & exact))
+
+
 def contextual(spark, **change):
     row = {
         "incident_id": "i1", "asset_id": "A", "asset_type": "transformer", "region": "North", "severity": "critical",
