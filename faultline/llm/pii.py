@@ -4,7 +4,8 @@ The patterns give the base spans. The field lets the rest of a document learn fr
 tokens that hold a digit or an at sign, its labels the kinds and ``other``. Chain edges join neighbouring
 nodes, skip edges join a node with the last earlier node of the same key, where the key keeps only what
 identifies a value (the digits of a number, a lower-cased address), so that distant repetitions written in
-another way share potentials. Loopy sum-product passing runs a fixed number of rounds over all edges of a
+another way share potentials. Groups of digits that blanks, brackets or dashes part are one node where they repeat
+the digits of a base span, or where together they may be a number. Loopy sum-product passing runs a fixed number of rounds over all edges of a
 document, forwards and backwards, and a token outside the base spans is added where a kind is more likely
 than not. Nodes inside base spans are evidence.
 
@@ -39,6 +40,9 @@ SKIP = 5.0
 PASSED_OVER = 3.0
 ROUNDS = 6
 LEAST_KEY = 7
+#: The most digits of a number, and the digits from which a token is a number by itself.
+MOST_DIGITS = 19
+WHOLE_DIGITS = 9
 
 Span = tuple[str, int, int]
 
@@ -50,6 +54,11 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])++").finditer
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
 _marks = re.compile(r"[0-9@]").search
 _node = re.compile(r"[0-9@]\S*").finditer
+_group = re.compile(r"[0-9]+").finditer
+# What may part the digit groups of a repeated value, and the tokens of one number that is not known from elsewhere.
+_between = re.compile(r"[\s().\[\]\u2010-\u2015-]+").fullmatch
+_beside = re.compile(r"[\x20\t\xa0()\[\]\u2010-\u2015-]+").fullmatch
+_bare = re.compile(r"[0-9()\[\]\u2010-\u2015-]+").fullmatch
 
 
 def luhn(digits: str) -> bool:
@@ -96,8 +105,7 @@ def in_order(spans: list[Span]) -> list[Span]:
 
 
 def nodes(text: str) -> list[tuple[int, int]]:
-    """Tokens with a digit or an at sign, without punctuation at their ends; the digits of one number that
-    blanks part stay separate tokens."""
+    """Tokens with a digit or an at sign, without punctuation at their ends."""
     found, end = [], 0
     for m in _node(text):
         if m.start() < end:
@@ -132,21 +140,88 @@ def key(token: str) -> str | None:
     return None
 
 
-def label_of(node: tuple[int, int], spans: list[Span]) -> int:
-    for kind, start, end in spans:
-        if start < node[1] and node[0] < end:
-            return KINDS.index(kind)
-    return OTHER
+def apart(found: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of ascending intervals those that overlap none of ``taken``, which ascend by their starts."""
+    kept, n, reach = [], 0, 0
+    for start, end in found:
+        while n < len(taken) and taken[n][0] < end:
+            reach = max(reach, taken[n][1])
+            n += 1
+        if reach <= start:
+            kept.append((start, end))
+    return kept
+
+
+def opened(text: str, start: int, end: int) -> tuple[int, int]:
+    """The interval, from an opening bracket on that is closed inside."""
+    closing = {"(": ")", "[": "]"}.get(text[start - 1]) if start else None
+    return (start - 1, end) if closing and closing in text[start:end] else (start, end)
+
+
+def repeats(text: str, taken: list[tuple[int, int]], known: dict[str, list[str]]) -> list[tuple[int, int]]:
+    """Neighbouring digit groups outside ``taken`` that together have one of the known keys, as many as can be.
+
+    ``known`` gives the digits of every key's values: a first group that neither belongs to them nor is needed is left out.
+    """
+    groups = apart([m.span() for m in _group(text)], taken)
+    joins = [_between(text, x[1], y[0]) is not None for x, y in zip(groups, groups[1:], strict=False)]
+    found, at = [], 0
+    while at < len(groups):
+        digits, last, value = "", None, ""
+        for n in range(at, len(groups)):
+            start, end = groups[n]
+            if len(digits) + end - start > MOST_DIGITS:
+                break
+            digits += text[start:end]
+            if key(digits) in known:
+                last, value = n, digits
+            if n < len(joins) and not joins[n]:
+                break
+        if last is not None and last > at and not any(whole.endswith(value) for whole in known[key(value)]):
+            if key(value[groups[at][1] - groups[at][0] :]) == key(value):
+                last = None
+        if last is None:
+            at += 1
+            continue
+        found.append(opened(text, groups[at][0], groups[last][1]))
+        at = last + 1
+    return found
+
+
+def joined(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Tokens, with neighbours of few digits as one where together they have the digits of a number."""
+    sizes = [sum(c in "0123456789" for c in text[a:b]) if b - a < 2 * MOST_DIGITS and _bare(text, a, b) else 0 for a, b in tokens]
+    found, at = [], 0
+    while at < len(tokens):
+        end, total = at + 1, sizes[at]
+        while 0 < sizes[end - 1] < WHOLE_DIGITS and end < len(tokens) and 0 < sizes[end] < WHOLE_DIGITS and _beside(text, tokens[end - 1][1], tokens[end][0]):
+            total += sizes[end]
+            end += 1
+        if LEAST_KEY <= total <= MOST_DIGITS:
+            found.append(tokens[at] if end == at + 1 else opened(text, tokens[at][0], tokens[end - 1][1]))
+        else:
+            found += tokens[at:end]
+        at = end
+    return found
 
 
 def value_nodes(text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
-    """(start, end, label): every base span as one node, and the tokens outside the spans."""
-    rest = [(a, b, OTHER) for a, b in nodes(text) if label_of((a, b), spans) == OTHER]
+    """(start, end, label): every base span as one node, and outside the spans the repeated values and the tokens."""
+    taken = [(a, b) for _, a, b in spans]
+    tokens = apart(nodes(text), taken)
+    known: dict[str, list[str]] = {}
+    for a, b in taken:
+        if (name := key(text[a:b])) is not None and "@" not in name:
+            known.setdefault(name, []).append("".join(c for c in text[a:b] if c in "0123456789"))
+    # A token that has a known key by itself stays as it is.
+    whole = [(a, b) for a, b in tokens if key(text[a:b]) in known]
+    found = repeats(text, sorted([*taken, *whole]), known) if known else []
+    rest = [*found, *whole, *joined(text, apart(tokens, sorted([*found, *whole])))]
     kept: list[tuple[int, int, int]] = []
     for kind, a, b in spans:
         if not kept or a >= kept[-1][1]:
             kept.append((a, b, KINDS.index(kind)))
-    return sorted([*kept, *rest])
+    return sorted([*kept, *((a, b, OTHER) for a, b in rest)])
 
 
 class Potentials:

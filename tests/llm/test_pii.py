@@ -51,6 +51,28 @@ def test_repeated_value_in_another_form_is_added():
     assert pii.added_spans("order 8881234567 and 8881234567", [], field) == []
 
 
+def test_repeated_value_in_parted_groups_is_added():
+    field = pii.Potentials.of([], [])
+    base = "call +1 (555) 123-4567 now, "
+    forms = ["(555) 123-4567", "555 123 4567", "555-123 4567", "1 555 123 4567", "555 1234567", "[555] 123 - 4567", "555\n123\u20134567", "5551234567"]
+    for form in forms:
+        for text in (f"{base}or {form}", f"{base}or tel:{form}, thanks", f"{base}row 7: {form} 2024 12", f"{base}12 {form};{form} end"):
+            added = pii.added_spans(text, pii.base_spans(text), field)
+            assert len(added) == text[len(base) :].count(form), text
+            assert {k for k, _, _ in added} == {"phone"}
+            assert {text[a:b].removeprefix("tel:") for _, a, b in added} == {form}, text
+    for text in (f"{base}or 555 123 4568", f"{base}or 555 123", f"{base}or 555, 123, 4567", f"{base}or 9555 123 45670"):
+        assert pii.added_spans(text, pii.base_spans(text), field) == [], text
+
+
+def test_digit_groups_of_one_number_are_one_node():
+    def parts(text):
+        return [text[a:b] for a, b, _ in pii.value_nodes(text, [])]
+
+    assert parts("ask 555 123-4567 or (555) 987 6543.") == ["555 123-4567", "(555) 987 6543"]
+    assert parts("in 2024 12 pages, 8881234567 12 and v1 2") == ["2024", "12", "8881234567", "12", "v1", "2"]
+
+
 def test_query(spark, sample, tmp_path):
     texts = [*NASTY, *(t for _, t in sample[:80]), "mail a.b@c.de, A.B@C.DE? call +1 (555) 123-4567 or 5551234567", "9" * 5000, "a" * 50_000 + "@"]
     table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
