@@ -10,8 +10,9 @@ document, forwards and backwards, and a token outside the base spans is added wh
 than not. Nodes inside base spans are evidence.
 
 Potentials are trained here by counting on base spans over all documents: how often a token of a shape bears
-each label, and how often one label follows another. Shapes are a bounded table of ``SHAPES`` entries; a rarer
-shape has the average of its class. Skip edges agree with weight ``SKIP``; a token that the patterns passed over
+each label, and how often one label follows another. Every shape counts, in a table of ``SHAPES`` hashed counters,
+where shapes that meet add up; a shape without a count has the average of its class, the kinds that its characters
+allow. Skip edges agree with weight ``SKIP``; a token that the patterns passed over
 starts with log-odds ``PASSED_OVER`` against every kind, so it needs support from elsewhere in the document.
 
 Memory follows one document at a time. Defined results: a null text has no spans; overlapping base spans of
@@ -22,6 +23,7 @@ ids; an empty table gives no rows; other columns stay as they are.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +37,9 @@ from faultline.llm.frames import whole_text
 KINDS = ("email", "ip", "card", "phone")
 LABELS = (*KINDS, "other")
 OTHER = len(KINDS)
-SHAPES = 4096
+SHAPES = 1 << 18
+#: Classes follow the shapes' counters: one for each set of kinds.
+CLASSES = 1 << OTHER
 SKIP = 5.0
 PASSED_OVER = 3.0
 ROUNDS = 6
@@ -130,6 +134,21 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1{3,}", r"\1\1\1", runs)[:48]
 
 
+def allowed(token: str) -> list[bool]:
+    """Which kinds the token's characters allow."""
+    digits = sum(c in "0123456789" for c in token)
+    return ["@" in token, token.count(".") >= 3 and digits >= 4, 12 <= digits <= 19, 7 <= digits <= 15]
+
+
+def counter(name: str) -> int:
+    """The place of a shape's counter."""
+    return zlib.crc32(name.encode()) % SHAPES
+
+
+def class_counter(token: str) -> int:
+    return SHAPES + sum(can << k for k, can in enumerate(allowed(token)))
+
+
 def key(token: str) -> str | None:
     """What tokens of one value share: an address in lower case, or at least ``LEAST_KEY`` digits."""
     if "@" in token:
@@ -225,9 +244,9 @@ def value_nodes(text: str, spans: list[Span]) -> list[tuple[int, int, int]]:
 
 
 class Potentials:
-    """Log-potentials: of labels by shape, and of neighbouring labels."""
+    """Log-potentials: of labels by shape, as how far each leans from ``other`` (NaN without a count), and of neighbouring labels."""
 
-    def __init__(self, by_shape: dict[str, np.ndarray], chain: np.ndarray) -> None:
+    def __init__(self, by_shape: np.ndarray, chain: np.ndarray) -> None:
         self.by_shape, self.chain = by_shape, chain
         skip = np.full((len(LABELS), len(LABELS)), 0.0)
         skip[np.diag_indices(OTHER)] = SKIP
@@ -235,17 +254,20 @@ class Potentials:
         self.skip = skip
 
     @classmethod
-    def of(cls, shapes: list[tuple[str, int, int]], chain: list[tuple[int, int, int]]) -> Potentials:
-        table: dict[str, np.ndarray] = {}
-        for name, label, n in shapes:
-            table.setdefault(name, np.ones(len(LABELS)))[label] += n
+    def of(cls, shapes: list[tuple[int, int, int]], chain: list[tuple[int, int, int]]) -> Potentials:
+        """From (counter, label, n) and (label, following label, n)."""
+        table = np.zeros((SHAPES + CLASSES, len(LABELS)))
+        for place, label, n in shapes:
+            table[place, label] += n
+        held = table.any(axis=1, keepdims=True)
+        by_shape = np.where(held, np.clip(np.log1p(table) - np.log1p(table[:, [OTHER]]), -1.0, 1.0), np.nan).astype(np.float32)
         pairs = np.ones((len(LABELS), len(LABELS)))
         for a, b, n in chain:
             pairs[a, b] += n
         # Neighbours inform, but only by how far they lean beyond the labels' own frequencies.
         joint = pairs / pairs.sum()
         lean = np.log(joint / np.outer(joint.sum(axis=1), joint.sum(axis=0)))
-        return cls({name: np.log(row / row.sum()) for name, row in table.items()}, np.clip(lean, -1.0, 1.0))
+        return cls(by_shape, np.clip(lean, -1.0, 1.0))
 
     def unary(self, token: str, label: int) -> np.ndarray:
         if label != OTHER:
@@ -255,13 +277,11 @@ class Potentials:
         # A passed-over token may still be any kind that its characters allow.
         out = np.full(len(LABELS), -PASSED_OVER)
         out[OTHER] = 0.0
-        digits = sum(c in "0123456789" for c in token)
-        allowed = {"email": "@" in token, "ip": token.count(".") >= 3 and digits >= 4, "card": 12 <= digits <= 19, "phone": 7 <= digits <= 15}
-        for k, kind in enumerate(KINDS):
-            if not allowed[kind]:
-                out[k] = -30.0
-        known = self.by_shape.get(shape(token))
-        return out if known is None else out + np.clip(known - known[OTHER], -1.0, 1.0)
+        out[:OTHER][~np.array(allowed(token))] = -30.0
+        for place in (counter(shape(token)), class_counter(token)):
+            if not np.isnan(self.by_shape[place, OTHER]):
+                return out + self.by_shape[place]
+        return out
 
 
 def added_spans(text: str, base: list[Span], potentials: Potentials) -> list[Span]:
@@ -307,29 +327,28 @@ def added_spans(text: str, base: list[Span], potentials: Potentials) -> list[Spa
 
 
 def train(docs: DataFrame, text: str = "text") -> Potentials:
-    """Count shapes by label and neighbouring labels over all documents; the driver gets the bounded tables."""
+    """Count shapes by label and neighbouring labels over all documents; the driver gets the tables, whose size is fixed."""
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter[tuple[str, int, int]] = Counter()
+            counts: Counter[tuple[int, int, int]] = Counter()
             for value in batch.column(0).to_pylist():
                 if not value or not _marks(value):
                     continue
                 spans = base_spans(value)
                 held = value_nodes(value, spans)
-                counts.update((shape(value[a:b]), label, -1) for a, b, label in held)
-                counts.update(("", x[2], y[2]) for x, y in zip(held, held[1:], strict=False))
-            rows = list(counts)
-            yield pa.RecordBatch.from_pydict({
-                "shape": pa.array([r[0] for r in rows], pa.string()), "label": pa.array([r[1] for r in rows], pa.int32()),
-                "following": pa.array([r[2] for r in rows], pa.int32()), "n": pa.array(list(counts.values()), pa.int64()),
-            })
-
-    counted = docs.select(whole_text(text)).mapInArrow(in_task, "shape string, label int, following int, n long")
-    summed = counted.groupBy("shape", "label", "following").agg(F.sum("n").alias("n"))
-    rows = summed.orderBy((F.col("following") < 0), F.desc("n"), "shape", "label").limit(SHAPES + len(LABELS) ** 2).collect()
-    shapes = [(r.shape, r.label, r.n) for r in rows if r.following < 0]
-    return Potentials.of(shapes, [(r.label, r.following, r.n) for r in rows if r.following >= 0])
+                for a, b, label in held:
+                    counts[counter(shape(value[a:b])), label, -1] += 1
+                    counts[class_counter(value[a:b]), label, -1] += 1
+                counts.update((-1, x[2], y[2]) for x, y in zip(held, held[1:], strict=False))
+            rows = np.array(list(counts), np.int32).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, rows.T.copy()), pa.array(list(counts.values()), pa.int64())], ["place", "label", "following", "n"])
+
+    counted = docs.select(whole_text(text)).mapInArrow(in_task, "place int, label int, following int, n long")
+    rows = counted.groupBy("place", "label", "following").agg(F.sum("n").alias("n")).toArrow()
+    places, labels, followings, n = (rows.column(c).to_pylist() for c in ("place", "label", "following", "n"))
+    shapes = [(p, a, c) for p, a, c in zip(places, labels, n, strict=True) if p >= 0]
+    return Potentials.of(shapes, [(a, b, c) for p, a, b, c in zip(places, labels, followings, n, strict=True) if p < 0])
 
 
 SPANS = "array<struct<kind: string, start: int, end: int>>"

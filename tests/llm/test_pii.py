@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
+
 from faultline.llm import pii, queries
 
 from .conftest import NASTY, table
@@ -73,6 +76,18 @@ def test_digit_groups_of_one_number_are_one_node():
     assert parts("in 2024 12 pages, 8881234567 12 and v1 2") == ["2024", "12", "8881234567", "12", "v1", "2"]
 
 
+def test_every_shape_counts(spark):
+    token, phone = "888/1234567", pii.KINDS.index("phone")
+    frequent = " x ".join(f"{'1' * a}/{'2' * b}:{'3' * c}" for a in range(1, 19) for b in range(1, 17) for c in range(1, 17))
+    few, many = (pii.train(table(spark, texts)) for texts in ([token, "a@b.c"], [token, frequent, frequent]))
+    want = -pii.PASSED_OVER - np.log(2)
+    assert few.unary(token, pii.OTHER)[phone] == pytest.approx(want)
+    assert many.unary(token, pii.OTHER)[phone] == pytest.approx(want)
+    # A shape that was never counted has the average of its class.
+    assert few.unary("8881/234567", pii.OTHER)[phone] == pytest.approx(want)
+    assert pii.Potentials.of([], []).unary(token, pii.OTHER)[phone] == -pii.PASSED_OVER
+
+
 def test_query(spark, sample, tmp_path):
     texts = [*NASTY, *(t for _, t in sample[:80]), "mail a.b@c.de, A.B@C.DE? call +1 (555) 123-4567 or 5551234567", "9" * 5000, "a" * 50_000 + "@"]
     table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
