@@ -369,8 +369,10 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     placed = components(links)
     by_class = ids.join(placed, ids["class"] == placed.node, "left").select("doc_id", F.coalesce("component", "class").alias("root"))
     smallest = by_class.groupBy("root").agg(F.min("doc_id").alias("least"))
-    # Rows that repeat an id with another text tie two components; the smallest id is found through such ties too.
-    tied = by_class.distinct().groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("a", "b")
+    # Rows that repeat an id with other texts tie their components; the smallest id is found through such ties too.
+    rooted = by_class.distinct()
+    first = rooted.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("last")).where("a != last").select("doc_id", "a")
+    tied = rooted.join(first, "doc_id").where("root != a").select("a", F.col("root").alias("b"))
     again = components(tied)
     named = smallest.join(again, smallest.root == again.node, "left").select("root", F.coalesce("component", "root").alias("top"), "least")
     final = named.join(named.groupBy("top").agg(F.min("least").alias("component_id")), "top").select("root", "component_id")

@@ -89,6 +89,14 @@ def test_empty_and_repeated_ids(spark):
     assert rows == [(0, 0, 0), (0, 1, 0), (1, 1, 1), (1, 2, 1), (2, 1, 1)]
 
 
+def test_an_id_with_several_texts_ties_them_all(spark):
+    texts = ["a b c d e f", "x y z", "one two three", "k l m n", "p q"]
+    rows = [(9, t) for t in texts] + list(enumerate(texts, 1)) + [(20, "not tied")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in ngram_join.join(docs).collect()}
+    assert got == {(n, 1) for n in (1, 2, 3, 4, 5, 9)} | {(20, 20)}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
