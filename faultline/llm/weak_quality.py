@@ -3,7 +3,7 @@
 Overlapping heuristics vote good, bad or nothing on every document; people's labels, for at most ``ANNOTATED``
 documents, are one more labeller. Expectation-maximisation over the counts of all documents' vote patterns, a
 table of at most 3 to the number of labellers, estimates how accurate each labeller is, without trusting any.
-The posterior labels of ``TRAINED`` documents train a linear scorer over hashed words and word shapes, and the
+The posterior labels of ``TRAINED`` documents, one row an id (the smallest text hash), train a linear scorer over hashed words and word shapes, and the
 scorer judges every document. A second scorer, trained the same way on votes about insults, marks toxic texts.
 
 Defined results: a null or empty text, or one without words, scores 0 and is not kept; rows are judged each for
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     said = annotations(labels)
     marked = chosen.join(F.broadcast(said), F.col("doc_id") == F.col("labelled_id"), "left")
     known = voted(marked).select(
-        "doc_id", F.concat("votes", F.array(F.coalesce("quality_vote", F.lit(NONE)), F.coalesce("toxic_vote", F.lit(NONE)))).alias("votes"), "labelled_id"
+        "doc_id", F.xxhash64("text").alias("hash"), F.concat("votes", F.array(F.coalesce("quality_vote", F.lit(NONE)), F.coalesce("toxic_vote", F.lit(NONE)))).alias("votes"), "labelled_id"
     )
     known = stage(known)
     counted = known.groupBy("votes").count().collect()  # at most 3 to the number of labellers
@@ -193,8 +193,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     toxic = LabelModel(len(about_toxic)).fit(patterns[:, about_toxic], counts)
     # Labelled documents first, then others; hashed ids make the choice the same at every run.
     order = [F.col("labelled_id").isNull(), F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("doc_id is not null").orderBy(*order).limit(TRAINED).select(F.col("doc_id").alias("sample_id"), "votes")
-    texts = chosen.join(F.broadcast(sample.dropDuplicates(["sample_id"])), F.col("doc_id") == F.col("sample_id"))
+    row = F.min(F.struct("hash", "votes")).alias("row")
+    one = known.where("doc_id is not null").groupBy("doc_id").agg(row, F.max("labelled_id").alias("labelled_id"))
+    sample = one.orderBy(*order).limit(TRAINED).select(F.col("doc_id").alias("sample_id"), "row.hash", "row.votes")
+    texts = chosen.join(F.broadcast(sample), (F.col("doc_id") == F.col("sample_id")) & (F.xxhash64("text") == F.col("hash")))
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("text", "votes")).alias("row")).select("doc_id", "row.text", "row.votes")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 at += len(block)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = texts.select("doc_id", "text", "votes").mapInArrow(hashed, f"doc_id {kind}, votes array<int>, buckets array<int>").limit(2 * TRAINED).collect()
+    rows = texts.select("doc_id", "text", "votes").mapInArrow(hashed, f"doc_id {kind}, votes array<int>, buckets array<int>").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.buckets))
     given = np.array([r.votes for r in rows], np.int64).reshape(-1, labellers + 3)
     buckets = [np.array(r.buckets, np.int64) for r in rows]

@@ -104,6 +104,20 @@ def test_quality_on_documents_outside_the_sample(spark, monkeypatch):
     assert sum(r.score < 0.5 for r in bad) >= 0.9 * len(bad)
 
 
+def test_one_id_with_many_rows_does_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(weak_quality, "TRAINED", 10)
+    seen = []
+    fit = weak_quality.fit_linear
+    monkeypatch.setattr(weak_quality, "fit_linear", lambda buckets, target: seen.append([b.tolist() for b in buckets]) or fit(buckets, target))
+    rows = [(1, f"text {n} of the hot id") for n in range(40)] + [(1, "the hot id")] * 40 + [(n, f"document number {n} alone") for n in range(2, 30)]
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for docs in (rows, rows[::-1]):
+        weak_quality.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    own = [weak_quality.features([t])[0].tolist() for n, t in rows if n != 1]
+    assert len(seen[0]) == 10 and sum(b in own for b in seen[0]) == 9
+    assert seen[0] == seen[1] == seen[2] == seen[3]
+
+
 def test_quality_of_nasty_texts(spark, tmp_path):
     table(spark, NASTY).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(4, 1, 0), (4, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
