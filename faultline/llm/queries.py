@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann_forest, bpe, language_id, license_scan, ngram_join, packing, pii, quality_rules, suffix_dedup, weak_quality
+from faultline.llm import ann_forest, bpe, fill_middle, language_id, license_scan, ngram_join, packing, pii, quality_rules, suffix_dedup, weak_quality
 from faultline.llm.frames import short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,36 @@ def op7_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return weak_quality.judge(docs, weak_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op11_wavelet_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(table(spark, sf_dir, "documents"), unit="line", rate=100, spm=50, seed=7)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restore(), 256).alias("restored_sha256")
+    )
+
+
+ORACLES["op11_wavelet_fill_middle"] = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+         sha256('7:' || doc_id) AS h
+  FROM documents
+), placed AS (
+  SELECT doc_id, t, units, len(units) AS n, ('0x' || substr(h, 25, 8))::BIGINT AS h4,
+         ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS b
+  FROM drawn
+), parted AS (
+  SELECT doc_id, t, n, h4, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain,
+         coalesce(array_to_string(units[1:least(a, b)], ''), '') AS p,
+         coalesce(array_to_string(units[least(a, b) + 1:greatest(a, b)], ''), '') AS m,
+         coalesce(array_to_string(units[greatest(a, b) + 1:], ''), '') AS s
+  FROM placed
+)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN NOT plain THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE WHEN plain THEN t WHEN h4 % 100 < 50 THEN '<S>' || s || '<P>' || p || '<M>' || m
+                   ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parted
+"""
