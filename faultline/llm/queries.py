@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import ann_forest, bpe, fill_middle, language_id, license_scan, ngram_join, packing, pii, quality_rules, suffix_dedup, weak_quality
+from faultline.llm import ann_forest, bpe, fill_middle, gnat_negatives, language_id, license_scan, ngram_join, packing, pii, quality_rules, stable_dups, suffix_dedup, weak_quality
 from faultline.llm.frames import short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +142,58 @@ SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 T
        sha256(t) AS restored_sha256
 FROM parted
 """
+
+
+@query
+def op12_stable_hash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stable_dups.link(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+ORACLES["op12_stable_hash_near_dedup"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y
+    ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(x.v, y.v) >= 0.93
+), reach AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), smallest AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT e.vec_id, coalesce(counted.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(smallest.b, e.vec_id)) AS component_id,
+       least(e.vec_id, coalesce(smallest.b, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counted ON counted.a = e.vec_id LEFT JOIN smallest ON smallest.a = e.vec_id
+"""
+
+
+@query
+def op13_gnat_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = gnat_negatives.quantised(table(spark, sf_dir, "embeddings"), steps=256)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return gnat_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
+ORACLES["op13_gnat_hard_negatives"] = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, n.id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id) AS rank
+  FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
