@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faultline import constants as K
+from faultline.operators.asof import VersionTable, asof_join_all
 from faultline.operators.slicing import SLICE, Slices, desc_all, slice_key
 
 _HALO = "_halo"
@@ -32,19 +33,46 @@ def rolling_zscore(
     rows = telemetry
     if slices is not None:
         main = slices.assign(telemetry, order[0]).withColumn(_HALO, F.lit(False))
-        halo = _halo_rows(telemetry, value, key, order, preceding, slices)
+        halo = halo_rows(telemetry, value, key, order, preceding, slices)
         rows = main.unionByName(halo.withColumn(_HALO, F.lit(True)), allowMissingColumns=True)
 
-    frame = Window.partitionBy(*slice_key(key, slices)).orderBy(*order).rowsBetween(-preceding, 0)
-    mean, std = F.avg(value).over(frame), F.stddev_pop(value).over(frame)
-    rows = rows.withColumns({"_mean": mean, "_std": std})
+    rows = rows.withColumns(_moments(Window.partitionBy(*slice_key(key, slices)).orderBy(*order), value, preceding))
     if slices is not None:
         rows = rows.filter(~F.col(_HALO)).drop(_HALO, SLICE)
+    return _deviation(rows, value, output)
+
+
+def _moments(in_order: WindowSpec, value: str, preceding: int) -> dict[str, Column]:
+    frame = in_order.rowsBetween(-preceding, 0)
+    return {"_mean": F.avg(value).over(frame), "_std": F.stddev_pop(value).over(frame)}
+
+
+def _deviation(rows: DataFrame, value: str, output: str) -> DataFrame:
     score = F.when(F.col("_std") > 0, (F.col(value) - F.col("_mean")) / F.col("_std")).otherwise(F.lit(0.0))
     return rows.withColumn(output, score).drop("_mean", "_std")
 
 
-def _halo_rows(
+def rolling_zscore_with_versions(
+    telemetry: DataFrame,
+    tables: Sequence[VersionTable],
+    *,
+    value: str = "temp_c",
+    key: str = "asset_id",
+    order: Sequence[str] = ("ts", "event_id"),
+    preceding: int = K.ROLLING_PRECEDING_ROWS,
+    slices: Slices | None = None,
+    output: str = "temp_zscore",
+) -> DataFrame:
+    """``rolling_zscore`` and the versions in force at each reading, in one exchange and one sort of telemetry."""
+    order = list(order)
+    halo = None if slices is None else halo_rows(telemetry, value, key, order, preceding, slices)
+    rows = asof_join_all(
+        telemetry, tables, key=key, order=order, slices=slices, halo=halo, frames=lambda spec: _moments(spec, value, preceding)
+    )
+    return _deviation(rows, value, output)
+
+
+def halo_rows(
     telemetry: DataFrame, value: str, key: str, order: list[str], preceding: int, slices: Slices
 ) -> DataFrame:
     """For each slice after a key's first, copies of the ``preceding`` rows before its start.

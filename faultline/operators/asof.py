@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faultline.functions.scalar import event_micros
@@ -18,7 +19,7 @@ OP_COLUMN = "_op"
 DELETE = "delete"
 
 _SIDE, _TIME, _HIT = "_side", "_time", "_hit"
-_APART = "_apart"
+_APART, _HALO = "_apart", "_halo"
 
 
 def asof_join(
@@ -141,6 +142,80 @@ def _merge_join(left, right, payload, key, left_ts, right_ts, tie, direction, sl
     return merged.select(*[F.col(c) for c in left.columns], *[found.getField(c).alias(c) for c in payload])
 
 
+@dataclass(frozen=True)
+class VersionTable:
+    """Versions that a reading may take: what they add, from when each holds, and which wins at equal times."""
+
+    rows: DataFrame
+    payload: Sequence[str]
+    valid_ts: str = "valid_ts"
+    tie: Sequence[str] = ()
+
+
+Frames = Callable[[WindowSpec], dict[str, Column]]
+
+
+def asof_join_all(
+    left: DataFrame,
+    tables: Sequence[VersionTable],
+    *,
+    key: str = "asset_id",
+    order: Sequence[str] = ("ts",),
+    slices: Slices | None = None,
+    frames: Frames | None = None,
+    halo: DataFrame | None = None,
+) -> DataFrame:
+    """LEFT backward as-of joins to several version tables in one exchange and one sort.
+
+    All sides are put together once; a running value for each table gives the version in force.
+    ``order`` is the left rows' own order, its first column their time. ``frames`` adds columns
+    over the left rows alone, from the unbounded window of a key in that order: once the versions
+    are filtered out, it has the partitioning and the order of the running values already. With
+    ``slices``, ``halo`` holds rows that begin a slice's frames and are not given back.
+    Semantics otherwise are those of ``asof_join``.
+    """
+    time, reading = order[0], len(tables)
+    rows = left.withColumns({_TIME: F.col(time), _SIDE: F.lit(reading), _HALO: F.lit(False)})
+    if halo is not None:
+        rows = rows.unionByName(halo.withColumns({_TIME: F.col(time), _SIDE: F.lit(reading), _HALO: F.lit(True)}), allowMissingColumns=True)
+    if slices is not None:
+        # Rows of the halo have been given the slice that they begin.
+        own = slices.assign(rows.filter(~F.col(_HALO)).drop(SLICE), _TIME)
+        rows = own if halo is None else own.unionByName(rows.filter(_HALO), allowMissingColumns=True)
+    placed, ties = [], []
+    for n, table in enumerate(tables):
+        named = [f"_tie_{n}_{i}" for i in range(len(table.tie))]
+        hit = F.struct(_alive(table.rows).alias("alive"), *table.payload).alias(f"{_HIT}_{n}")
+        versions = _placed(table.rows, key, table.valid_ts).select(
+            key, F.col(table.valid_ts).alias(_TIME), F.lit(n).alias(_SIDE), hit, *[F.col(c).alias(t) for c, t in zip(table.tie, named, strict=True)]
+        )
+        versions = versions if slices is None else slices.assign(versions, _TIME)
+        placed.append(versions)
+        ties += named
+        rows = rows.unionByName(versions, allowMissingColumns=True)
+
+    in_order = Window.partitionBy(*slice_key(key, slices)).orderBy(_TIME, _SIDE, *ties, *order[1:])
+    running = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_match_{n}": F.last(f"{_HIT}_{n}", ignorenulls=True).over(running) for n in range(reading)})
+    rows = rows.filter(F.col(_SIDE) == reading)
+    added = frames(in_order) if frames is not None else {}
+    rows = rows.withColumns(added).filter(~F.col(_HALO))
+    out = [F.col(c) for c in (*left.columns, *added)]
+    for n, table in enumerate(tables):
+        match = F.col(f"_match_{n}")
+        if slices is not None:
+            named = [c for c in ties if c.startswith(f"_tie_{n}_")]
+            renamed = placed[n].withColumnsRenamed({f"{_HIT}_{n}": _HIT} | {c: f"_tie_{i}" for i, c in enumerate(named)})
+            carried = _carry_over(renamed, slices, len(named), True).withColumnsRenamed({"_carried": f"_carried_{n}", key: "_of", SLICE: "_in"})
+            of = F.col(key).eqNullSafe(F.col("_of")) & (F.col(SLICE) == F.col("_in"))
+            rows = rows.join(F.broadcast(carried), of, "left").drop("_of", "_in")
+            match = F.coalesce(match, F.col(f"_carried_{n}"))
+        # A NULL key or time has nothing in force: no version has one, and without a time a row stands first.
+        found = F.when(match.alive & F.col(key).isNotNull() & F.col(_TIME).isNotNull(), match)
+        out += [found.getField(c).alias(c) for c in table.payload]
+    return rows.select(*out)
+
+
 def _hashable(df: DataFrame, column: str) -> bool:
     return "map<" not in df.schema[column].dataType.simpleString()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from faultline import constants as K
 from faultline.functions.hashing import sparse_hash_vector
 from faultline.operators import diagnosis, incidents, planning, recovery, scoring
-from faultline.operators.anomaly import rolling_zscore
-from faultline.operators.asof import asof_join, asof_strategies
+from faultline.operators.anomaly import rolling_zscore, rolling_zscore_with_versions
+from faultline.operators.asof import VersionTable, asof_join, asof_join_all, asof_strategies
 from faultline.operators.models import TextModel
 from faultline.operators.slicing import Slices, hot_slices
 from faultline.session import materialize
@@ -22,6 +23,16 @@ CHUNK_ID = "chunk_id"
 Strategies = tuple[str, str]  # of the spec and the registry join
 
 
+def _kinds(specs: DataFrame, registry: DataFrame) -> tuple[VersionTable, VersionTable]:
+    return VersionTable(specs, scoring.SPEC_COLUMNS), VersionTable(registry, ["tie_assets"])
+
+
+def _broadcast_versions(rows: DataFrame, kinds: Sequence[VersionTable]) -> DataFrame:
+    for kind in kinds:
+        rows = asof_join(rows, kind.rows, payload=kind.payload, strategy="interval")
+    return rows
+
+
 def with_versions(
     telemetry: DataFrame,
     specs: DataFrame,
@@ -30,10 +41,15 @@ def with_versions(
     slices: Slices | None = None,
     strategies: Strategies | None = None,
 ) -> DataFrame:
-    """Telemetry with the spec and tie assets valid at each reading."""
-    for_specs, for_registry = strategies or asof_strategies([specs, registry])
-    with_specs = asof_join(telemetry, specs, payload=scoring.SPEC_COLUMNS, slices=slices, strategy=for_specs)
-    return asof_join(with_specs, registry, payload=["tie_assets"], slices=slices, strategy=for_registry)
+    """Telemetry with the spec and tie assets valid at each reading.
+
+    Version tables too large to broadcast are merged with telemetry, all of them in one sort.
+    """
+    kinds = _kinds(specs, registry)
+    chosen = strategies or asof_strategies([specs, registry])
+    merged = [kind for kind, how in zip(kinds, chosen, strict=True) if how == "merge"]
+    rows = asof_join_all(telemetry, merged, slices=slices) if merged else telemetry
+    return _broadcast_versions(rows, [kind for kind, how in zip(kinds, chosen, strict=True) if how != "merge"])
 
 
 def score(
@@ -45,9 +61,18 @@ def score(
     slices: Slices | None = None,
     strategies: Strategies | None = None,
 ) -> DataFrame:
-    """Readings with z-score, envelope, features, fault score and severity."""
-    anomalies = rolling_zscore(telemetry, order=order, slices=slices)
-    return grade(with_versions(anomalies, specs, registry, slices=slices, strategies=strategies))
+    """Readings with z-score, envelope, features, fault score and severity.
+
+    Telemetry is exchanged and sorted once, whether versions are broadcast or merged.
+    """
+    kinds = _kinds(specs, registry)
+    chosen = strategies or asof_strategies([specs, registry])
+    merged = [kind for kind, how in zip(kinds, chosen, strict=True) if how == "merge"]
+    if merged:
+        rows = rolling_zscore_with_versions(telemetry, merged, order=order, slices=slices)
+    else:
+        rows = rolling_zscore(telemetry, order=order, slices=slices)
+    return grade(_broadcast_versions(rows, [kind for kind, how in zip(kinds, chosen, strict=True) if how != "merge"]))
 
 
 def grade(versioned: DataFrame) -> DataFrame:

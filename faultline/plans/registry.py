@@ -39,6 +39,7 @@ from faultline.plans.oracle import CTES, RECOVERY_SECONDS, oracle, r
 from faultline.session import materialize, new_stage
 from faultline.sources import sinks
 from faultline.sources.readers import spread, stream_files
+from faultline.streaming import tables
 from faultline.streaming.asof import asof_join_stream
 from faultline.streaming.ordered import use_rocksdb
 from faultline.streaming.rolling import rolling_zscore_stream
@@ -158,16 +159,22 @@ def rolling_zscore_sliced(spark, d):
     return rounded(scored.select("event_id", "asset_id", "temp_zscore"), "temp_zscore")
 
 
-def _replayed(spark, df, ts="ts", parts=3):
-    """A table as a stream of files in rough time order, ended by a far-future row that moves the watermark past all."""
+def _replayed(spark, df, ts="ts", parts=3, trickle=False, lag_seconds=0):
+    """A table as a stream of files in rough time order, ended by a far-future row that moves the watermark past all.
+
+    With ``trickle`` a batch takes one file, so that later files meet state; with ``lag_seconds`` a row comes in the
+    file of a time that much later than its own.
+    """
     folder = new_stage(spark)
-    low, high = df.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
-    part = F.floor((F.unix_micros(ts) - F.lit(low or 0)) * parts / F.lit((high or 0) - (low or 0) + 1))
+    at = F.unix_micros(ts) + lag_seconds * 1_000_000
+    low, high = df.agg(F.min(F.unix_micros(ts)), F.max(at)).first()
+    part = F.floor((at - F.lit(low or 0)) * parts / F.lit((high or 0) - (low or 0) + 1))
     for n in range(parts):
-        df.filter(part == n).write.mode("append").parquet(f"{folder}/in")
+        rows = df.filter(part == n)
+        (rows.coalesce(1) if trickle else rows).write.mode("append").parquet(f"{folder}/in")
     last = {ts: F.lit("2100-01-01 00:00:00").cast("timestamp"), "asset_id": F.lit(SENTINEL)}
     df.limit(1).withColumns(last).write.mode("append").parquet(f"{folder}/in")
-    return folder, stream_files(spark, f"{folder}/in", df.schema)
+    return folder, stream_files(spark, f"{folder}/in", df.schema, max_files_per_trigger=1 if trickle else None)
 
 
 def _streamed(spark, folder, stream):
@@ -193,6 +200,23 @@ def rolling_zscore_streamed(spark, d):
     return rounded(scored.select("event_id", "asset_id", "temp_zscore"), "temp_zscore")
 
 
+def _version_streams(spark, d):
+    """Specs and registry as streams whose versions come in a file after the first readings that they hold for."""
+    specs = domain.spec_versions(spark, d).select("asset_id", "valid_ts", *scoring.SPEC_COLUMNS)
+    registry = domain.registry(spark, d).select("asset_id", "valid_ts", "tie_assets")
+    return [_replayed(spark, df, "valid_ts", trickle=True, lag_seconds=5 * 86_400)[1] for df in (specs, registry)]
+
+
+@query(f"SELECT event_id, {r('temp_zscore')} AS temp_zscore, {r('fault_score')} AS fault_score, severity, tie_assets FROM severity")
+def scored_streamed(spark, d):
+    """Readings graded on the specs and ties of their time, all three arriving as streams, against the batch oracle."""
+    use_rocksdb(spark)
+    folder, stream = _replayed(spark, domain.telemetry(spark, d), trickle=True)
+    graded = tables.score_stream(stream, *_version_streams(spark, d), delay="12 days")
+    scored = _streamed(spark, folder, graded.select("asset_id", "event_id", "temp_zscore", "fault_score", "severity", "tie_assets"))
+    return rounded(scored.drop("asset_id"), "temp_zscore", "fault_score")
+
+
 _ASOF_SPECS = f"""
     SELECT a.event_id, {", ".join(f"s.{c}" for c in scoring.SPEC_COLUMNS)} FROM telemetry a
     ASOF LEFT JOIN spec_versions s ON a.asset_id = s.asset_id AND a.ts >= s.valid_ts"""
@@ -255,6 +279,17 @@ def severity(spark, d):
     return pipeline.grade(_versioned(spark, d)).select("event_id", "severity")
 
 
+@query(f"SELECT event_id, {r('temp_zscore')} AS temp_zscore, {r('fault_score')} AS fault_score, severity, tie_assets FROM severity")
+def scored_merged(spark, d):
+    """Scoring with both version tables merged into telemetry and hot keys sliced: one exchange, one sort."""
+    telemetry = domain.telemetry(spark, d)
+    slices = hot_slices(telemetry, rows_per_slice=FORCED_SLICE_ROWS)
+    scored = pipeline.score(
+        telemetry, domain.spec_versions(spark, d), domain.registry(spark, d), slices=slices, strategies=("merge", "merge")
+    )
+    return rounded(scored.select("event_id", "temp_zscore", "fault_score", "severity", "tie_assets"), "temp_zscore", "fault_score")
+
+
 _ENRICHED_DOUBLES = (
     "load_pct", "temp_c", "vibration_mm_s", "oil_pressure_kpa", "fault_score", "warning_temp_c", "critical_temp_c",
 )
@@ -588,6 +623,22 @@ def resolved(spark, d):
     return recovery.resolve(_recovery(spark, d))
 
 
+@query(f"SELECT {', '.join(schemas.RESOLVED.names)} FROM resolved")
+def resolved_streamed(spark, d):
+    """Resolutions kept in a table by two chained stateful operators, from streams of readings, versions and actions."""
+    use_rocksdb(spark)
+    actions = planning.executed_actions(_planned(spark, d), F.col("ts")).select("asset_id", "incident_id", "action_type", "ts")
+    folder, stream = _replayed(spark, domain.telemetry(spark, d), trickle=True)
+    # The row that ends the stream must be one that the operator reads.
+    _, acted = _replayed(spark, materialize(actions.filter(F.col("action_type").isin(*K.PHYSICAL_ACTIONS))), trickle=True)
+    table = sinks.KeyedTable(f"{folder}/resolved", schemas.RESOLVED, "incident_id", ("resolved_ts",))
+    writer = tables.resolve_stream(
+        stream, *_version_streams(spark, d), acted, table, f"{folder}/checkpoint", delay="12 days", window_seconds=RECOVERY_SECONDS
+    )
+    sinks.run_available(writer)
+    return table.read(spark).filter(F.col("asset_id") != SENTINEL)
+
+
 # --- KPIs and reports ---------------------------------------------------------
 
 

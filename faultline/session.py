@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,15 +59,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
+_scopes = threading.local()
+
+
 def new_stage(spark: SparkSession) -> str:
-    """A new folder in the shared one, which ``drop_stages`` removes."""
+    """A new folder in the shared one, which the enclosing ``stage_scope`` removes, or else ``drop_stages``."""
     ensure_checkpoint_dir(spark)
     context = spark.sparkContext
     path = f"{context.getCheckpointDir()}/stage-{uuid.uuid4()}"
-    context._faultline_stages = [*getattr(context, "_faultline_stages", []), path]
+    open_scopes = getattr(_scopes, "held", [])
+    if open_scopes:
+        open_scopes[-1].append(path)
+    else:
+        context._faultline_stages = [*getattr(context, "_faultline_stages", []), path]
     return path
 
 
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the stages that this thread makes inside. Write what must outlive them before."""
+    _scopes.held = [*getattr(_scopes, "held", []), []]
+    try:
+        yield
+    finally:
+        made = _scopes.held.pop()
+        _remove(spark, made)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs
+    for path in paths:
+        folder = hadoop.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a stage that several consumers read, so none of them recomputes it.
 
@@ -80,8 +109,5 @@ def drop_stages(spark: SparkSession) -> int:
     """Remove the stages of this session; call it when their results are written. Returns how many there were."""
     context = spark.sparkContext
     paths, context._faultline_stages = getattr(context, "_faultline_stages", []), []
-    hadoop = context._jvm.org.apache.hadoop.fs
-    for path in paths:
-        folder = hadoop.Path(path)
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+    _remove(spark, paths)
     return len(paths)

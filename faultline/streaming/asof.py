@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.operators.asof import asof_join
+from faultline.operators.asof import asof_join, asof_strategy
 from faultline.operators.latest import DELETE, OP_COLUMN
 from faultline.streaming.ordered import TIME, InOrder, in_order, state_schema, timed
 
@@ -46,16 +46,18 @@ def asof_join_stream(
     key: str = "asset_id",
     version_ts: str = "valid_ts",
     tie: tuple[str, ...] = ("event_id",),
+    beats: DataFrame | None = None,
 ) -> DataFrame:
     """Each telemetry row with the newest version at or before it, as of event time.
 
     Both inputs are streams; a row waits until the watermark, the slower of the two,
-    has passed it. State per key: one version and the rows inside ``delay``.
+    has reached it. State per key: one version and the rows inside ``delay``. ``beats``
+    (see ``ordered.timed``) keep versions that seldom change from holding up telemetry.
     """
     op = F.col(OP_COLUMN) if OP_COLUMN in versions.columns else F.lit(None).cast("string")
     left = timed(telemetry, delay).withColumn(_SIDE, F.lit(1))
     changes = versions.select(key, F.col(version_ts).alias("ts"), *payload, op.alias(OP_COLUMN))
-    right = timed(changes, delay).withColumn(_SIDE, F.lit(0))
+    right = timed(changes, delay, beats=beats).withColumn(_SIDE, F.lit(0))
     both = left.unionByName(right, allowMissingColumns=True)
     plain = state_schema(both)
     joined = in_order(both, key, AsOf(plain, payload, [TIME, _SIDE, *tie]))
@@ -63,9 +65,11 @@ def asof_join_stream(
 
 
 def asof_join_table(telemetry: DataFrame, versions: DataFrame, *, payload: Sequence[str], **options) -> DataFrame:
-    """Stateless form for a version table small enough to broadcast.
+    """Stateless form for a version table that is proven small enough to broadcast (``asof_strategy``).
 
-    The table is read when a batch runs, so a version that arrives later than the
-    rows it applies to is missed: processing-time semantics.
+    The table is the one that the query started with; versions that change while it runs are a
+    stream (``asof_join_stream``, ``scoring.versioned_score_stream``).
     """
+    if asof_strategy(versions, options.get("key", "asset_id")) != "interval":
+        raise ValueError("the version table is too large to broadcast; pass its versions as a stream")
     return asof_join(telemetry, versions, payload=payload, strategy="interval", **options)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,20 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIME = "event_us"
+#: Event time as the engine knows it, on a stream that feeds another stateful operator.
+EVENT_TS = "event_ts"
+LATE = "late"
+BEAT = "_beat"
 NO_WATERMARK = -(2**62)
 #: Watermarks begin at 1970, and rows before one are late. Event times are told to the engine
 #: later by 1969 years, so that any time from the year 1 on is after its beginning.
 SHIFT_US = 62_135_596_800_000_000
+#: Waiting rows lie in state in buckets of so much event time.
+BUCKET_US = 900_000_000
+
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+_BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
+_INDEX = T.StructType([T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("firsts", T.ArrayType(T.LongType()))])
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -23,19 +34,28 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class InOrder(StatefulProcessor):
-    """Hands a subclass each key's rows in event-time order, once the watermark has passed them.
-
-    Rows wait in state until then. A row older than the watermark on arrival is late
-    and dropped. ``memory`` is what the subclass keeps between calls: a small list of
-    tuples it must bound itself, given the watermark.
+    """Hands a subclass each key's rows in event-time order, once the watermark has reached them.
+
+    Rows wait in state, in buckets of event time: a batch reads and writes the buckets that
+    are due and those that it adds to, however many rows wait in others. The engine drops
+    rows that an earlier watermark has reached; whatever it lets pass can still be put in
+    order, because a batch releases only up to its own watermark. With ``late_rows`` the
+    engine is not told the rows' times, and rows at or before the watermark are given back
+    as late instead. With ``chained`` the output carries its event time on to a further
+    stateful operator. ``memory`` is what the subclass keeps between calls: a small list
+    of tuples it must bound itself, given the watermark.
     """
 
+    bucket_us = BUCKET_US
+
     def __init__(
         self, input_schema: T.StructType, memory_schema: T.StructType, output_schema: T.StructType, order: list[str]
     ):
         self.input_schema, self.memory_schema, self.output_schema = input_schema, memory_schema, output_schema
         self.time = input_schema.names.index(TIME)
+        self.beat = input_schema.names.index(BEAT) if BEAT in input_schema.names else None
         self.order = [input_schema.names.index(c) for c in order]
+        self.late_rows = self.chained = False
 
     def on_rows(
         self, key: tuple, rows: list[tuple], memory: list[tuple], watermark_us: int
@@ -47,15 +67,33 @@ class InOrder(StatefulProcessor):
         """When, in microseconds, memory needs attention even without rows."""
         return None
 
+    def on_late(self, row: tuple) -> tuple | None:
+        """What to give back for a row that came too late: its own columns, and nothing in those that the operator adds."""
+        by_name = dict(zip(self.input_schema.names, row, strict=True))
+        return tuple(by_name.get(c) for c in self.output_schema.names)
+
+    def emitted_schema(self) -> T.StructType:
+        extra = [T.StructField(LATE, T.BooleanType())] if self.late_rows else []
+        extra += [T.StructField(EVENT_TS, T.TimestampType())] if self.chained else []
+        return T.StructType([*self.output_schema.fields, *extra])
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.input_schema)
+        rows = T.StructType([T.StructField("rows", T.ArrayType(self.input_schema))])
+        self.pending = handle.getMapState("pending", _BUCKET, rows)
+        self.index = handle.getValueState("buckets", _INDEX)
         self.memory = handle.getListState("memory", self.memory_schema)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         watermark = _watermark(timerValues)
         arrived = [tuple(row[c] for c in self.input_schema.names) for row in rows]
-        yield from self._drain(key, [r for r in arrived if r[self.time] >= watermark], watermark)
+        if self.beat is not None:
+            arrived = [r for r in arrived if not r[self.beat]]
+        if self.late_rows:
+            late = [r for r in arrived if r[self.time] <= watermark]
+            arrived = [r for r in arrived if r[self.time] > watermark]
+            yield from self._rows([v for v in map(self.on_late, late) if v is not None], True)
+        yield from self._drain(key, arrived, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._drain(key, [], _watermark(timerValues))
@@ -67,24 +105,51 @@ class InOrder(StatefulProcessor):
         return [(False, 0) if row[i] is None else (True, row[i]) for i in self.order]
 
     def _drain(self, key: tuple, arrived: list[tuple], watermark: int) -> Iterator[Row]:
-        held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        due, later = [], []
-        for row in held + arrived:
-            (due if row[self.time] < watermark else later).append(row)
+        held = self.index.get() if self.index.exists() else None
+        firsts = dict(zip(held[0], held[1], strict=True)) if held else {}
+        before = dict(firsts)
+        due, added = [], {}
+        for row in arrived:
+            if row[self.time] <= watermark:
+                due.append(row)
+            else:
+                added.setdefault(row[self.time] // self.bucket_us, []).append(row)
+        reached = [bucket for bucket, first in firsts.items() if first <= watermark]
+        for bucket in {*reached, *added}:
+            rows = self._bucket(bucket) if bucket in firsts else []
+            due += [r for r in rows if r[self.time] <= watermark]
+            later = [r for r in rows if r[self.time] > watermark] + added.get(bucket, [])
+            if later:
+                self.pending.updateValue((bucket,), (later,))
+                firsts[bucket] = min(r[self.time] for r in later)
+            else:
+                self.pending.removeKey((bucket,))
+                del firsts[bucket]
+        if firsts != before:
+            if firsts:
+                self.index.update((list(firsts), list(firsts.values())))
+            else:
+                self.index.clear()
         memory = [tuple(m) for m in self.memory.get()] if self.memory.exists() else []
-        out, memory = self.on_rows(key, sorted(due, key=self._rank), memory, watermark)
-        if not due and held:
-            if arrived:
-                self.pending.appendList(arrived)
-        else:
-            _store(self.pending, later)
-        _store(self.memory, memory)
-        wakes = [w for w in (self.wake_at(memory), min((r[self.time] for r in later), default=None)) if w is not None]
+        out, kept = self.on_rows(key, sorted(due, key=self._rank), memory, watermark)
+        if kept != memory:
+            _store(self.memory, kept)
+        wakes = [w for w in (self.wake_at(kept), min(firsts.values(), default=None)) if w is not None]
         if wakes:
-            self.handle.registerTimer((min(wakes) + SHIFT_US) // 1000 + 1)
-        named = Row(*self.output_schema.names)
+            # Timers expire below the watermark, and a row is due as soon as the watermark is its time.
+            self.handle.registerTimer(-(-(min(wakes) + SHIFT_US) // 1000) - 1)
+        yield from self._rows(out, False)
+
+    def _bucket(self, bucket: int) -> list[tuple]:
+        return [tuple(r) for r in self.pending.getValue((bucket,))[0]]
+
+    def _rows(self, out: list[tuple], late: bool) -> Iterator[Row]:
+        named = Row(*self.emitted_schema().names)
+        at = self.output_schema.names.index(TIME) if self.chained else 0
         for values in out:
-            yield named(*values)
+            extra = [late] if self.late_rows else []
+            extra += [_EPOCH + timedelta(microseconds=values[at] + SHIFT_US)] if self.chained else []
+            yield named(*values, *extra)
 
 
 def _watermark(timer_values) -> int:
@@ -100,25 +165,51 @@ def _store(state, rows: list[tuple]) -> None:
         state.clear()
 
 
-def in_order(stream: DataFrame, key: str, processor: InOrder) -> DataFrame:
-    """Run a processor per key; ``stream`` needs a watermark and the time column."""
+def in_order(stream: DataFrame, key: str, processor: InOrder, *, late_rows: bool = False, chained: bool = False) -> DataFrame:
+    """Run a processor per key; ``stream`` needs a watermark and the time column.
+
+    ``late_rows`` adds a boolean ``late`` and rows that came too late; ``chained`` adds ``event_ts``,
+    the event time that a further stateful operator sees (``retimed``).
+    """
+    if late_rows and chained:
+        raise ValueError("late rows can't be sent to a further stateful operator")
+    processor.late_rows, processor.chained = late_rows, chained
+    if late_rows:
+        stream = stream.select(*processor.input_schema.names)
     return stream.groupBy(key).transformWithState(
         statefulProcessor=processor,
-        outputStructType=processor.output_schema,
+        outputStructType=processor.emitted_schema(),
         outputMode="append",
         timeMode="eventTime",
+        eventTimeColumnName=EVENT_TS if chained else "",
     )
 
 
-def timed(df: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
+def timed(df: DataFrame, delay: str, ts: str = "ts", beats: DataFrame | None = None) -> DataFrame:
     """Event time as a number, so that state is free of time zones, and ``ts`` shifted, with a watermark.
 
     A row without a time has no place in the order and is left out; ``untimed`` gives those rows.
+    ``beats`` is a stream of times, as ``ts``, up to which the source is complete apart from ``delay``: they
+    move its watermark while it has no rows, and nothing else.
     """
+    if beats is not None:
+        told = beats.select(F.col("ts").alias(ts), F.lit(True).alias(BEAT))
+        df = df.withColumn(BEAT, F.lit(False)).unionByName(told, allowMissingColumns=True)
     known = df.filter(F.col(ts).isNotNull()).withColumn(TIME, F.unix_micros(ts))
     return known.withColumn(ts, F.timestamp_micros(F.col(TIME) + SHIFT_US)).withWatermark(ts, delay)
 
 
+def retimed(chained: DataFrame, ts: str = "ts") -> DataFrame:
+    """The output of a chained operator as ``timed`` would give it: the watermark goes on with it."""
+    return chained.drop(ts).withColumnRenamed(EVENT_TS, ts)
+
+
+def clock(spark: SparkSession, idle_seconds: int, beats_per_second: int = 1) -> DataFrame:
+    """Heartbeats for a source whose event time follows the clock: after ``idle_seconds`` without rows it stalls nothing."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", beats_per_second).option("numPartitions", 1).load()
+    return rate.select((F.col("timestamp") - F.make_dt_interval(secs=F.lit(idle_seconds))).alias("ts"))
+
+
 def untimed(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Rows that the ordered operators leave out, for a reject output."""
     return df.filter(F.col(ts).isNull())

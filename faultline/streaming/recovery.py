@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline import constants as K
-from faultline.streaming.ordered import TIME, InOrder, in_order, timed
+from faultline.streaming.ordered import TIME, InOrder, in_order, retimed, timed
 
 _HEALTHY = "healthy"
 _ACTION = T.StructType(
@@ -55,8 +55,8 @@ class Recovery(InOrder):
             elif waiting:
                 done += [(*a, at if at <= a[2] + self.window_us else None) for a in waiting]
                 waiting = []
-        done += [(*a, None) for a in waiting if a[2] + self.window_us < watermark_us]
-        waiting = [a for a in waiting if a[2] + self.window_us >= watermark_us]
+        done += [(*a, None) for a in waiting if a[2] + self.window_us <= watermark_us]
+        waiting = [a for a in waiting if a[2] + self.window_us > watermark_us]
         out = [
             (incident, key[0], action, acted, recovered)
             for incident, action, acted, recovered in done
@@ -78,11 +78,32 @@ def recovery_stream(
     ``report_unresolved`` (an addition) also emits actions whose window closed
     without one, with a NULL ``rec_time``.
     """
+    right = timed(enriched.filter(F.col("severity") == "info").select("asset_id", "ts"), delay)
+    return _recoveries(actions, right, delay, window_seconds, report_unresolved)
+
+
+def recovery_chain(
+    actions: DataFrame,
+    graded: DataFrame,
+    *,
+    delay: str,
+    window_seconds: int = K.RECOVERY_WINDOW_SECONDS,
+    report_unresolved: bool = False,
+) -> DataFrame:
+    """As ``recovery_stream``, fed by a chained scoring stream in the same query.
+
+    The scores carry their event time on, so the watermark here is the slower one of the scores'
+    and the actions' own.
+    """
+    right = retimed(graded.filter(F.col("severity") == "info")).select("asset_id", TIME, "ts")
+    return _recoveries(actions, right, delay, window_seconds, report_unresolved)
+
+
+def _recoveries(actions: DataFrame, healthy: DataFrame, delay: str, window_seconds: int, report_unresolved: bool) -> DataFrame:
     physical = actions.filter(F.col("action_type").isin(*K.PHYSICAL_ACTIONS))
     left = timed(physical.select("asset_id", "incident_id", "action_type", "ts"), delay)
-    right = timed(enriched.filter(F.col("severity") == "info").select("asset_id", "ts"), delay)
     both = left.withColumn(_HEALTHY, F.lit(0)).unionByName(
-        right.withColumn(_HEALTHY, F.lit(1)), allowMissingColumns=True
+        healthy.withColumn(_HEALTHY, F.lit(1)), allowMissingColumns=True
     )
     found = in_order(both.select(*_INPUT.names, "ts"), "asset_id", Recovery(window_seconds * 1_000_000, report_unresolved))
     return found.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline import constants as K
-from faultline.streaming.ordered import TIME, InOrder, in_order, state_schema, timed
+from faultline.streaming.ordered import LATE, TIME, InOrder, in_order, state_schema, timed
 
 _MEMORY = T.StructType([T.StructField("value", T.DoubleType())])
 
@@ -61,12 +61,16 @@ def rolling_zscore_stream(
     tie: tuple[str, ...] = ("event_id",),
     preceding: int = K.ROLLING_PRECEDING_ROWS,
     output: str = "temp_zscore",
+    beats: DataFrame | None = None,
+    late_rows: bool = False,
 ) -> DataFrame:
-    """Telemetry with its z-score, each row emitted once the watermark passes it.
+    """Telemetry with its z-score, each row emitted once the watermark reaches it.
 
-    State per key: the last ``preceding`` values and the rows inside ``delay``.
+    State per key: the last ``preceding`` values and the rows inside ``delay``. With ``late_rows``
+    a boolean ``late`` marks rows that came too late, which have no score.
     """
-    rows = timed(telemetry, delay)
+    rows = timed(telemetry, delay, beats=beats)
     plain = state_schema(rows)
-    scored = in_order(rows, key, RollingScore(plain, value, output, preceding, [TIME, *tie]))
-    return scored.withColumn("ts", F.timestamp_micros(TIME)).select(*telemetry.columns, output)
+    scored = in_order(rows, key, RollingScore(plain, value, output, preceding, [TIME, *tie]), late_rows=late_rows)
+    flag = [LATE] if late_rows else []
+    return scored.withColumn("ts", F.timestamp_micros(TIME)).select(*telemetry.columns, output, *flag)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from datetime import UTC
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline import schemas
 from faultline.operators import planning, recovery
@@ -17,9 +19,10 @@ from faultline.sources.readers import stream_files
 from faultline.sources.sinks import KeyedTable, append_stream, read_fanned, run_available, upsert_stream, work_order_documents
 from faultline.streaming import tables
 from faultline.streaming.asof import asof_join_stream
-from faultline.streaming.ordered import use_rocksdb
+from faultline.streaming.ordered import BUCKET_US, SHIFT_US, TIME, use_rocksdb
 from faultline.streaming.recovery import recovery_stream
-from faultline.streaming.rolling import rolling_zscore_stream, zscore
+from faultline.streaming.rolling import RollingScore, rolling_zscore_stream, zscore
+from faultline.streaming.scoring import Versions, versioned_score_stream
 
 DELAY = "2 days"
 EPOCH = 1_700_000_000
@@ -172,13 +175,9 @@ def test_latest_crew_stream_with_replay_and_delete(spark, tmp_path):
     assert {(r.crew_id, r.status) for r in table.read(spark).collect()} == {("C1", "off_shift"), ("C3", "available")}
 
 
-def test_plan_stream_matches_batch_and_replays(spark, sf, tmp_path):
-    registry = domain.registry(spark, sf)
-    pings = domain.crew_pings(spark, sf)
-    crews = KeyedTable(f"{tmp_path}/crews", pings.schema, "crew_id", domain.CREW_ORDER)
-    crews.apply(pings, 0)
+def shown_diagnoses(spark, sf):
     ids = F.format_string("%08d-x", F.col("event_id"))
-    diagnosed = domain.telemetry(spark, sf).select(
+    return domain.telemetry(spark, sf).select(
         "asset_id", ids.alias("incident_id"), "asset_type", "region",
         F.when(F.col("event_id") % 2 == 0, "critical").otherwise("warning").alias("severity"),
         F.lit("temp_c").alias("signal"), F.col("temp_c").alias("value"), F.lit(0.5).alias("fault_score"),
@@ -188,6 +187,14 @@ def test_plan_stream_matches_batch_and_replays(spark, sf, tmp_path):
         F.lit(None).cast(schemas.CITATIONS_TYPE).alias("dx_citations"), F.lit("m").alias("dx_method"),
         F.col("ts").alias("diagnosed_ts"),
     )
+
+
+def test_plan_stream_matches_batch_and_replays(spark, sf, tmp_path):
+    registry = domain.registry(spark, sf)
+    pings = domain.crew_pings(spark, sf)
+    crews = KeyedTable(f"{tmp_path}/crews", pings.schema, "crew_id", domain.CREW_ORDER)
+    crews.apply(pings, 0)
+    diagnosed = shown_diagnoses(spark, sf)
     stream = as_stream(spark, diagnosed, f"{tmp_path}/in", parts=2, ts="diagnosed_ts", sentinel=False)
     out = {
         "planned": KeyedTable(f"{tmp_path}/planned", schemas.PLANNED, "incident_id", ("ts",)),
@@ -209,17 +216,236 @@ def test_duplicates_within_watermark_pass_once(spark, tmp_path):
     assert sorted(r.incident_id for r in got.select("incident_id").collect()) == ["i0", "i1"]
 
 
-def test_late_rows_go_aside(spark, tmp_path):
+def test_late_rows_go_aside_by_the_operators_own_mark(spark, tmp_path):
     def rows(*secs):
-        return spark.createDataFrame([(s,) for s in secs], "s int").select(F.timestamp_seconds(F.col("s") + EPOCH).alias("ts"))
+        held = spark.createDataFrame([(s, float(s % 7)) for s in secs], "s long, temp_c double")
+        return held.select(F.lit("A").alias("asset_id"), F.timestamp_seconds(F.col("s") + EPOCH).alias("ts"), F.col("s").alias("event_id"), "temp_c")
 
-    for part in (rows(100, 200), rows(150, 20, 300)):
-        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    parts = ((100, 200), (150, 20, 300), (140, 139, 250, 30), (2_000_000,), (2_000_001, 1_999_941))
+    for part in parts:
+        rows(*part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = stream_files(spark, f"{tmp_path}/in", rows(1).schema, max_files_per_trigger=1)
-    run_available(tables.split_late(stream, f"{tmp_path}/out", 60, f"{tmp_path}/cp"))
-    late = [r.s for r in spark.read.parquet(f"{tmp_path}/out/late").select(F.unix_seconds("ts").alias("s")).collect()]
-    on_time = spark.read.parquet(f"{tmp_path}/out/on_time").count()
-    assert (late, on_time) == ([EPOCH + 20], 4)
+    flagged = rolling_zscore_stream(stream, delay="60 seconds", late_rows=True)
+    run_available(tables.split_late(flagged, f"{tmp_path}/out", f"{tmp_path}/cp"))
+    late = read_fanned(spark, f"{tmp_path}/out", "late")
+    on_time = read_fanned(spark, f"{tmp_path}/out", "on_time")
+    assert sorted(r.event_id for r in late.collect()) == [20, 30, 139, 140]
+    assert {r.temp_zscore for r in late.collect()} == {None}
+    # Rows of the last minute still wait for the watermark.
+    given = sorted(r.event_id for r in on_time.collect())
+    assert given == sorted({s for part in parts for s in part} - {20, 30, 139, 140, 2_000_000, 2_000_001})
+    want = rolling_zscore(rows(*given))
+    assert {r.event_id: r.temp_zscore for r in on_time.collect()} == pytest.approx({r.event_id: r.temp_zscore for r in want.collect()})
+
+
+def version_streams(spark, sf, tmp_path, lag):
+    """Specs and registry as streams whose files come ``lag`` seconds of event time late."""
+    out = []
+    for name, df in (("specs", domain.spec_versions(spark, sf)), ("registry", domain.registry(spark, sf))):
+        columns = [c for c in ("asset_id", "valid_ts", *SPEC_COLUMNS, "tie_assets") if c in df.columns]
+        late = df.select(*columns).withColumn("_at", F.col("valid_ts") + F.make_dt_interval(secs=F.lit(lag)))
+        bounds = late.agg(F.min("valid_ts"), F.max("_at")).first()
+        cut = bounds[0] + (bounds[1] - bounds[0]) / 2
+        for part in (late.filter(F.col("_at") < cut), late.filter(F.col("_at") >= cut)):
+            part.drop("_at").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        future = late.limit(1).withColumns({"valid_ts": F.lit("2030-01-01").cast("timestamp"), "asset_id": F.lit("SENTINEL")})
+        future.drop("_at").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        out.append(stream_files(spark, f"{tmp_path}/{name}", df.select(*columns).schema, max_files_per_trigger=1))
+    return out
+
+
+def test_scored_stream_equals_batch_when_versions_come_after_their_readings(spark, sf, telemetry, tmp_path):
+    specs, registry = version_streams(spark, sf, tmp_path, 9 * 86_400)
+    stream = as_stream(spark, telemetry, f"{tmp_path}/in", parts=3)
+    graded = tables.score_stream(stream, specs, registry, delay="12 days")
+    exchanges = graded._jdf.queryExecution().analyzed().toString().count("TransformWithStateInPySpark")
+    assert exchanges == 1
+    got = collected(spark, graded, tmp_path, "graded")
+    want = pipeline.score(telemetry, domain.spec_versions(spark, sf), domain.registry(spark, sf))
+    columns = ["event_id", "severity", "tie_assets", *SPEC_COLUMNS, *[F.round(c, 6).alias(c) for c in ("temp_zscore", "fault_score")]]
+    assert got.count() == telemetry.count()
+    assert same(got.select(*columns), want.select(*columns))
+
+
+def test_resolutions_of_chained_operators_equal_the_batch_and_a_replay_changes_nothing(spark, sf, telemetry, tmp_path):
+    scored = pipeline.score(telemetry, domain.spec_versions(spark, sf), domain.registry(spark, sf))
+    actions = scored.filter(F.col("severity") != "info").select(
+        "asset_id", F.col("event_id").cast("string").alias("incident_id"), F.lit("throttle_load").alias("action_type"), "ts"
+    )
+    window = 6 * 3600
+    specs, registry = version_streams(spark, sf, tmp_path, 9 * 86_400)
+    stream, acted = as_stream(spark, telemetry, f"{tmp_path}/in", parts=3), as_stream(spark, actions, f"{tmp_path}/acted", parts=2)
+    table = KeyedTable(f"{tmp_path}/resolved", schemas.RESOLVED, "incident_id", ("resolved_ts",))
+    writer = tables.resolve_stream(stream, specs, registry, acted, table, f"{tmp_path}/cp", delay="12 days", window_seconds=window)
+    run_available(writer)
+    want = recovery.resolve(recovery.first_recovery(actions, scored, window_seconds=window))
+    live = table.read(spark).filter("asset_id <> 'SENTINEL'")
+    assert want.count() > 50 and same(live, want)
+    log = sorted(table._batches(spark, "log"))
+    for batch in log:
+        changes = spark.read.schema(table.schema).parquet(f"{tmp_path}/resolved/log/batch={batch}").collect()
+        table.apply(spark.createDataFrame(changes, table.schema), batch)
+    assert sorted(table._batches(spark, "log")) == log
+    assert same(table.read(spark).filter("asset_id <> 'SENTINEL'"), want)
+
+
+def test_a_deleted_version_ends_and_ties_are_broken(spark, tmp_path):
+    readings = spark.createDataFrame([("A", s, s, 1.0) for s in range(0, 100, 10)], "asset_id string, s long, event_id long, temp_c double")
+    readings = readings.select("asset_id", F.timestamp_seconds(F.col("s") + EPOCH).alias("ts"), "event_id", "temp_c")
+    changes = spark.createDataFrame(
+        [("A", 20, 1, 1.0, None), ("A", 20, 2, 2.0, None), ("A", 50, 3, None, "delete"), ("A", 70, 4, 3.0, None), (None, 0, 5, 9.0, None)],
+        "asset_id string, s long, version long, limit double, _op string",
+    ).select("asset_id", F.timestamp_seconds(F.col("s") + EPOCH).alias("valid_ts"), "version", "limit", "_op")
+    kinds = []
+    for n in range(2):
+        kinds.append(Versions(as_stream(spark, changes.withColumnRenamed("limit", f"limit_{n}"), f"{tmp_path}/v{n}", parts=1, ts="valid_ts"), [f"limit_{n}"], tie=("version",)))
+    stream = as_stream(spark, readings, f"{tmp_path}/in", parts=1)
+    got = collected(spark, versioned_score_stream(stream, kinds, delay="1 hour"), tmp_path, "out")
+    want = {s: 2.0 if 20 <= s < 50 else 3.0 if s >= 70 else None for s in range(0, 100, 10)}
+    assert {r.event_id: (r.limit_0, r.limit_1) for r in got.collect()} == {s: (v, v) for s, v in want.items()}
+
+
+def test_heartbeats_keep_a_silent_source_from_stalling(spark, tmp_path):
+    def version(s, limit, asset="A"):
+        return spark.createDataFrame([(asset, limit)], "asset_id string, limit double").withColumn("valid_ts", F.timestamp_seconds(F.lit(s + EPOCH)))
+
+    def readings(*secs):
+        held = spark.createDataFrame([(s, 1.0) for s in secs], "event_id long, temp_c double")
+        return held.select(F.lit("A").alias("asset_id"), F.timestamp_seconds(F.col("event_id") + EPOCH).alias("ts"), "event_id", "temp_c")
+
+    def beat(s):
+        return spark.range(1).select(F.timestamp_seconds(F.lit(s + EPOCH)).alias("ts"))
+
+    def write(df, name):
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+
+    def run(with_beats):
+        streams = {n: stream_files(spark, f"{tmp_path}/{n}", df.schema, max_files_per_trigger=1) for n, df in schemas_of.items()}
+        kind = Versions(streams["versions"], ["limit"], beats=streams["beats"] if with_beats else None)
+        out = versioned_score_stream(streams["in"], [kind], delay="100 seconds")
+        name = "beaten" if with_beats else "stalled"
+        run_available(append_stream(out, f"{tmp_path}/{name}", f"{tmp_path}/{name}_cp"))
+        return {r.event_id: r.limit for r in spark.read.parquet(f"{tmp_path}/{name}").collect()}
+
+    schemas_of = {"versions": version(0, 1.0), "in": readings(0), "beats": beat(0)}
+    write(version(0, 1.0), "versions")
+    for secs in ((10, 20), (500, 510), (1000, 1010)):
+        write(readings(*secs), "in")
+    for s in (400, 900, 1000):
+        write(beat(s), "beats")
+    assert run(False) == {}  # the versions stay at 0 and hold up everything
+    assert run(True) == {10: 1.0, 20: 1.0, 500: 1.0, 510: 1.0}
+    # The silent source speaks again, of a time inside the delay: its version reaches the readings that wait.
+    write(version(950, 2.0), "versions")
+    write(readings(2000), "in")
+    write(beat(2000), "beats")
+    assert run(True) == {10: 1.0, 20: 1.0, 500: 1.0, 510: 1.0, 1000: 2.0, 1010: 2.0}
+
+
+class Stub:
+    """State in memory that counts how many rows are written."""
+
+    def __init__(self):
+        self.states, self.timers, self.written = {}, [], 0
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, StubMap(self))
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, StubValue(self))
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+class StubValue:
+    def __init__(self, stub):
+        self.stub, self.held = stub, None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    put = update
+
+    def clear(self):
+        self.held = None
+
+
+class StubMap(dict):
+    def __init__(self, stub):
+        super().__init__()
+        self.stub = stub
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.stub.written += len(value[0])
+        self[key] = value
+
+    def removeKey(self, key):
+        self.pop(key, None)
+
+
+def test_one_row_among_many_waiting_ones_writes_only_its_bucket():
+    schema = T.StructType([T.StructField("asset_id", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("temp_c", T.DoubleType()), T.StructField(TIME, T.LongType())])
+    processor = RollingScore(schema, "temp_c", "z", 30, [TIME, "event_id"])
+    stub = Stub()
+    processor.init(stub)
+    second = 1_000_000
+
+    def give(rows, watermark_s):
+        stub.watermark = (watermark_s * second + SHIFT_US) // 1000
+        stub.written = 0
+        named = Row("asset_id", "event_id", "temp_c", TIME)
+        return list(processor.handleInputRows(("A",), iter(named("A", n, 1.0, at) for n, at in rows), stub))
+
+    many = [(n, (1000 + n) * second) for n in range(100_000)]
+    assert give(many, 500) == [] and stub.written == 100_000
+    bucket = BUCKET_US // second
+    assert give([(-1, 50_000 * second)], 600) == [] and stub.written <= bucket + 1
+    out = give([(-2, 90_000 * second)], 1009)
+    assert [r.event_id for r in out] == list(range(10)) and stub.written <= 2 * bucket + 1
+    rest = give([], 200_000)
+    assert len(rest) == 99_992 and stub.written == 0 and [r[TIME] for r in rest] == sorted(r[TIME] for r in rest)
+    assert not stub.states["pending"] and stub.states["buckets"].held is None
+
+
+def test_plan_stream_leaves_no_stages(spark, sf, tmp_path):
+    from faultline.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    shared = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    fs = shared.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def stages():
+        return {f.getPath().getName() for f in fs.listStatus(shared) if f.getPath().getName().startswith("stage-")}
+
+    registry = domain.registry(spark, sf)
+    crews = KeyedTable(f"{tmp_path}/crews", domain.crew_pings(spark, sf).schema, "crew_id", domain.CREW_ORDER)
+    crews.apply(domain.crew_pings(spark, sf), 0)
+    versions = KeyedTable(f"{tmp_path}/versions", registry.schema, ("asset_id", "valid_ts"), ("valid_ts",))
+    versions.apply(registry, 0)
+    diagnosed = shown_diagnoses(spark, sf).limit(200)
+    for n in range(3):
+        diagnosed.filter(F.pmod(F.xxhash64("incident_id"), F.lit(3)) == n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = stream_files(spark, f"{tmp_path}/in", diagnosed.schema, max_files_per_trigger=1)
+    out = {"planned": KeyedTable(f"{tmp_path}/planned", schemas.PLANNED, "incident_id", ("ts",))}
+    before = stages()
+    run_available(tables.plan_stream(stream, versions, crews, out, f"{tmp_path}/cp"))
+    assert out["planned"].read(spark).count() == diagnosed.count()
+    assert stages() == before
 
 
 def test_zscore_of_a_missing_value_is_null_where_there_is_spread():
