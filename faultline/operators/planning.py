@@ -10,7 +10,7 @@ from faultline import schemas
 from faultline.functions.scalar import lookup
 from faultline.operators.asof import asof_join
 from faultline.operators.latest import latest_per_key
-from faultline.operators.nearest import nearest
+from faultline.operators.nearest import is_position, nearest
 from faultline.operators.slicing import Slices
 
 CREW_COLUMNS = ("crew_id", "region", "lat", "lon", "status", "skills")
@@ -70,13 +70,13 @@ def choose_crews(base: DataFrame, crews: DataFrame) -> DataFrame:
 
     The choice depends on a plan only through skill, region and position, so it is
     made once per distinct site, however many incidents an asset raises. A NULL
-    distance ranks before any other. Plans without a qualified crew stay, at 1e18.
+    distance ranks before any other; a position that is NULL, NaN or infinite gives one. Plans without a qualified crew stay, at 1e18.
     ``crews`` is read several times: pass a stored table, not a long computation.
     """
     serving = serving_crews(crews)
     sites = base.select(*SITE).distinct()
-    located = sites.filter(F.col("asset_lat").isNotNull() & F.col("asset_lon").isNotNull())
-    positioned = serving.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    located = sites.filter(is_position("asset_lat", "asset_lon"))
+    positioned = serving.filter(is_position("lat", "lon"))
     at, of = ("asset_lat", "asset_lon"), ("lat", "lon")
 
     regional = nearest(
@@ -90,7 +90,7 @@ def choose_crews(base: DataFrame, crews: DataFrame) -> DataFrame:
     )
 
     # Where the distance is NULL (asset or crew without a position) only the id decides.
-    unplaced = F.when(F.col("lat").isNull() | F.col("lon").isNull(), F.col("crew_id"))
+    unplaced = F.when(~is_position("lat", "lon"), F.col("crew_id"))
     regional_ids = serving.groupBy("req_skill", F.col("crew_region").alias("region")).agg(
         F.min("crew_id").alias("_any_r"), F.min(unplaced).alias("_null_r")
     )
@@ -98,7 +98,7 @@ def choose_crews(base: DataFrame, crews: DataFrame) -> DataFrame:
         F.min("crew_id").alias("_any_a"), F.min(unplaced).alias("_null_a")
     )
 
-    has_position = F.col("asset_lat").isNotNull() & F.col("asset_lon").isNotNull()
+    has_position = is_position("asset_lat", "asset_lon")
     null_r = F.when(has_position, F.col("_null_r")).otherwise(F.col("_any_r"))
     null_a = F.when(has_position, F.col("_null_a")).otherwise(F.col("_any_a"))
     ranked = F.array(

@@ -29,6 +29,7 @@ from faultline.operators import (
     reports,
     retrieval,
     scoring,
+    vector_index,
 )
 from faultline.operators.anomaly import rolling_zscore
 from faultline.operators.asof import asof_join
@@ -440,6 +441,74 @@ def vector_lsh_recall(spark, d):
     return counted.withColumn("recall", F.round(F.col("found") / F.col("neighbours"), 4))
 
 
+def _vector_index(spark, d):
+    data = domain.table(spark, d, "embeddings")
+    return data, vector_index.tune(vector_index.build_index(data, corpus_id="vec_id", dim=VECTOR_DIM, carried=["label"]), k=K.RETRIEVAL_K)
+
+
+def _exact_neighbours(data: DataFrame, corpus_id: str, dim: int, k: int) -> DataFrame:
+    """The true nearest rows of each row, its own aside."""
+    hits = retrieval.vector_search(
+        data.withColumnRenamed(corpus_id, "query_id"), data, query_id="query_id", corpus_id=corpus_id, k=k + 1, dim=dim, query_vector="embedding"
+    )
+    return hits.where(F.col("query_id") != F.col(corpus_id)).where(F.col("rank") <= k + 1)
+
+
+def _judged(data: DataFrame, index: vector_index.VectorIndex, k: int) -> DataFrame:
+    """Recall of an index over all its rows asked as queries, own rows aside, and the shares of rows read and compared."""
+    asked = data.select(F.col(index.corpus_id).alias("query_id"), "embedding")
+    exact = _exact_neighbours(data, index.corpus_id, index.dim, k).select("query_id", index.corpus_id)
+    given = vector_index.index_search(asked, index, query_id="query_id", k=k + 1, query_vector="embedding").select("query_id", index.corpus_id, F.lit(1).alias("given"))
+    recall = exact.join(given, ["query_id", index.corpus_id], "left").agg((F.count("given") / F.count("*")).alias("recall"))
+    total = asked.count()
+    effort = vector_index.index_effort(asked, index, query_id="query_id", k=k + 1, query_vector="embedding")
+    shares = effort.agg((F.avg("read") / total).alias("read_share"), (F.avg("compared") / total).alias("compared_share"))
+    return recall.withColumn("_", F.lit(1)).join(shares.withColumn("_", F.lit(1)), "_").drop("_")  # one row each
+
+
+@query()
+def vector_top3_index(spark, d):
+    """For each vector the nearest ones that the tuned index finds, its own row among them."""
+    data, index = _vector_index(spark, d)
+    asked = data.select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index.index_search(asked, index, query_id="query_id", k=K.RETRIEVAL_K, query_vector="embedding").drop("label")
+
+
+@query("SELECT TRUE AS recalled, TRUE AS few_compared")
+def vector_index_judged(spark, d):
+    """Does the tuned index find nine tenths of the true neighbours, own rows aside, and compare at most a fifth of the rows?"""
+    found = _judged(*_vector_index(spark, d), K.RETRIEVAL_K)
+    return found.select((F.col("recall") >= 0.9).alias("recalled"), (F.col("compared_share") <= 0.2).alias("few_compared"))
+
+
+def _document_vectors(spark, d) -> DataFrame:
+    docs = spread(domain.table(spark, d, "documents").select("doc_id", "text"))
+    return materialize(docs.select("doc_id", sparse_hash_vector(F.col("text"), K.EMBEDDING_DIM).alias("embedding")))
+
+
+@query("SELECT TRUE AS recalled, TRUE AS few_compared, TRUE AS few_read")
+def document_index_judged(spark, d):
+    """The same over the hash embeddings of texts, which gather by language: the index must also read few lists."""
+    data = _document_vectors(spark, d)
+    index = vector_index.tune(vector_index.build_index(data, corpus_id="doc_id", dim=K.EMBEDDING_DIM), k=K.RETRIEVAL_K)
+    found = _judged(data, index, K.RETRIEVAL_K)
+    return found.select((F.col("recall") >= 0.9).alias("recalled"), (F.col("compared_share") <= 0.2).alias("few_compared"), (F.col("read_share") <= 0.5).alias("few_read"))
+
+
+@query(f"""
+    SELECT label, rank, vec_id, {r("score")} AS score FROM (
+        SELECT c.label, e.vec_id, s.score, row_number() OVER (PARTITION BY c.label ORDER BY s.score DESC, e.vec_id) AS rank
+        FROM centroids c JOIN embeddings e ON e.label % 2 = 0,
+        LATERAL (SELECT round(list_cosine_similarity(cast(e.embedding AS double[]), c.centroid), 9) AS score) s)
+    WHERE rank <= 3""")
+def vector_top3_where(spark, d):
+    """Search among the rows that meet a condition; with all lists read and compared the index is exact."""
+    data = domain.table(spark, d, "embeddings")
+    index = vector_index.build_index(data.withColumnRenamed("label", "kind"), corpus_id="vec_id", dim=VECTOR_DIM, carried=["kind"])
+    hits = vector_index.index_search(_centroids(data), index, query_id="label", k=K.RETRIEVAL_K, query_vector="centroid", where=F.col("kind") % 2 == 0, exact=True)
+    return rounded(hits.drop("kind"), "score")
+
+
 def hash_model(dim: int) -> EmbeddingModel:
     """The hash embedder as an external model, to exercise the provider interface."""
     return EmbeddingModel("hash", dim, lambda texts: dense_rows(texts, dim))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from faultline.functions.scalar import floor_at_zero, lookup, ratio, round_exact, stable_uuid
 from faultline.operators import incidents, scoring
 from faultline.operators.anomaly import rolling_zscore
+from faultline.operators.asof import VersionTable, asof_join_all
 from faultline.operators.slicing import hot_slices
-from faultline.plans import pipeline
+from faultline.plans import domain, pipeline
 
 BASE = datetime(2024, 1, 1)
 SPEC = {
@@ -156,3 +157,36 @@ def test_scalar_helpers(spark):
     ).first()
     assert (row.f, row.r, row.l) == (None, None, 2)
     assert [len(p) for p in row.u.split("-")] == [8, 4, 4, 4, 12]
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_scoring_with_merged_versions_exchanges_and_sorts_telemetry_once(spark, sf, sliced):
+    telemetry = domain.telemetry(spark, sf)
+    specs, registry = domain.spec_versions(spark, sf), domain.registry(spark, sf)
+    slices = hot_slices(telemetry, rows_per_slice=8) if sliced else None
+    merged = pipeline.score(telemetry, specs, registry, slices=slices, strategies=("merge", "merge"))
+    broadcast = pipeline.score(telemetry, specs, registry, strategies=("interval", "interval"))
+    columns = ["event_id", "severity", "tie_assets", *scoring.SPEC_COLUMNS, F.round("temp_zscore", 6).alias("z"), F.round("fault_score", 9).alias("f")]
+    a, b = merged.select(*columns), broadcast.select(*columns)
+    assert a.count() == telemetry.count() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    if not sliced:
+        text = merged._jdf.queryExecution().executedPlan().toString()
+        windows = text[: text.index("Union")]
+        assert windows.count("Exchange hashpartitioning(asset_id") == 1 and windows.count("Sort [") == 1 and windows.count("Window [") == 2
+
+
+def test_merged_versions_with_null_keys_times_deletes_and_ties(spark):
+    left = spark.createDataFrame(
+        [("A", 5, 1), ("A", 10, 2), ("A", 20, 3), (None, 10, 4), ("A", None, 5), (None, None, 6), ("B", 10, 7)], "asset_id string, s long, event_id long"
+    ).withColumn("ts", F.timestamp_seconds("s"))
+    one = spark.createDataFrame(
+        [("A", 10, 1, 0, None), ("A", 10, 2, 1, None), ("A", 20, None, 0, "delete"), (None, 1, 9, 0, None), ("A", None, 9, 0, None)],
+        "asset_id string, s long, v int, seq int, _op string",
+    ).withColumn("valid_ts", F.timestamp_seconds("s"))
+    two = spark.createDataFrame([("A", 0, "x"), ("B", 11, "y")], "asset_id string, s long, w string").withColumn("valid_ts", F.timestamp_seconds("s"))
+    for slices in (None, hot_slices(left, rows_per_slice=1)):
+        got = asof_join_all(left, [VersionTable(one, ["v"], tie=["seq"]), VersionTable(two, ["w"])], order=("ts", "event_id"), slices=slices)
+        assert {r.event_id: (r.v, r.w) for r in got.collect()} == {
+            1: (None, "x"), 2: (2, "x"), 3: (None, "x"), 4: (None, None), 5: (None, None), 6: (None, None), 7: (None, None),
+        }
+        assert got.columns == [*left.columns, "v", "w"]
