@@ -86,7 +86,9 @@ def votes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     words = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), scan_words(whole_text(text)).alias("scanned")
     )
-    grams = words.select("row", "doc_id", F.size("scanned").alias("n_words"), F.posexplode_outer(gram_hashes("scanned")).alias("at", "gram"))
+    # Hashed below the explode, so that a row for a place carries ids and a count, never the text's words.
+    hashed = words.select("row", "doc_id", F.size("scanned").alias("n_words"), gram_hashes("scanned").alias("hashes"))
+    grams = hashed.select("row", "doc_id", "n_words", F.posexplode_outer("hashes").alias("at", "gram"))
     known = F.broadcast(templates(docs.sparkSession))
     hits = grams.join(known, "gram", "left").where(F.col("template").isNotNull() | F.coalesce(F.col("at") == 0, F.lit(True)))
     diagonal = F.col("at") - F.col("place")

@@ -89,3 +89,14 @@ def test_a_span_with_an_inserted_word_is_found(spark):
     notice = "redistribution and use in source and also binary forms with or without modification are permitted provided that"
     rows = license_scan.scan(table(spark, [notice, "gnu general public license version 3"])).orderBy("doc_id").collect()
     assert [r.labels for r in rows] == ["bsd", "gpl-3"] or rows[0].labels == "bsd" and "gpl-3" in rows[1].labels and "gpl-2" not in rows[1].labels
+
+
+def test_license_scan_carries_no_words_beside_a_place(spark):
+    text = "word " * 150_000 + "under the mit license " + "word " * 150_000
+    docs = table(spark, [text, "short", None])
+    voted = license_scan.votes(docs)
+    plan = voted._jdf.queryExecution().optimizedPlan().toString()
+    explode = next(line for line in plan.splitlines() if "Generate posexplode" in line)
+    assert "scanned" not in explode and "Generate posexplode(hashes" in explode
+    found = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.base_labels) for r in license_scan.scan(docs).collect()}
+    assert found == {0: (300_004, 1, 150_000, "mit"), 1: (1, 0, None, ""), 2: (0, 0, None, "")}
