@@ -94,7 +94,8 @@ class Block:
         first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else np.zeros(0, int)
         last = np.append(first[1:], len(starts)) - 1
         self.low, self.high, self.anchor, self.run_doc = starts[first], starts[last], owner[first], doc[first]
-        self.hash = hashes[self.anchor]
+        # The smallest hash of a window is small by its nature; mixed again, anchors are dealt evenly by their high bits.
+        self.hash = mixed(hashes[self.anchor])
 
     def shared(self, ranges: int, answers: dict[int, bytes]) -> np.ndarray:
         """Which runs have an anchor that occurs elsewhere, in this block or by the answers of the ranges."""

@@ -77,3 +77,11 @@ def test_empty_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(3, text), (3, text), (5, text), (None, text), (7, None)], "doc_id long, text string")
     kept = sorted((r.doc_id or 0, len(r.kept)) for r in suffix_dedup.cut(docs).collect())
     assert kept == [(0, 80), (3, 80), (3, 80), (5, 0), (7, 0)]
+
+
+def test_anchors_are_dealt_evenly():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, 400_000).astype(np.uint8)
+    block = suffix_dedup.Block(data, np.arange(40), np.arange(1, 41) * 10_000)
+    held = np.bincount(suffix_dedup.part_of(block.hash, 211), minlength=211)
+    assert len(block.hash) > 10_000 and held.max() <= 1.5 * held.mean()
