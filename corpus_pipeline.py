@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import language_id, ngram_join, packing, pii, suffix_dedup
-from faultline.llm.frames import short_batches, stage
+from faultline.llm.frames import short_batches
 from faultline.llm.queries import tokenizer_file
-from faultline.session import ship_package
+from faultline.session import new_stage, ship_package, stage_scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -91,5 +91,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
+        path = new_stage(spark)
+        with stage_scope(spark):  # what a step stored for itself goes when its result is written
+            kept = step(spark, docs, sf_dir)
+            kept.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -38,7 +38,7 @@ from faultline.operators.slicing import hot_slices
 from faultline.plans import domain, pipeline
 from faultline.plans.oracle import CTES, RECOVERY_SECONDS, oracle, r
 from faultline.session import materialize, new_stage
-from faultline.sources import sinks
+from faultline.sources import decode, layout, sinks
 from faultline.sources.readers import spread, stream_files
 from faultline.streaming import tables
 from faultline.streaming.asof import asof_join_stream
@@ -160,28 +160,28 @@ def rolling_zscore_sliced(spark, d):
     return rounded(scored.select("event_id", "asset_id", "temp_zscore"), "temp_zscore")
 
 
-def _replayed(spark, df, ts="ts", parts=3, trickle=False, lag_seconds=0):
+def _replayed(spark, df, ts="ts", parts=3, trickle=False, lag_seconds=0, key="asset_id"):
     """A table as a stream of files in rough time order, ended by a far-future row that moves the watermark past all.
 
     With ``trickle`` a batch takes one file, so that later files meet state; with ``lag_seconds`` a row comes in the
     file of a time that much later than its own.
     """
     folder = new_stage(spark)
-    at = F.unix_micros(ts) + lag_seconds * 1_000_000
+    at = F.unix_micros(ts) + (lag_seconds if isinstance(lag_seconds, Column) else F.lit(lag_seconds)).cast("long") * 1_000_000
     low, high = df.agg(F.min(F.unix_micros(ts)), F.max(at)).first()
     part = F.floor((at - F.lit(low or 0)) * parts / F.lit((high or 0) - (low or 0) + 1))
     for n in range(parts):
         rows = df.filter(part == n)
         (rows.coalesce(1) if trickle else rows).write.mode("append").parquet(f"{folder}/in")
-    last = {ts: F.lit("2100-01-01 00:00:00").cast("timestamp"), "asset_id": F.lit(SENTINEL)}
+    last = {ts: F.lit("2100-01-01 00:00:00").cast("timestamp"), key: F.lit(SENTINEL)}
     df.limit(1).withColumns(last).write.mode("append").parquet(f"{folder}/in")
     return folder, stream_files(spark, f"{folder}/in", df.schema, max_files_per_trigger=1 if trickle else None)
 
 
-def _streamed(spark, folder, stream):
+def _streamed(spark, folder, stream, key="asset_id"):
     """What a stream appends to a table once its input is used up, without the row that ended it."""
     sinks.run_available(sinks.append_stream(stream, f"{folder}/out", f"{folder}/checkpoint"))
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out").filter(F.col("asset_id") != SENTINEL)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").filter(F.col(key) != SENTINEL)
 
 
 @query("SELECT event_id, asset_id, ts, temp_c FROM telemetry")
@@ -305,6 +305,39 @@ def enriched(spark, d):
     return rounded(incidents.enriched(pipeline.grade(_versioned(spark, d))), *_ENRICHED_DOUBLES)
 
 
+@query(f"SELECT {_round_list([f.name for f in schemas.WEATHER.fields], ('wind_kph',))} FROM weather")
+def weather_streamed(spark, d):
+    """Weather read as a stream of files and appended to a table."""
+    folder, stream = _replayed(spark, domain.weather(spark, d), trickle=True, key="region")
+    return rounded(_streamed(spark, folder, stream, "region"), "wind_kph")
+
+
+@query("SELECT event_id, count(*) AS n FROM telemetry GROUP BY event_id")
+def late_split_streamed(spark, d):
+    """Scored readings and those that came too late, in two tables: each reading in one of them, once."""
+    use_rocksdb(spark)
+    telemetry = domain.telemetry(spark, d).select("event_id", "asset_id", "ts", "temp_c")
+    lag = F.when(F.col("event_id") % 50 == 0, 15 * 86_400).otherwise(0)
+    folder, stream = _replayed(spark, telemetry, trickle=True, lag_seconds=lag)
+    sinks.run_available(tables.split_late(rolling_zscore_stream(stream, delay="1 day", late_rows=True), f"{folder}/out", f"{folder}/checkpoint"))
+    parts = [sinks.read_fanned(spark, f"{folder}/out", name).select("event_id", "asset_id") for name in ("on_time", "late")]
+    both = parts[0].unionByName(parts[1]).filter(F.col("asset_id") != SENTINEL)
+    return both.groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT asset_id, asset_type, count(*) AS n, round(sum(temp_c), 6) + 0 AS temp_c, count(vibration_mm_s) AS vibrating,
+           date_trunc('milliseconds', min(ts)) AS first_ts FROM telemetry GROUP BY asset_id, asset_type""")
+def payloads_decoded(spark, d):
+    """Readings written as messages and decoded against their contract again; none is rejected."""
+    messages = decode.encode(domain.telemetry(spark, d), schemas.TELEMETRY).select(F.col("value").cast("binary").alias("value"))
+    decoded, rejects = decode.decode(messages, schemas.TELEMETRY)
+    kept = decoded.select(*schemas.TELEMETRY.names).unionByName(rejects.select(F.col("reason").alias("asset_id")), allowMissingColumns=True)
+    return kept.groupBy("asset_id", "asset_type").agg(
+        F.count("*").alias("n"), (F.round(F.sum("temp_c"), 6) + F.lit(0.0)).alias("temp_c"), F.count("vibration_mm_s").alias("vibrating"), F.min("ts").alias("first_ts")
+    )
+
+
 # --- incidents and gate -------------------------------------------------------
 
 _INCIDENT_DOUBLES = (
@@ -327,6 +360,25 @@ def gate_split(spark, d):
     return incidents.gate_counts(_raised(spark, d))
 
 
+@query(f"SELECT {_INCIDENT_SQL} FROM incidents")
+def incidents_streamed(spark, d):
+    """Incidents found on streams of readings and versions, written beside the enriched readings from one pass."""
+    use_rocksdb(spark)
+    folder, stream = _replayed(spark, domain.telemetry(spark, d), trickle=True)
+    graded = tables.score_stream(stream, *_version_streams(spark, d), delay="12 days")
+    sinks.run_available(tables.detect(graded, f"{folder}/out", f"{folder}/checkpoint"))
+    return rounded(sinks.read_fanned(spark, f"{folder}/out", "incidents").filter(F.col("asset_id") != SENTINEL), *_INCIDENT_DOUBLES)
+
+
+@query("SELECT incident_id, asset_id, severity FROM incidents")
+def incidents_once_streamed(spark, d):
+    """Incidents that are sent twice pass once."""
+    raised = materialize(_raised(spark, d).select("incident_id", "asset_id", "severity", "ts"))
+    folder, stream = _replayed(spark, raised.unionAll(raised), trickle=True)
+    once = tables.unique_incidents(stream, "3 days")
+    return _streamed(spark, folder, once).select("incident_id", "asset_id", "severity")
+
+
 _DX = (
     "incident_id", "asset_id", "severity", "signal", "dx_root_cause", "dx_recommended_action", "dx_rationale",
     "dx_confidence", "cited", "snippet", "dx_method", "diagnosed_ts",
@@ -515,16 +567,20 @@ def hash_model(dim: int) -> EmbeddingModel:
 
 
 @query("""
-    SELECT d.doc_id, 3072 AS dim, cast(count(v.idx) AS int) AS non_zero, round(coalesce(sum(v.w * v.w) / sum(v.w * v.w), 0), 4) AS norm
-    FROM documents d LEFT JOIN doc_vec v ON d.doc_id = v.doc_id GROUP BY d.doc_id""")
+    SELECT d.doc_id, 3072 AS dim, cast(count(v.idx) AS int) AS non_zero,
+           round(coalesce(sum(cast(cast(v.w / n.length AS float) AS double) * (v.idx + 1)), 0), 4) + 0 AS by_position
+    FROM documents d LEFT JOIN doc_vec v ON d.doc_id = v.doc_id
+    LEFT JOIN (SELECT doc_id, sqrt(cast(sum(w * w) AS double)) AS length FROM doc_vec GROUP BY doc_id) n ON n.doc_id = d.doc_id
+    GROUP BY d.doc_id""")
 def embed_provider(spark, d):
     docs = spread(domain.table(spark, d, "documents").select("doc_id", "text"))
     embedded = embed(docs, "text", hash_model(K.EMBEDDING_DIM))
+    weighed = F.transform("embedding", lambda x, at: x.cast("double") * (at + 1))
     return embedded.select(
         "doc_id",
         F.size("embedding").alias("dim"),
         F.size(F.filter("embedding", lambda x: x != 0)).alias("non_zero"),
-        F.round(vectors.norm(F.col("embedding")), 4).alias("norm"),
+        (F.round(F.aggregate(weighed, F.lit(0.0), lambda total, x: total + x), 4) + F.lit(0.0)).alias("by_position"),
     )
 
 
@@ -610,6 +666,24 @@ def crew_latest(spark, d):
     return _crews(spark, d).withColumn("skills", F.array_join("skills", ","))
 
 
+@query("SELECT crew_id, region, lat, lon, status, array_to_string(skills, ',') AS skills FROM crew_latest")
+def crew_latest_by_hash(spark, d):
+    """The same without a sort: a hash aggregate over the packed order, joined back."""
+    found = latest.latest_by_hash(domain.crew_pings(spark, d), "crew_id", domain.CREW_ORDER)
+    return found.select(*planning.CREW_COLUMNS).withColumn("skills", F.array_join("skills", ","))
+
+
+@query("SELECT crew_id, region, lat, lon, status, array_to_string(skills, ',') AS skills FROM crew_latest")
+def crew_latest_streamed(spark, d):
+    """The latest position of each crew, kept in a table from a stream of pings."""
+    pings = domain.crew_pings(spark, d)
+    folder, stream = _replayed(spark, pings, trickle=True, key="crew_id")
+    table = sinks.KeyedTable(f"{folder}/crews", pings.schema, "crew_id", domain.CREW_ORDER)
+    sinks.run_available(sinks.upsert_stream(stream, table, f"{folder}/checkpoint"))
+    kept = table.read(spark).filter(F.col("crew_id") != SENTINEL)
+    return kept.select(*planning.CREW_COLUMNS).withColumn("skills", F.array_join("skills", ","))
+
+
 @query("SELECT incident_id, action_type, req_skill, asset_lat, asset_lon FROM plan_base")
 def plan_base(spark, d):
     return _base(spark, d).select("incident_id", "action_type", "req_skill", "asset_lat", "asset_lon")
@@ -842,17 +916,45 @@ def pii_view(spark, d):
     return view.withColumn("skills", F.array_join("skills", ","))
 
 
-@query(f"""
+_UPSERTED = f"""
     SELECT asset_id, event_id, value FROM (
         SELECT {domain.TELEMETRY["asset_id"]} AS asset_id, event_id, value, event_type,
                row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-    WHERE rn = 1 AND event_type <> 'signup'""")
-def upsert_latest(spark, d):
-    changes = domain.table(spark, d, "events").selectExpr(
-        f"{domain.TELEMETRY['asset_id']} AS asset_id", "event_id", "ts", "value",
+    WHERE rn = 1 AND event_type <> 'signup'"""
+
+
+def _changes(spark, d) -> DataFrame:
+    return domain.table(spark, d, "events").selectExpr(
+        f"{domain.TELEMETRY['asset_id']} AS asset_id", "event_id", "cast(ts as timestamp) AS ts", "value",
         "CASE WHEN event_type = 'signup' THEN 'delete' ELSE 'upsert' END AS _op",
     )
-    return latest.upsert(changes, "asset_id", ("ts", "event_id")).select("asset_id", "event_id", "value")
+
+
+@query(_UPSERTED)
+def upsert_latest(spark, d):
+    return latest.upsert(_changes(spark, d), "asset_id", ("ts", "event_id")).select("asset_id", "event_id", "value")
+
+
+@query(_UPSERTED)
+def upsert_partitioned(spark, d):
+    """Changes applied in three batches, out of order and one of them twice, to a table that rewrites only the folders of their keys."""
+    changes = _changes(spark, d)
+    schema = changes.drop("_op").schema
+    path = new_stage(spark)
+    for batch in (2, 0, 1, 0):
+        layout.upsert_partitions(changes.filter(F.col("event_id") % 3 == batch), path, schema, "asset_id", ("ts", "event_id"), parts=16)
+    return layout.read_partitions(spark, path, schema).select("asset_id", "event_id", "value")
+
+
+@query("""
+    SELECT f.asset_id, f.region, count(t.event_id) AS n, round(max(t.temp_c), 6) + 0 AS hottest
+    FROM fleet f LEFT JOIN telemetry t ON t.asset_id = f.asset_id GROUP BY f.asset_id, f.region""")
+def stored_by_key_join(spark, d):
+    """Readings and fleet stored by asset, joined and summed up without an exchange."""
+    readings = layout.store_by_key(domain.telemetry(spark, d).select("asset_id", "event_id", "temp_c"), "asset_id")
+    fleet = layout.store_by_key(domain.fleet(spark, d).select("asset_id", "region"), "asset_id")
+    joined = fleet.hint("merge").join(readings, "asset_id", "left").groupBy("asset_id", "region")
+    return joined.agg(F.count("event_id").alias("n"), (F.round(F.max("temp_c"), 6) + F.lit(0.0)).alias("hottest"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n, count(*) = 0 AS is_empty FROM {t}" for t in TABLES))
