@@ -26,7 +26,7 @@ SAMPLE = 65_536
 LEAF = 4096  # candidates, where the sample holds them all; else a 4096th of all at most, and some
 LEAST_IN_SAMPLE = 16
 DEPTH = 31
-SITES = 16_384  # that a task takes for one leaf or group
+SITES = 16_384  # that a task takes for one leaf
 FAN = 16
 CHUNK = 2048
 
@@ -148,7 +148,6 @@ def nearest(
     known = candidates.filter(is_position(x, y) & grouped).select(*group, place[0].alias("_x"), place[1].alias("_y"), F.col(identity).alias("_id"))
     spots = materialize(known.groupBy(*group, "_x", "_y").agg(F.min("_id").alias("_id")))
     asked = sites.filter(is_position(sx, sy) & grouped).select(*group, F.col(sx).cast("double").alias("_sx"), F.col(sy).cast("double").alias("_sy"))
-    asked = materialize(asked)
     total, low_x, low_y, high_x, high_y = spots.agg(F.count("*"), F.min("_x"), F.min("_y"), F.max("_x"), F.max("_y")).first()
     group_types = [sites.schema[c] for c in group]
     answered = T.StructType([*group_types, *[T.StructField(c, T.DoubleType()) for c in ("_sx", "_sy", "_dist")], T.StructField("_id", spots.schema["_id"].dataType)])
@@ -164,12 +163,12 @@ def nearest(
         cells = square.cells(xs.to_numpy(zero_copy_only=False), ys.to_numpy(zero_copy_only=False))
         return pa.array((np.searchsorted(starts, cells, "right") - 1).astype(np.int32))
 
-    placed = materialize(spots.withColumn("_leaf", leaf_of("_x", "_y")))
+    placed = spots.withColumn("_leaf", leaf_of("_x", "_y"))
     edges = [F.min("_x").alias("_lx"), F.min("_y").alias("_ly"), F.max("_x").alias("_hx"), F.max("_y").alias("_hy")]
     boxes = placed.groupBy(*group, "_leaf").agg(*edges)
 
-    # Which leaves: a group's sites in blocks, each with the group's boxes.
-    blocks = max(1, math.ceil(asked.count() / SITES))
+    # Which leaves: a group's sites, dealt over as many blocks as a shuffle has partitions, each with the group's boxes.
+    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     block = F.pmod(F.xxhash64("_sx", "_sy"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     routed_type = T.StructType([*group_types, *[T.StructField(c, T.DoubleType()) for c in ("_sx", "_sy")], T.StructField("_leaf", T.IntegerType())])
@@ -188,7 +187,7 @@ def nearest(
     routed = materialize(sent.applyInArrow(route, routed_type))
 
     # Which candidates: a leaf's sites in blocks, each with the leaf's candidates.
-    crowded = materialize(routed.groupBy(*group, "_leaf").agg(F.ceil(F.count("*") / SITES).cast("int").alias("_blocks")))
+    crowded = routed.groupBy(*group, "_leaf").agg(F.ceil(F.count("*") / SITES).cast("int").alias("_blocks"))
     copies = crowded.select(*group, "_leaf", (F.col("_blocks") - 1).alias("_last"))
     asked_leaves = placed.join(copies, [*group, "_leaf"]).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_last")))).drop("_last")
     asked_sites = routed.join(crowded, [*group, "_leaf"]).withColumn("_block", F.pmod(F.xxhash64("_sx", "_sy"), F.col("_blocks")).cast("int")).drop("_blocks")
