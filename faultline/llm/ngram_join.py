@@ -10,9 +10,10 @@ Equal sets are one class from the start; the join runs between classes.
    dealt over ``PARTS`` salted parts, whose members are reported too.
 3. Pairs are verified once on whole sets, after a suffix filter that bounds the overlap by counts of parts of the
    sets. Their links give preliminary components.
-4. Only shingles whose members still lie in different components need more pairs: first each member with one of
-   another component, and, with the components anew, all pairs of members of different components that pass the
-   filters. Pairs inside a component can't change the result and are never formed, so no group's pairs are.
+4. Only shingles whose members still lie in different components need more pairs (``settle``). Their members are
+   held against one of them, the centre, and what each differs in from it is joined rare first again: near copies of
+   one text that don't link share their text but not their differences. Pairs inside a component can't change the
+   result and are never formed, nor are all pairs of a group.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a
 text of fewer than five words has its whole sequence as its only shingle; rows with the same id and different
@@ -48,6 +49,11 @@ NAMED = 4096
 REMEMBERED = 200_000
 HISTOGRAM = 64
 FAN = 64
+#: A centre's text goes to as many tasks as its members have salts.
+SALTS = 512
+ROUNDS = 3
+#: Bits of the sketch that bounds from below in how many shingles two sets differ.
+SKETCH = 512
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -268,6 +274,12 @@ def histogram(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=HISTOGRAM), 65535).astype(np.uint16).tobytes()
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes by ``SKETCH`` values: two sets differ in no fewer members than their sketches in bits."""
+    odd = np.bincount((mixed(shingles) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def held_texts(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, n, text, parts) of the given classes, each by one of its documents."""
     chosen = members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -321,19 +333,141 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(group, class, n, reach, component) of the groups whose members lie in different components."""
-    chosen = members.select("group", "class", "n", "reach")
-    placed = chosen.join(found, chosen["class"] == found.node, "left").select("group", "class", "n", "reach", F.coalesce("component", "class").alias("component"))
+    """(group, class, component) of the groups whose members lie in different components."""
+    placed = members.join(found, members["class"] == found.node, "left").select("group", "class", F.coalesce("component", "class").alias("component"))
     mixed_groups = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     return placed.join(mixed_groups.select("group"), "group", "left_semi")
 
 
+def within(apart, sizes, percent: int = PERCENT):
+    """Whether sets of together ``sizes`` members, of which ``apart`` are in one of them only, link."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
+
+
+def centred(open_groups: DataFrame) -> DataFrame:
+    """(group, class, centre): the smallest class of a group is its centre, so that groups of like members share theirs."""
+    return open_groups.join(open_groups.groupBy("group").agg(F.min("class").alias("centre")), "group").select("group", "class", "centre")
+
+
+def differences(placed: DataFrame, texts: DataFrame, order, percent: int) -> DataFrame:
+    """(centre, class, n, n_centre, apart, tokens, sketch): how each class differs from its centre.
+
+    ``tokens`` starts the list of the shingles that only one of both has, those first that few members of the centre
+    should differ in: a shingle that the centre lacks by its counter, one that it has by how far its counter is below
+    the centre's median. It is as long as two linked sets may differ, and one more.
+    """
+    rows = placed.select("centre", "class").distinct().withColumn("part", F.pmod("class", F.lit(SALTS)))
+    whole = texts.select("class", "text")
+    centres = rows.select("centre", "part").distinct().join(whole.select(F.col("class").alias("centre"), F.col("text").alias("text_centre")), "centre")
+    both = rows.join(whole, "class").join(centres, ["centre", "part"]).select("centre", "class", "text", "text_centre")
+
+    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, last = order.value, None
+
+        def often(shingles: np.ndarray) -> np.ndarray:
+            return counts[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64)
+
+        for batch in batches:
+            centre, names, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+            for block in blocks(batch.column(2).to_pylist()):
+                sizes, sizes_centre, apart, tokens, sketches = [], [], [], [], []
+                for row, shingles in enumerate(shingle_sets(block), at):
+                    if centre[row] != last:
+                        last, middle = centre[row], shingle_sets([batch.column(3)[row].as_py()])[0]
+                        usual = int(np.median(often(middle)))
+                    added = np.setdiff1d(shingles, middle, assume_unique=True)
+                    missed = np.setdiff1d(middle, shingles, assume_unique=True)
+                    differ = np.concatenate([added, missed])
+                    rank = np.concatenate([often(added), np.maximum(usual - often(missed), 0)])
+                    n = len(shingles)
+                    first = np.lexsort((differ, rank))[: n * (100 - percent) // percent + 1]
+                    sizes.append(n)
+                    sizes_centre.append(len(middle))
+                    apart.append(len(differ))
+                    tokens.append(differ[first].view(np.int64))
+                    sketches.append(sketch(shingles))
+                end = at + len(block)
+                columns = [pa.array(centre[at:end], pa.int64()), pa.array(names[at:end], pa.int64()), *(pa.array(c, pa.int32()) for c in (sizes, sizes_centre, apart)), *(pa.array(c, pa.list_(pa.int64())) for c in (tokens, sketches))]
+                yield pa.RecordBatch.from_arrays(columns, ["centre", "class", "n", "n_centre", "apart", "tokens", "sketch"])
+                at = end
+
+    return both.mapInArrow(in_task, "centre long, class long, n int, n_centre int, apart int, tokens array<long>, sketch array<long>")
+
+
+def differ_alike(differing: DataFrame, found: DataFrame, percent: int, last: bool, hubs: bool) -> DataFrame:
+    """Pairs (a, b) of different components that may link: they share one of the first differences from their centre.
+
+    With ``hubs`` a class is paired only with the one nearest to the centre of those that have the difference.
+
+    As x and y differ where exactly one of them differs from the centre, two classes that share no difference link only
+    if their differences are together few enough, and then both link with the centre. So one of a pair is not linked
+    with its centre, and the pair shares a difference before which neither has more than the other may lack. Sketches of
+    the sets part most other pairs; those of very long texts, which may differ in more places than a sketch has bits, less.
+    """
+    sizes = F.col("n") + F.col("n_centre")
+    near = differing if last else differing.where(200 * F.col("apart") <= (150 - percent) * (sizes + F.col("apart")))
+    kept = near.join(found, near["class"] == found.node, "left").withColumn("component", F.coalesce("component", "class")).withColumn("outer", ~within(F.col("apart"), sizes, percent))
+    kept = kept.select("centre", "class", "component", "n", "apart", "outer", (3 * F.col("apart") <= sizes).alias("core"), "tokens", "sketch")
+    split = kept.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("centre")
+    open_rows = kept.join(kept.select("centre", "class").join(split, "centre", "left_semi"), ["centre", "class"])
+    dealt = open_rows.select("centre", "class", "component", "n", "apart", "outer", "core", "sketch", F.posexplode("tokens").alias("pos", "token"))
+    fields = ("apart", "class", "component", "n", "outer", "core", "pos", "sketch")
+    other = dealt.select("centre", "token", *(F.col(c).alias(f"{c}_b") for c in fields))
+    if hubs:
+        other = dealt.groupBy("centre", "token").agg(F.min(F.struct(*fields)).alias("hub")).select("centre", "token", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in fields))
+    gap = F.col("apart_b") - F.col("apart")
+    lacks = F.greatest(2 * F.col("pos") + gap, 2 * F.col("pos_b") - gap)
+    unlike = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH // 64)), F.lit(0))
+    fits = (F.col("component") != F.col("component_b")) & within(F.greatest(lacks, unlike), F.col("n") + F.col("n_b"), percent)
+    if not hubs:  # each pair once
+        fits = fits & (~F.col("outer_b") | (F.col("class") < F.col("class_b")))
+    if not last:
+        fits = fits & (F.col("core") | F.col("core_b"))
+    return ordered(dealt.where("outer").join(other, ["centre", "token"]).where(fits).select(F.col("class").alias("a"), F.col("class_b").alias("b")))
+
+
+def settle(groups: DataFrame, texts: DataFrame, tried: DataFrame, links: DataFrame, order, percent: int) -> DataFrame:
+    """``links`` and those that still join components inside groups.
+
+    Each round compares every member of an open group with its centre, and the differences of members near one centre
+    with each other. Members far from it (a distance above a half) go on to the next round with another centre of
+    their own; in the last round all members take part. Pairs with one class for each difference come first, and only
+    what they leave in different components forms the others. Members near the centre meet far ones up to the distance at
+    which the triangle inequality rules a link out, so no link between components is lost.
+    """
+    found, open_groups = components(links), None
+    for turn in range(ROUNDS):
+        last = turn == ROUNDS - 1
+        placed = stage(centred(unsettled(groups if open_groups is None else open_groups, found)))
+        if placed.isEmpty():
+            return links
+        differing = stage(differences(placed, texts, order, percent))
+        to_centre = differing.where(F.col("class") != F.col("centre")).where(within(F.col("apart"), F.col("n") + F.col("n_centre"), percent))
+        links = stage(links.unionByName(ordered(to_centre.select(F.col("class").alias("a"), F.col("centre").alias("b")))).distinct())
+        found = components(links)
+        for hubs in (True, False):
+            pairs = stage(differ_alike(differing, found, percent, last, hubs).join(tried, ["a", "b"], "left_anti"))
+            if pairs.isEmpty():
+                continue
+            tried, more = tried.unionByName(pairs), stage(verify(pairs, texts, percent))
+            if not more.isEmpty():
+                links = stage(links.unionByName(more).distinct())
+                found = components(links)
+        if not last:
+            far = differing.where(3 * F.col("apart") > F.col("n") + F.col("n_centre")).select("centre", "class")
+            open_groups = placed.join(far, ["centre", "class"]).select("group", "class")
+    return links
+
+
 def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, links) of every document; ``links`` counts the links verified at its class."""
+    """(doc_id, n_shingles, component_id, links) of every document; ``links`` counts the links found at its class.
+
+    It is no degree: pairs inside a component are never formed, and so not counted.
+    """
     spark = docs.sparkSession
     chosen = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     profiled = profile(chosen)
@@ -341,26 +475,14 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     order = spark.sparkContext.broadcast(counters(profiled))
     rows = prefixes(chosen, order, percent).repartition("token", "part").sortWithinPartitions("token", "part", "n", "class")
     met = stage(meet(rows, percent))
-    groups = met.where("group is not null").groupBy("group", F.col("b").alias("class")).agg(F.max("n").alias("n"), F.max("reach").alias("reach"))
-    first = met.where("group is null").select("a", "b").distinct()
+    groups = met.where("group is not null").select("group", F.col("b").alias("class")).distinct()
+    first = stage(met.where("group is null").select("a", "b").distinct())
     ids = members.where("class is not null and doc_id is not null")
     classes = met.select(F.col("b").alias("class")).unionByName(met.where("a is not null").select(F.col("a").alias("class"))).distinct()
     texts = stage(held_texts(chosen.where("doc_id is not null"), ids, classes))
 
     links = stage(verify(first, texts, percent))
-    open_groups = stage(unsettled(groups, components(links)))
-    hub = open_groups.groupBy("group").agg(F.min(F.struct("component", "class", "n", "reach")).alias("hub"))
-    within = (F.col("n") <= F.col("hub.reach")) & (F.col("hub.n") <= F.col("reach"))
-    second = open_groups.join(hub, "group").where((F.col("component") != F.col("hub.component")) & within).select(F.col("class").alias("a"), F.col("hub.class").alias("b"))
-    tried = first.unionByName(ordered(second))
-    more = stage(verify(ordered(second).join(first, ["a", "b"], "left_anti"), texts, percent))
-    links = links.unionByName(more)
-    open_groups = stage(unsettled(groups.join(open_groups, "group", "left_semi"), components(links)))
-    other = open_groups.select("group", *(F.col(c).alias(f"{c}_b") for c in ("class", "component", "n", "reach")))
-    near = (F.col("component") < F.col("component_b")) & (F.col("n") <= F.col("reach_b")) & (F.col("n_b") <= F.col("reach"))
-    third = ordered(open_groups.join(other, "group").where(near).select(F.col("class").alias("a"), F.col("class_b").alias("b")))
-    links = links.unionByName(stage(verify(third.join(tried, ["a", "b"], "left_anti"), texts, percent)))
-    return labelled(members, links)
+    return labelled(members, settle(groups, texts, first, links, order, percent))
 
 
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -64,6 +64,47 @@ def test_matches_all_pairs(spark, monkeypatch):
     assert run(spark, table(spark, texts).repartition(5)) == want
 
 
+def verified(monkeypatch):
+    """Collects the pairs that go to verification."""
+    seen, verify = [], ngram_join.verify
+
+    def counted(pairs, texts, percent):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return verify(pairs, texts, percent)
+
+    monkeypatch.setattr(ngram_join, "verify", counted)
+    return seen
+
+
+def test_near_copies_that_do_not_link_make_few_pairs(spark, monkeypatch):
+    # 280 copies of one text, and 120 of another that shares a passage with it; most are too far apart to link.
+    rng = random.Random(5)
+    words = [f"w{n}" for n in range(50_000)]
+    base = rng.choices(words, k=150)
+    texts = []
+    for origin, members in ((base, 280), (base[:60] + rng.choices(words, k=90), 120)):
+        for n in range(members):
+            copy = list(origin)
+            for at in rng.sample(range(150), 1 if n % 20 == 0 else rng.randrange(3, 6)):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    seen = verified(monkeypatch)
+    got = run(spark, table(spark, texts))
+    assert got == brute(list(enumerate(texts)))
+    assert len({c for _, c in got.values()}) > 200
+    assert len(seen) == len(set(seen)) < 5 * len(texts)
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (1, 10, 200, 5000):
+        x = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        y = np.concatenate([x[: size // 2], rng.integers(0, 1 << 63, size // 3).astype(np.uint64)])
+        bits = int(np.bitwise_count(ngram_join.sketch(x) ^ ngram_join.sketch(y)).sum())
+        assert bits <= len(np.setxor1d(x, y))
+        assert size > 200 or bits >= len(np.setxor1d(x, y)) * 0.6
+
+
 def test_sample_matches_all_pairs(spark, sample):
     rows = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op5_rare_first_jaccard"](spark, "/root/testdata/sf0.001").collect()}
     assert rows == brute(sample)
