@@ -3,9 +3,8 @@
 Two multinomials over hashed word unigrams and bigrams are counted: one over all documents, one over trusted
 documents. A document's score is the mean over its n-grams of log(trusted / corpus); it passes if the score
 reaches a threshold that is fixed beforehand from the scores of the trusted documents (mean less ``SPREAD``
-standard deviations, rounded). The trusted documents are those of at most ``TRUSTED`` labels, the ones with the
-smallest hashed ids, so their broadcast has a fixed size; the corpus counts cover every document. Both models
-are ``BUCKETS`` numbers, whatever the size of the corpus.
+standard deviations, rounded). The trusted documents are all that a label calls good and not toxic; the corpus
+counts cover every document. Both models are ``BUCKETS`` numbers, whatever the size of the corpus.
 
 Defined results: a null or empty text has no words, counts 0, fails the base rules and scores 0; rows with the
 same or a null id are judged each for itself; an empty table gives no rows; without trusted documents nothing
@@ -20,10 +19,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.frames import whole_text
+from faultline.llm.frames import stage, whole_text
 
 BUCKETS = 1 << 14
-TRUSTED = 20_000
 SPREAD = 6.0
 WINDOW = 5
 LEAST_WORDS = 10
@@ -57,19 +55,25 @@ def buckets(words: str = "word_hashes") -> Column:
 
 
 def trusted_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """At most ``TRUSTED`` ids of documents labelled good and not toxic."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(doc_id).alias("trusted_id")).where("trusted_id is not null").distinct()
-    return good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(TRUSTED)
+    """The ids of all documents labelled good and not toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(doc_id).alias("trusted_id")).where("trusted_id is not null").distinct()
+
+
+def trusted_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) that are trusted, stored: texts move to their labels once, and ids, which grow with the labels, are not broadcast."""
+    return stage(docs.join(trusted_ids(labels).hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi"))
+
+
+def bucket_counts(docs: DataFrame) -> list[int]:
+    counts = [0] * BUCKETS
+    for row in hashed(docs).select(F.explode(buckets()).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).collect():
+        counts[row.bucket] = row.n
+    return counts
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """log(trusted / corpus) of each bucket, rounded; ``docs`` has doc_id and text."""
-    marked = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = hashed(marked).select(F.col("trusted_id").isNotNull().cast("long").alias("good"), F.explode(buckets()).alias("bucket"))
-    counted = grams.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("good")).collect()
-    raw, good = [0] * BUCKETS, [0] * BUCKETS
-    for row in counted:
-        raw[row.bucket], good[row.bucket] = row.n, row.good
+    """log(trusted / corpus) of each bucket, rounded; ``trusted`` holds the rows of ``docs`` that are trusted."""
+    raw, good = bucket_counts(docs), bucket_counts(trusted)
     all_raw, all_good = sum(raw) + SMOOTHING * BUCKETS, sum(good) + SMOOTHING * BUCKETS
     if not sum(good):
         return [0.0] * BUCKETS
@@ -84,10 +88,9 @@ def ratio(table: list[float], words: str = "word_hashes") -> Column:
     return F.round(F.when(F.size(words) > 0, total / (2 * F.size(words) - 1)).otherwise(0.0), 6)
 
 
-def threshold(docs: DataFrame, trusted: DataFrame, table: list[float]) -> float:
+def threshold(trusted: DataFrame, table: list[float]) -> float:
     """The score that a document must reach, from the trusted documents alone."""
-    good = docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"))
-    scored = hashed(good).where(F.size("word_hashes") >= LEAST_WORDS).select(ratio(table).alias("ratio"))
+    scored = hashed(trusted).where(F.size("word_hashes") >= LEAST_WORDS).select(ratio(table).alias("ratio"))
     row = scored.agg(F.avg("ratio").alias("mean"), F.stddev_pop("ratio").alias("sd")).first()
     return round(row.mean - SPREAD * row.sd, 3) if row.mean is not None else -math.inf
 
@@ -117,9 +120,9 @@ def repeated_words(pairs: Column) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, counts, ratio, base_failed and kept."""
     chosen = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    trusted = trusted_ids(labels)
+    trusted = trusted_docs(chosen, labels)
     table = weights(chosen, trusted)
-    least = threshold(chosen, trusted, table)
+    least = threshold(trusted, table)
     lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.regexp_replace(line, SPACE, "")) > 0)
     counted = hashed(chosen).select(
         "doc_id",

@@ -48,6 +48,16 @@ def test_verdict_on_labelled_documents(spark):
     assert sum(r.kept for r in bad) <= 0.1 * len(bad)
 
 
+def test_every_trusted_document_is_counted(spark):
+    n = 20_100
+    docs = spark.range(n).selectExpr("id AS doc_id", "'a b' AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "cast(null AS int) AS toxic")
+    trusted = quality_rules.trusted_docs(docs, labels.unionByName(labels.limit(5)))
+    assert trusted.count() == quality_rules.trusted_ids(labels).count() == n
+    # All documents are trusted, so that both models are the same.
+    assert set(quality_rules.weights(docs, trusted)) == {0.0}
+
+
 def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.judge(table(spark, []), labels).count() == 0
