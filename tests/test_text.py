@@ -8,6 +8,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,22 @@ def test_vector_search_of_nothing(spark):
         retrieval.vector_search(wrong, c, query_id="q", corpus_id="id", k=3, dim=1).collect()
 
 
+def test_a_block_is_ranked_in_bounded_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    queries, rows = rng.integers(-1, 2, (300, 4)).astype(float), rng.integers(-1, 2, (500, 4)).astype(float)
+    held = []
+    first = retrieval._first
+    monkeypatch.setattr(retrieval, "BLOCK_SCORES", 4000)
+    monkeypatch.setattr(retrieval, "BLOCK_VALUES", 4 * 90)
+    monkeypatch.setattr(retrieval, "_first", lambda scores, k: held.append(scores.size) or first(scores, k))
+    frame = pd.DataFrame({"_id": rng.permutation(500), "_at": None, "_values": list(rows)})
+    found = retrieval._best_in_blocks((np.arange(300), queries, retrieval._norms(queries)), frame, 3, 4)
+    assert max(held) <= 4000
+    ranked = found.groupby("_query").cumcount() + 1
+    got = {(q, r, i) for q, r, i in zip(found["_query"], ranked, found["_id"], strict=True)}
+    assert got == brute_top(list(enumerate(queries)), list(zip(frame["_id"], rows, strict=True)), 3)
+
+
 def test_lsh_finds_most_true_neighbours_and_ranks_exactly(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((10, 16))
