@@ -14,7 +14,7 @@ from faultline.operators import planning, recovery
 from faultline.operators.anomaly import rolling_zscore
 from faultline.operators.asof import asof_join
 from faultline.operators.scoring import SPEC_COLUMNS
-from faultline.plans import domain, pipeline
+from faultline.plans import domain, pipeline, registry
 from faultline.sources.readers import stream_files
 from faultline.sources.sinks import KeyedTable, append_stream, read_fanned, run_available, upsert_stream, work_order_documents
 from faultline.streaming import tables
@@ -499,3 +499,12 @@ def test_stages_are_dropped(spark):
     stored = materialize(spark.range(3))
     assert stored.count() == 3
     assert drop_stages(spark) == 1 and drop_stages(spark) == 0
+
+
+def test_a_replayed_part_is_dealt_over_all_cores(spark):
+    rows = spark.range(3000).selectExpr("id", "timestamp_seconds(1704067200 + id * 60) AS ts", "cast(id % 7 AS string) AS asset_id")
+    folder, stream = registry._replayed(spark, rows, trickle=True)
+    sizes = spark.read.parquet(f"{folder}/in").groupBy(F.input_file_name()).count().collect()
+    files = spark.sparkContext.defaultParallelism
+    assert len(sizes) == 3 * files + 1 and max(r["count"] for r in sizes) < 2 * 1000 / files
+    assert registry._streamed(spark, folder, stream).count() == 3000
