@@ -71,7 +71,9 @@ def check_contract(df: DataFrame, payload: str, contract: T.StructType) -> DataF
     order as ``missing:<field>`` or ``type:<field>``.
     """
     fields = F.from_json(payload, "map<string,variant>")
-    parsed = df.withColumn("_kinds", F.transform_values(fields, lambda _, value: F.schema_of_variant(value)))
+    kinds = F.transform_values(fields, lambda _, value: F.schema_of_variant(value))
+    # Generated, one row for one: a filter on the reason that is moved below a projection would parse the payload anew for each field.
+    parsed = df.withColumn("_kinds", F.explode(F.array(kinds)))
     reason = F.when(F.col(payload).isNotNull() & F.col("_kinds").isNull(), "malformed")
     for field in contract.fields:
         kind = F.coalesce(F.try_element_at("_kinds", F.lit(field.name)), F.lit("VOID"))
