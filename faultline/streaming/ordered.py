@@ -22,6 +22,8 @@ NO_WATERMARK = -(2**62)
 SHIFT_US = 62_135_596_800_000_000
 #: Waiting rows lie in state in buckets of so much event time.
 BUCKET_US = 900_000_000
+#: Buckets that a batch opens and that hold few rows are put together up to so many, since each costs a call.
+PACKED_ROWS = 64
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 _BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
@@ -36,7 +38,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 class InOrder(StatefulProcessor):
     """Hands a subclass each key's rows in event-time order, once the watermark has reached them.
 
-    Rows wait in state, in buckets of event time: a batch reads and writes the buckets that
+    Rows wait in state, in buckets of event time, sparse ones packed: a batch reads and writes the buckets that
     are due and those that it adds to, however many rows wait in others. The engine drops
     rows that an earlier watermark has reached; whatever it lets pass can still be put in
     order, because a batch releases only up to its own watermark. With ``late_rows`` the
@@ -86,7 +88,11 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         watermark = _watermark(timerValues)
-        arrived = [tuple(row[c] for c in self.input_schema.names) for row in rows]
+        at = None
+        arrived = []
+        for row in rows:
+            at = at or [row.__fields__.index(c) for c in self.input_schema.names]
+            arrived.append(tuple(row[i] for i in at))
         if self.beat is not None:
             arrived = [r for r in arrived if not r[self.beat]]
         if self.late_rows:
@@ -114,6 +120,7 @@ class InOrder(StatefulProcessor):
                 due.append(row)
             else:
                 added.setdefault(row[self.time] // self.bucket_us, []).append(row)
+        added = _packed(added, firsts)
         reached = [bucket for bucket, first in firsts.items() if first <= watermark]
         for bucket in {*reached, *added}:
             rows = self._bucket(bucket) if bucket in firsts else []
@@ -158,6 +165,19 @@ def _watermark(timer_values) -> int:
     return millis * 1000 - SHIFT_US if millis > 0 else NO_WATERMARK
 
 
+def _packed(added: dict[int, list[tuple]], held: dict[int, int]) -> dict[int, list[tuple]]:
+    """New buckets that follow one another in few larger ones, each under the number of its first; those held already stay."""
+    out, open_bucket = {}, None
+    for bucket in sorted(added):
+        if bucket in held:
+            out[bucket] = added[bucket]
+        elif open_bucket is not None and len(out[open_bucket]) + len(added[bucket]) <= PACKED_ROWS:
+            out[open_bucket] = out[open_bucket] + added[bucket]
+        else:
+            open_bucket, out[bucket] = bucket, added[bucket]
+    return out
+
+
 def _store(state, rows: list[tuple]) -> None:
     if rows:
         state.put(rows)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline import schemas
 from faultline.functions.hashing import hash_batch, sparse_hash_vector
 from faultline.functions.text import slices_of_chars
 from faultline.operators import quality, retrieval
 from faultline.sources.readers import spread
+from faultline.streaming.ordered import PACKED_ROWS, SHIFT_US, TIME
+from faultline.streaming.rolling import RollingScore
+from test_streaming import Stub
 
 
 def test_texts_are_held_a_bounded_number_of_characters_at_a_time():
@@ -63,3 +68,23 @@ def test_rows_of_one_row_group_are_spread_though_the_file_has_many_splits(spark,
         assert len(sizes) >= 8 and max(sizes) <= 1000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_sparse_waiting_rows_lie_in_few_buckets_and_leave_in_order():
+    schema = T.StructType([T.StructField("asset_id", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("temp_c", T.DoubleType()), T.StructField(TIME, T.LongType())])
+    processor = RollingScore(schema, "temp_c", "z", 30, [TIME, "event_id"])
+    stub = Stub()
+    processor.init(stub)
+    hour = 3_600_000_000
+    named = Row("temp_c", TIME, "asset_id", "event_id")  # not in the order of the schema
+
+    def give(rows, watermark):
+        stub.watermark, stub.written = (watermark + SHIFT_US) // 1000, 0
+        return [r.event_id for r in processor.handleInputRows(("A",), iter(named(1.0, at, "A", n) for n, at in rows), stub)]
+
+    assert give([(n, n * hour) for n in range(1, 641)], 0) == []
+    assert len(stub.states["pending"]) <= 640 // PACKED_ROWS + 1
+    assert give([(1000, 10 * hour + 1), (1001, 64 * hour + 1)], hour) == [1] and stub.written <= PACKED_ROWS + 2
+    assert give([], 20 * hour) == [*range(2, 11), 1000, *range(11, 21)] and stub.written <= PACKED_ROWS
+    assert give([], 700 * hour) == [*range(21, 65), 1001, *range(65, 641)]
+    assert not stub.states["pending"] and stub.states["buckets"].held is None
