@@ -66,6 +66,10 @@ def test_rows_of_one_row_group_are_spread_though_the_file_has_many_splits(spark,
         assert scan.rdd.getNumPartitions() >= 8
         sizes = [r.n for r in spread(scan).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
         assert len(sizes) >= 8 and max(sizes) <= 1000
+        half = str(tmp_path / "half")  # as many row groups as half of the cores, but more splits than cores
+        spark.range(4000).withColumn("text", F.sha2(F.col("id").cast("string"), 256)).repartition(4).write.parquet(half)
+        scan = spark.read.parquet(half)
+        assert scan.rdd.getNumPartitions() >= 8 and spread(scan).groupBy(F.spark_partition_id()).count().count() >= 8
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
 
