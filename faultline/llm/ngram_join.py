@@ -8,12 +8,13 @@ Equal sets are one class from the start; the join runs between classes.
    sorted classes of a shingle are streamed: each is paired with the first that passes the length and positional
    filters, and shingles of three or more classes report the members that others can reach. Frequent shingles are
    dealt over ``PARTS`` salted parts, whose members are reported too.
-3. Pairs are verified once on whole sets, after a suffix filter that bounds the overlap by counts of parts of the
-   sets. Their links give preliminary components.
-4. Only shingles whose members still lie in different components need more pairs (``settle``). Their members are
-   held against one of them, the centre, and what each differs in from it is joined rare first again: near copies of
-   one text that don't link share their text but not their differences. Pairs inside a component can't change the
-   result and are never formed, nor are all pairs of a group.
+3. Pairs whose sketches don't part them (a suffix filter: parities of a set's hashes, from which two sets differ in
+   at least so many shingles as the sketches in bits) are verified once on whole sets. Members of a group meet by
+   their sketches alone, block against block in one task each, and send no rows but two pairs for a member: with the
+   nearest that the sketch admits, and with the smallest. Links give preliminary components.
+4. Only groups whose members still lie in different components meet again, and give all pairs that the sketches
+   admit between components. Pairs inside a component can't change the result and are never formed; pairs that differ
+   by far more than linked ones may are compared as sketches only, whatever the size of a group.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a
 text of fewer than five words has its whole sequence as its only shingle; rows with the same id and different
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from faultline.llm.bpe import blocks
 from faultline.llm.components import components
 from faultline.llm.frames import stage, whole_text
+from faultline.llm.runs import whole_runs
 from faultline.llm.shingles import mixed, shingle_sets
 
 #: Similarity in hundredths.
@@ -47,13 +49,13 @@ FREQUENT, PARTS = 2000, 64
 NAMED = 4096
 #: Pairs and groups that a task remembers so as not to say them twice; they are made distinct later anyway.
 REMEMBERED = 200_000
-HISTOGRAM = 64
 FAN = 64
-#: A centre's text goes to as many tasks as its members have salts.
-SALTS = 512
-ROUNDS = 3
-#: Bits of the sketch that bounds from below in how many shingles two sets differ.
-SKETCH = 512
+#: Least and most bits of the sketch that bounds from below in how many shingles two sets differ.
+SKETCH, SKETCH_MOST = 512, 1 << 18
+#: Members of a group go to blocks of at least so many, at most ``MOST_BLOCKS`` of them unless their sketches take more bytes each.
+BLOCK_ROWS, MOST_BLOCKS, BLOCK_BYTES = 512, 32, 8 << 20
+#: Words of sketches that are compared at a time.
+TILE = 1 << 20
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -77,25 +79,35 @@ def shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, l
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, class) of every document, and rows (chunk, counters) of each task's counters."""
+    """(doc_id, mark, n, class, sketch) of every document, and rows (chunk, counters) of each task's counters.
+
+    ``mark`` tells the texts of rows that share an id apart.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(COUNTERS, np.uint32), None
-        for ids, sets in shingle_batches(batches):
-            id_type = ids.type
-            seen = np.concatenate([np.zeros(0, np.uint64), *sets])
-            counts += np.bincount((seen & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            size = pa.array([len(s) for s in sets], pa.int64())
-            classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, size, classes, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
+        for batch in batches:
+            id_type, at = batch.column(0).type, 0
+            for block in blocks(batch.column(1).to_pylist()):
+                sets = shingle_sets(block)
+                seen = np.concatenate([np.zeros(0, np.uint64), *sets])
+                counts += np.bincount((seen & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                size = pa.array([len(s) for s in sets], pa.int64())
+                classes = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
+                sketches = pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())
+                ids, marks = (batch.column(k).slice(at, len(sets)) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([ids, marks, size, classes, sketches, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
+                at += len(sets)
         if id_type is not None:
             n, task = COUNTERS // CHUNK, TaskContext.get().partitionId()
             packed = [zstandard.compress(part.tobytes(), 1) for part in counts.reshape(n, CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array(packed, pa.binary())], names)
+            absent = [pa.nulls(n, id_type), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*absent, pa.array(range(n), pa.int32()), pa.array([task] * n, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    names = ["doc_id", "n", "class", "chunk", "task", "counters"]
-    return stage(docs.mapInArrow(in_task, f"doc_id {kind}, n long, class long, chunk int, task int, counters binary"))
+    names = ["doc_id", "mark", "n", "class", "sketch", "chunk", "task", "counters"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return stage(rows.mapInArrow(in_task, f"doc_id {kind}, mark long, n long, class long, sketch binary, chunk int, task int, counters binary"))
 
 
 def counters(profiled: DataFrame) -> np.ndarray:
@@ -269,50 +281,63 @@ def _met(pairs: list[tuple[int, int]], members: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def histogram(shingles: np.ndarray) -> bytes:
-    """Counts of a set's hashes by their high bits, for the suffix filter."""
-    return np.minimum(np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=HISTOGRAM), 65535).astype(np.uint16).tobytes()
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes by their low bits, so many that few of them clash: two sets differ in no fewer members
+    than their sketches in bits. The larger of two sketches ``folded`` to the size of the other is the one of that size."""
+    bits = min(max(SKETCH, 1 << (4 * len(shingles)).bit_length()), SKETCH_MOST)
+    odd = np.bincount((mixed(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of a set's hashes by ``SKETCH`` values: two sets differ in no fewer members than their sketches in bits."""
-    odd = np.bincount((mixed(shingles) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches brought down to so many words."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
 
 
-def held_texts(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, n, text, parts) of the given classes, each by one of its documents."""
-    chosen = members.join(classes, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+def within(apart, sizes, percent: int = PERCENT):
+    """Whether sets of together ``sizes`` members, of which ``apart`` are in one of them only, link."""
+    return (100 + percent) * apart <= (100 - percent) * sizes
 
-    @F.arrow_udf("struct<class: long, parts: binary>")
-    def profiled(texts: pa.Array) -> pa.Array:
-        rows = [(class_of(s) if len(s) else None, histogram(s)) for block in blocks(texts.to_pylist()) for s in shingle_sets(block)]
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["class", "parts"])
 
-    # Of rows that share an id, one whose text is of the class.
-    found = docs.join(chosen, "doc_id").withColumn("profiled", profiled("text"))
-    return found.where("profiled.class = class").dropDuplicates(["doc_id", "class"]).select("class", "n", "text", "profiled.parts")
+def profiles_of(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, doc_id, mark, n, sketch) of the given classes, each by one of its documents."""
+    chosen = members.where("class is not null and doc_id is not null").join(classes, "class", "left_semi")
+    return chosen.groupBy("class").agg(F.min(F.struct("doc_id", "mark", "n", "sketch")).alias("held")).select("class", "held.*")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link; length and suffix filter first, then the whole sets, once for each pair."""
-    short = texts.select("class", "n", "parts")
-    left = short.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("parts").alias("parts_a"))
-    right = short.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("parts").alias("parts_b"))
-    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+def texts_of(docs: DataFrame, held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, text) of the classes of pairs."""
+    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = held.select("class", "doc_id", "mark").join(asked, "class")
+    texts = docs.where("doc_id is not null").withColumn("mark", F.xxhash64("text"))
+    return texts.join(wanted, ["doc_id", "mark"]).dropDuplicates(["class"]).select("class", "text")
 
-    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def plausible(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that length and sketches admit."""
+    sides = [held.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab"]
+    sized = pairs.join(sides[0], "a").join(sides[1], "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HISTOGRAM).astype(np.int64) for k in (4, 5))
-            overlap = np.where((a == 65535) & (b == 65535), 1 << 40, np.minimum(a, b)).sum(axis=1)
-            fits = overlap >= needed(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fits))
-
-    close = sized.select("a", "b", "n_a", "n_b", "parts_a", "parts_b").mapInArrow(suffix, "a long, b long")
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.zeros(batch.num_rows, np.int64)
+            for row, both in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64)[None] for v in both)
+                words = min(x.shape[1], y.shape[1])
+                apart[row] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(within(apart, sizes, percent)))
+
+    return sized.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(in_task, "a long, b long")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, on whole sets, once for each pair."""
     whole = texts.select("class", "text")
-    with_b = close.join(whole.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+    with_b = pairs.join(whole.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(whole.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,135 +357,147 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(group, class, component) of the groups whose members lie in different components."""
-    placed = members.join(found, members["class"] == found.node, "left").select("group", "class", F.coalesce("component", "class").alias("component"))
-    mixed_groups = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return placed.join(mixed_groups.select("group"), "group", "left_semi")
-
-
-def within(apart, sizes, percent: int = PERCENT):
-    """Whether sets of together ``sizes`` members, of which ``apart`` are in one of them only, link."""
-    return (100 + percent) * apart <= (100 - percent) * sizes
-
-
-def centred(open_groups: DataFrame) -> DataFrame:
-    """(group, class, centre): the smallest class of a group is its centre, so that groups of like members share theirs."""
-    return open_groups.join(open_groups.groupBy("group").agg(F.min("class").alias("centre")), "group").select("group", "class", "centre")
-
-
-def differences(placed: DataFrame, texts: DataFrame, order, percent: int) -> DataFrame:
-    """(centre, class, n, n_centre, apart, tokens, sketch): how each class differs from its centre.
-
-    ``tokens`` starts the list of the shingles that only one of both has, those first that few members of the centre
-    should differ in: a shingle that the centre lacks by its counter, one that it has by how far its counter is below
-    the centre's median. It is as long as two linked sets may differ, and one more.
+def unsettled(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """(centre, class, component) of the centres whose members lie in different components."""
+    placed = placed.drop("component").join(found, F.col("class") == F.col("node"), "left").select("centre", "class", F.coalesce("component", "class").alias("component"))
+    split = placed.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return placed.join(split.select("centre"), "centre", "left_semi")
+
+
+def centred(groups: DataFrame) -> DataFrame:
+    """(centre, class, component), each class a component: groups of the same smallest class, their centre, are one."""
+    centres = groups.groupBy("group").agg(F.min("class").alias("centre"), F.max("class").alias("high")).where("centre < high")
+    return groups.join(centres.select("group", "centre"), "group").select("centre", "class").distinct().withColumn("component", F.col("class"))
+
+
+def in_blocks(placed: DataFrame, held: DataFrame) -> DataFrame:
+    """(centre, low, high, block, class, component, n, sketch): members for each pair (low, high) of a centre's blocks."""
+    rows = placed.join(held.select("class", "n", "sketch"), "class")
+    sizes = rows.groupBy("centre").agg(F.count("*").alias("m"), F.sum(F.length("sketch").cast("long")).alias("size"))
+    blocks_of = F.greatest(F.least(F.ceil(F.col("m") / BLOCK_ROWS), F.lit(MOST_BLOCKS)), F.ceil(F.col("size") / BLOCK_BYTES))
+    dealt = rows.join(sizes.select("centre", blocks_of.alias("blocks")), "centre").withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return met.select("centre", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "class", "component", "n", "sketch")
+
+
+class Members:
+    """Members of one block in order of size, their sketches by width."""
+
+    def __init__(self, table: pa.Table) -> None:
+        table = table.sort_by([("n", "ascending"), ("class", "ascending")])
+        self.name, self.component, self.n = (table.column(k).to_numpy() for k in ("class", "component", "n"))
+        sketches = table.column("sketch").to_pylist()
+        words = np.array([len(x) // 8 for x in sketches], np.int64)
+        edge = [0, *(np.flatnonzero(words[1:] != words[:-1]) + 1).tolist(), len(words)]
+        #: (first row, matrix of sketches) of each width; larger sets have wider ones.
+        self.runs = [(i, np.frombuffer(b"".join(sketches[i:j]), np.uint64).reshape(j - i, -1)) for i, j in zip(edge[:-1], edge[1:], strict=True) if i < j]
+
+
+def admitted(left: Members, right: Members, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of left and right in different components that length and sketches admit, and the share that parts them."""
+    for first, sketches in left.runs:
+        at = 0
+        while at < len(sketches):
+            low = -(-percent * int(left.n[first + at]) // 100)
+            start = int(np.searchsorted(right.n, low))
+            rows = max(1, min(TILE // max(1, (len(right.n) - start) * sketches.shape[1]), 256, len(sketches) - at))
+            end = int(np.searchsorted(right.n, 100 * int(left.n[first + at + rows - 1]) // percent, "right"))
+            for other, matrix in right.runs:
+                i, j = max(start - other, 0), min(end - other, len(matrix))
+                if i >= j:
+                    continue
+                words = min(matrix.shape[1], sketches.shape[1])
+                x, y = folded(sketches[at : at + rows], words), folded(matrix[i:j], words)
+                mine, its = np.arange(first + at, first + at + rows), np.arange(other + i, other + j)
+                step = max(1, TILE // (rows * words))
+                for k in range(0, len(y), step):
+                    part = its[k : k + step]
+                    apart = np.bitwise_count(x[:, None] ^ y[None, k : k + step]).sum(axis=2, dtype=np.int64)
+                    sizes = left.n[mine][:, None] + right.n[part][None]
+                    fits = within(apart, sizes, percent) & (left.component[mine][:, None] != right.component[part][None])
+                    fits &= 100 * np.minimum(left.n[mine][:, None], right.n[part][None]) >= percent * np.maximum(left.n[mine][:, None], right.n[part][None])
+                    r, c = np.nonzero(fits)
+                    if len(r):
+                        yield mine[r], part[c], apart[r, c] / sizes[r, c]
+            at += rows
+
+
+class Choice:
+    """Of each member the nearest partner so far, and the one of the smallest class."""
+
+    def __init__(self, members: Members) -> None:
+        n = len(members.name)
+        self.members, self.share, self.nearest, self.smallest = members, np.full(n, 9.0), np.full(n, -1), np.full(n, -1)
+
+    def add(self, rows: np.ndarray, partners: np.ndarray, names: np.ndarray, share: np.ndarray) -> None:
+        order = np.lexsort((names, share, rows))
+        at = order[np.unique(rows[order], return_index=True)[1]]
+        better = at[share[at] < self.share[rows[at]]]
+        self.share[rows[better]], self.nearest[rows[better]] = share[better], partners[better]
+        order = np.lexsort((names, rows))
+        at = order[np.unique(rows[order], return_index=True)[1]]
+        held = self.smallest[rows[at]]
+        better = at[(held < 0) | (names[at] < self.other[held])]
+        self.smallest[rows[better]] = partners[better]
+
+    def pairs(self) -> np.ndarray:
+        out = [np.column_stack([self.members.name[has], self.other[held[has]]]) for held in (self.nearest, self.smallest) if len(has := np.flatnonzero(held >= 0))]
+        return np.concatenate([np.zeros((0, 2), np.int64), *out])
+
+
+def meet_blocks(placed: DataFrame, held: DataFrame, percent: int, chosen: bool) -> DataFrame:
+    """Pairs (a, b) of members of one centre in different components that length and sketches admit.
+
+    With ``chosen`` each member has at most two in a pair of blocks. No pair is made into a row before.
     """
-    rows = placed.select("centre", "class").distinct().withColumn("part", F.pmod("class", F.lit(SALTS)))
-    whole = texts.select("class", "text")
-    centres = rows.select("centre", "part").distinct().join(whole.select(F.col("class").alias("centre"), F.col("text").alias("text_centre")), "centre")
-    both = rows.join(whole, "class").join(centres, ["centre", "part"]).select("centre", "class", "text", "text_centre")
+    keys = ["centre", "low", "high"]
+    rows = in_blocks(placed, held).repartition(*keys).sortWithinPartitions(*keys)
+
+    def batch_of(pairs: np.ndarray) -> pa.RecordBatch:
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, low, high = (table.column(k).to_numpy() for k in ("block", "low", "high"))
+        left = Members(table.filter(pa.array(block == low)))
+        right = left if low[0] == high[0] else Members(table.filter(pa.array(block != low)))
+        best = [Choice(left), Choice(right)]
+        best[0].other, best[1].other = right.name, left.name
+        for x, y, share in admitted(left, right, percent):
+            if chosen:
+                best[0].add(x, y, right.name[y], share)
+                best[1].add(y, x, left.name[x], share)
+            else:
+                yield batch_of(np.column_stack([left.name[x], right.name[y]]))
+        if chosen:
+            yield batch_of(np.concatenate([b.pairs() for b in best]))
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, last = order.value, None
+        for table, bounds in whole_runs(batches, keys):
+            for start, end in zip(bounds[:-1].tolist(), [*bounds[1:-1].tolist(), table.num_rows], strict=True):
+                if end - start > 1:
+                    yield from compared(table.slice(start, end - start))
 
-        def often(shingles: np.ndarray) -> np.ndarray:
-            return counts[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.int64)
+    return rows.mapInArrow(in_task, "a long, b long").distinct()
 
-        for batch in batches:
-            centre, names, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            for block in blocks(batch.column(2).to_pylist()):
-                sizes, sizes_centre, apart, tokens, sketches = [], [], [], [], []
-                for row, shingles in enumerate(shingle_sets(block), at):
-                    if centre[row] != last:
-                        last, middle = centre[row], shingle_sets([batch.column(3)[row].as_py()])[0]
-                        usual = int(np.median(often(middle)))
-                    added = np.setdiff1d(shingles, middle, assume_unique=True)
-                    missed = np.setdiff1d(middle, shingles, assume_unique=True)
-                    differ = np.concatenate([added, missed])
-                    rank = np.concatenate([often(added), np.maximum(usual - often(missed), 0)])
-                    n = len(shingles)
-                    first = np.lexsort((differ, rank))[: n * (100 - percent) // percent + 1]
-                    sizes.append(n)
-                    sizes_centre.append(len(middle))
-                    apart.append(len(differ))
-                    tokens.append(differ[first].view(np.int64))
-                    sketches.append(sketch(shingles))
-                end = at + len(block)
-                columns = [pa.array(centre[at:end], pa.int64()), pa.array(names[at:end], pa.int64()), *(pa.array(c, pa.int32()) for c in (sizes, sizes_centre, apart)), *(pa.array(c, pa.list_(pa.int64())) for c in (tokens, sketches))]
-                yield pa.RecordBatch.from_arrays(columns, ["centre", "class", "n", "n_centre", "apart", "tokens", "sketch"])
-                at = end
-
-    return both.mapInArrow(in_task, "centre long, class long, n int, n_centre int, apart int, tokens array<long>, sketch array<long>")
-
-
-def differ_alike(differing: DataFrame, found: DataFrame, percent: int, last: bool, hubs: bool) -> DataFrame:
-    """Pairs (a, b) of different components that may link: they share one of the first differences from their centre.
-
-    With ``hubs`` a class is paired only with the one nearest to the centre of those that have the difference.
-
-    As x and y differ where exactly one of them differs from the centre, two classes that share no difference link only
-    if their differences are together few enough, and then both link with the centre. So one of a pair is not linked
-    with its centre, and the pair shares a difference before which neither has more than the other may lack. Sketches of
-    the sets part most other pairs; those of very long texts, which may differ in more places than a sketch has bits, less.
-    """
-    sizes = F.col("n") + F.col("n_centre")
-    near = differing if last else differing.where(200 * F.col("apart") <= (150 - percent) * (sizes + F.col("apart")))
-    kept = near.join(found, near["class"] == found.node, "left").withColumn("component", F.coalesce("component", "class")).withColumn("outer", ~within(F.col("apart"), sizes, percent))
-    kept = kept.select("centre", "class", "component", "n", "apart", "outer", (3 * F.col("apart") <= sizes).alias("core"), "tokens", "sketch")
-    split = kept.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("centre")
-    open_rows = kept.join(kept.select("centre", "class").join(split, "centre", "left_semi"), ["centre", "class"])
-    dealt = open_rows.select("centre", "class", "component", "n", "apart", "outer", "core", "sketch", F.posexplode("tokens").alias("pos", "token"))
-    fields = ("apart", "class", "component", "n", "outer", "core", "pos", "sketch")
-    other = dealt.select("centre", "token", *(F.col(c).alias(f"{c}_b") for c in fields))
-    if hubs:
-        other = dealt.groupBy("centre", "token").agg(F.min(F.struct(*fields)).alias("hub")).select("centre", "token", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in fields))
-    gap = F.col("apart_b") - F.col("apart")
-    lacks = F.greatest(2 * F.col("pos") + gap, 2 * F.col("pos_b") - gap)
-    unlike = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH // 64)), F.lit(0))
-    fits = (F.col("component") != F.col("component_b")) & within(F.greatest(lacks, unlike), F.col("n") + F.col("n_b"), percent)
-    if not hubs:  # each pair once
-        fits = fits & (~F.col("outer_b") | (F.col("class") < F.col("class_b")))
-    if not last:
-        fits = fits & (F.col("core") | F.col("core_b"))
-    return ordered(dealt.where("outer").join(other, ["centre", "token"]).where(fits).select(F.col("class").alias("a"), F.col("class_b").alias("b")))
-
-
-def settle(groups: DataFrame, texts: DataFrame, tried: DataFrame, links: DataFrame, order, percent: int) -> DataFrame:
-    """``links`` and those that still join components inside groups.
-
-    Each round compares every member of an open group with its centre, and the differences of members near one centre
-    with each other. Members far from it (a distance above a half) go on to the next round with another centre of
-    their own; in the last round all members take part. Pairs with one class for each difference come first, and only
-    what they leave in different components forms the others. Members near the centre meet far ones up to the distance at
-    which the triangle inequality rules a link out, so no link between components is lost.
+
+def settle(docs: DataFrame, first: DataFrame, groups: DataFrame, held: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of classes, and the components that they form.
+
+    A round verifies the pairs of hubs and those that members of groups choose; the next one all pairs that are still
+    between components. Length and sketches rule out only pairs that don't link, so no link between components is lost.
     """
-    found, open_groups = components(links), None
-    for turn in range(ROUNDS):
-        last = turn == ROUNDS - 1
-        placed = stage(centred(unsettled(groups if open_groups is None else open_groups, found)))
-        if placed.isEmpty():
-            return links
-        differing = stage(differences(placed, texts, order, percent))
-        to_centre = differing.where(F.col("class") != F.col("centre")).where(within(F.col("apart"), F.col("n") + F.col("n_centre"), percent))
-        links = stage(links.unionByName(ordered(to_centre.select(F.col("class").alias("a"), F.col("centre").alias("b")))).distinct())
-        found = components(links)
-        for hubs in (True, False):
-            pairs = stage(differ_alike(differing, found, percent, last, hubs).join(tried, ["a", "b"], "left_anti"))
-            if pairs.isEmpty():
-                continue
-            tried, more = tried.unionByName(pairs), stage(verify(pairs, texts, percent))
-            if not more.isEmpty():
-                links = stage(links.unionByName(more).distinct())
-                found = components(links)
-        if not last:
-            far = differing.where(3 * F.col("apart") > F.col("n") + F.col("n_centre")).select("centre", "class")
-            open_groups = placed.join(far, ["centre", "class"]).select("group", "class")
-    return links
-
-
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = stage(centred(groups))
+    pairs = plausible(first, held, percent).unionByName(meet_blocks(placed, held, percent, chosen=True))
+    tried = stage(pairs.distinct())
+    links = stage(verify(tried, texts_of(docs, held, tried), percent))
+    found = components(links)
+    more = stage(meet_blocks(unsettled(placed, found), held, percent, chosen=False).join(tried, ["a", "b"], "left_anti"))
+    if more.isEmpty():
+        return links, found
+    added = stage(verify(more, texts_of(docs, held, more), percent))
+    links = links.unionByName(added)
+    return links, found if added.isEmpty() else components(links)
 
 
 def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -471,24 +508,20 @@ def join(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     chosen = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
     profiled = profile(chosen)
-    members = profiled.where("chunk is null").select("doc_id", "n", "class")
+    members = profiled.where("chunk is null")
     order = spark.sparkContext.broadcast(counters(profiled))
     rows = prefixes(chosen, order, percent).repartition("token", "part").sortWithinPartitions("token", "part", "n", "class")
     met = stage(meet(rows, percent))
     groups = met.where("group is not null").select("group", F.col("b").alias("class")).distinct()
-    first = stage(met.where("group is null").select("a", "b").distinct())
-    ids = members.where("class is not null and doc_id is not null")
+    first = met.where("group is null").select("a", "b").distinct()
     classes = met.select(F.col("b").alias("class")).unionByName(met.where("a is not null").select(F.col("a").alias("class"))).distinct()
-    texts = stage(held_texts(chosen.where("doc_id is not null"), ids, classes))
-
-    links = stage(verify(first, texts, percent))
-    return labelled(members, settle(groups, texts, first, links, order, percent))
+    held = stage(profiles_of(members, classes))
+    return labelled(members.select("doc_id", "n", "class"), *settle(chosen, first, groups, held, percent))
 
 
-def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Components of documents from the links of classes: a class joins its documents, and an id its classes."""
+def labelled(members: DataFrame, links: DataFrame, placed: DataFrame) -> DataFrame:
+    """Components of documents from those of classes: a class joins its documents, and an id its classes."""
     ids = members.where("class is not null and doc_id is not null")
-    placed = components(links)
     by_class = ids.join(placed, ids["class"] == placed.node, "left").select("doc_id", F.coalesce("component", "class").alias("root"))
     smallest = by_class.groupBy("root").agg(F.min("doc_id").alias("least"))
     # Rows that repeat an id with other texts tie their components; the smallest id is found through such ties too.

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 
+from faultline.llm import components as components_module
 from faultline.llm import ngram_join, queries
 from faultline.llm.components import components
 
@@ -142,3 +143,53 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {n: 0 for n in range(61)} | {100: 100, 101: 100}
+
+
+def test_components_of_more_links_than_one_block_holds(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "BLOCK", 7)
+    rng = random.Random(8)
+    chain = [(n, n + 1) for n in range(60)]
+    rng.shuffle(chain)
+    got = {r.node: r.component for r in components(spark.createDataFrame([*chain, (-5, -5), (101, 100), (100, 101), (-9, 102)], "a long, b long")).collect()}
+    assert got == {n: 0 for n in range(61)} | {100: 100, 101: 100, -9: -9, 102: -9}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_folded_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (120, 250, 1000):
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.concatenate([x, rng.integers(0, 1 << 63, n // 5).astype(np.uint64)])
+        wide, slim = ngram_join.sketch(y)[None], ngram_join.sketch(x)[None]
+        assert wide.shape == (1, 2 * slim.shape[1])
+        assert 0 < np.bitwise_count(ngram_join.folded(wide, slim.shape[1]) ^ slim).sum() <= n // 5
+
+
+def test_members_in_several_blocks_match_all_pairs(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 16), ("MOST_BLOCKS", 3), ("TILE", 2000)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(6)
+    texts = [*near_copies(rng, 2, 130), *near_copies(rng, 6, 9)]
+    assert run(spark, table(spark, texts)) == brute(list(enumerate(texts)))
+
+
+def test_long_texts_that_share_a_passage_only_are_not_verified(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{n}" for n in range(90_000)]
+    passage = rng.choices(words, k=90)
+    texts = [" ".join([*rng.choices(words, k=700), *passage, *rng.choices(words, k=700)]) for _ in range(40)]
+    texts += [" ".join(texts[0].split()[:-9]), " ".join(texts[1].split()[9:])]
+    seen = verified(monkeypatch)
+    got = run(spark, table(spark, texts))
+    assert {n: c for n, (_, c) in got.items()} == {n: n for n in range(40)} | {40: 0, 41: 1}
+    assert len(seen) == 2
+
+
+def test_few_jobs(spark):
+    # Every job leaves its plan and tasks in the driver's memory.
+    rng = random.Random(9)
+    docs = table(spark, near_copies(rng, 2, 40))
+    spark.sparkContext.setJobGroup("few jobs", "few jobs")
+    run(spark, docs)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("few jobs")) < 120
