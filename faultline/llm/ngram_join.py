@@ -65,11 +65,6 @@ def class_of(shingles: np.ndarray) -> int:
     return int(mixed(folded[:1] * np.uint64(0x9E3779B97F4A7C15) + folded[1:2] * np.uint64(0xC2B2AE3D27D4EB4F) + folded[2:])[0].view(np.int64))
 
 
-def needed(a, b, percent: int = PERCENT):
-    """Least overlap of linked sets of sizes a and b: the smallest o with 100 o >= p (a + b - o)."""
-    return -(-(percent * (a + b)) // (100 + percent))
-
-
 def shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     for batch in batches:
         ids, at = batch.column(0), 0
@@ -425,9 +420,10 @@ def admitted(left: Members, right: Members, percent: int) -> Iterator[tuple[np.n
 class Choice:
     """Of each member the nearest partner so far, and the one of the smallest class."""
 
-    def __init__(self, members: Members) -> None:
+    def __init__(self, members: Members, others: np.ndarray) -> None:
         n = len(members.name)
-        self.members, self.share, self.nearest, self.smallest = members, np.full(n, 9.0), np.full(n, -1), np.full(n, -1)
+        self.members, self.other = members, others
+        self.share, self.nearest, self.smallest = np.full(n, 9.0), np.full(n, -1), np.full(n, -1)
 
     def add(self, rows: np.ndarray, partners: np.ndarray, names: np.ndarray, share: np.ndarray) -> None:
         order = np.lexsort((names, share, rows))
@@ -461,8 +457,7 @@ def meet_blocks(placed: DataFrame, held: DataFrame, percent: int, chosen: bool)
         block, low, high = (table.column(k).to_numpy() for k in ("block", "low", "high"))
         left = Members(table.filter(pa.array(block == low)))
         right = left if low[0] == high[0] else Members(table.filter(pa.array(block != low)))
-        best = [Choice(left), Choice(right)]
-        best[0].other, best[1].other = right.name, left.name
+        best = [Choice(left, right.name), Choice(right, left.name)]
         for x, y, share in admitted(left, right, percent):
             if chosen:
                 best[0].add(x, y, right.name[y], share)
