@@ -37,12 +37,13 @@ from faultline.llm.shingles import _LETTER, _powers, mixed
 LENGTH = 50
 GRAM = 20
 BLOCK_BYTES = 1_000_000
-#: Bytes of text for each range of anchors, and of text round shared anchors for each bucket of suffixes.
-RANGE_BYTES, BUCKET_BYTES = 32_000_000, 4_000_000
+#: Bytes of text for each range of anchors, and of text round shared anchors for each bucket of suffixes. Every block
+#: sends a row to every bucket, so that few large ones keep the rows few.
+RANGE_BYTES, BUCKET_BYTES = 32_000_000, 32_000_000
 #: Usual bytes of the text round an anchor.
 AROUND = LENGTH + 12
-#: A bucket is sorted in so many parts, by its anchors, and a part so many suffixes at a time.
-PARTS = 16
+#: A bucket is sorted in parts, by its anchors, of some so many bytes, at most so many, and a part so many suffixes at a time.
+PART_BYTES, PARTS = 250_000, 256
 PART = 200_000
 HALF = np.uint64(0xFFFFFFFF)
 
@@ -69,7 +70,6 @@ class Block:
     def __init__(self, data: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
         self.data, self.ids, self.ends = data, ids, ends
         n, grams = len(data), LENGTH - GRAM + 1
-        sizes = np.diff(np.concatenate([[0], ends]))
         self.run_doc = np.zeros(0, np.int64)
         self.low = self.high = self.anchor = np.zeros(0, np.int64)
         self.hash = np.zeros(0, np.uint64)
@@ -79,32 +79,31 @@ class Block:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_LETTER[data] * power[:n], out=self.sums[1:])
         value = mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.inverse[: n - GRAM + 1])
-        best, place = value, np.arange(len(value), dtype=np.int32)
-        hashes, reach = value, 1
+        # The high bits of a hash with its place below them: the least of a window is its smallest hash, the first of equal ones.
+        places = np.uint64((1 << int(n).bit_length()) - 1)
+        best, reach = (value & ~places) | np.arange(len(value), dtype=np.uint64), 1
         while reach < grams:
             step = min(reach, grams - reach)
-            right = best[step:] < best[: len(best) - step]
-            place = np.where(right, place[step:], place[: len(place) - step])
-            best = np.where(right, best[step:], best[: len(best) - step])
+            best = np.minimum(best[step:], best[:-step])
             reach += step
-        room = np.repeat(ends, sizes)[: len(place)] - np.arange(len(place))
-        starts = np.flatnonzero(room >= LENGTH)
-        owner = place[starts].astype(np.int64)
-        doc = np.repeat(np.arange(len(ends)), sizes)[starts]
-        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else np.zeros(0, int)
+        inside = np.ones(n, bool)
+        inside[np.maximum(ends[:, None] - np.arange(1, LENGTH), 0)] = False  # no window begins so near the end of a text
+        starts = np.flatnonzero(inside[: len(best)])
+        owner = (best & places).astype(np.int64)[starts]
+        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else np.zeros(0, int)
         last = np.append(first[1:], len(starts)) - 1
-        self.low, self.high, self.anchor, self.run_doc = starts[first], starts[last], owner[first], doc[first]
+        self.low, self.high, self.anchor = starts[first], starts[last], owner[first]
+        self.run_doc = np.searchsorted(ends, self.low, "right")
         # The smallest hash of a window is small by its nature; mixed again, anchors are dealt evenly by their high bits.
-        self.hash = mixed(hashes[self.anchor])
+        self.hash = mixed(value[self.anchor])
 
     def shared(self, ranges: int, answers: dict[int, bytes]) -> np.ndarray:
         """Which runs have an anchor that occurs elsewhere, in this block or by the answers of the ranges."""
         names, which, count = np.unique(self.hash, return_inverse=True, return_counts=True)
         hit = count > 1
-        part = part_of(names, ranges)
+        cuts = np.searchsorted(part_of(names, ranges), np.arange(ranges + 1))
         for k, packed in answers.items():
-            at = np.flatnonzero(part == k)
-            at = at[np.argsort(names[at] & HALF, kind="stable")]
+            at = cuts[k] + np.argsort(names[cuts[k] : cuts[k + 1]] & HALF, kind="stable")
             hit[at] |= np.unpackbits(np.frombuffer(packed, np.uint8), count=len(at)).astype(bool)
         return hit[which] if len(which) else np.zeros(0, bool)
 
@@ -191,6 +190,20 @@ def sorted_suffixes(data: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> It
         yield out
 
 
+def _met_again(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of the windows may equal another one, by a hash of theirs; equal hashes only add candidates."""
+    power, inverse = _powers(1 << max(20, int(np.ceil(np.log2(len(data) + 1)))))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTER[data] * power[: len(data)], out=sums[1:])
+    value = (sums[wanted + LENGTH] - sums[wanted]) * inverse[wanted]
+    order = np.argsort(value)
+    same = value[order][1:] == value[order][:-1]
+    again = np.zeros(len(wanted), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    return again
+
+
 def decide(whole: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """For the windows of all texts, one after another: does the same window stand in a text of a smaller id?"""
     start = np.cumsum(lengths) - lengths
@@ -215,8 +228,8 @@ def decide(whole: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarra
     end = np.append(np.repeat((base + size).astype(np.int32), padded), np.zeros(16, np.int32))
     windows = size - LENGTH + 1
     wanted = np.repeat(base - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    smallest = np.full(len(data), np.iinfo(np.int32).max, np.int32)
-    for part in sorted_suffixes(data, end, wanted):
+    smallest = np.append(least[text], np.zeros(16, np.int32))  # of a window that no other equals
+    for part in sorted_suffixes(data, end, wanted[_met_again(data, wanted)]):
         same = np.ones(len(part) - 1, bool)
         for n in range(-(-LENGTH // 8)):
             word = words_at(data, part, np.full(len(part), LENGTH), n)
@@ -303,6 +316,11 @@ def _inside(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of slices that begin at ``start`` and have ``size`` entries, one after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _answers(row: dict, ranges: int) -> dict[int, np.ndarray]:
     return {a["range"]: a["bits"] for a in row["answers"] or []}
 
@@ -317,15 +335,17 @@ def repeated_windows(held: DataFrame, ranges: int, buckets: int) -> DataFrame:
                 _, _, one = block.texts(block.shared(ranges, _answers(row, ranges)))
                 bucket = part_of(block.hash[one], buckets)
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(one) else np.zeros(0, int)
+                sizes = block.high[one] + LENGTH - block.low[one]
+                texts, begin = gathered(block.data, block.low[one], sizes).tobytes(), np.append(0, np.cumsum(sizes))
                 out: dict[str, list] = {"bucket": [], "block": [], "ids": [], "lengths": [], "parts": [], "texts": []}
                 for a, b in zip(edges, [*edges[1:], len(one)], strict=False):
                     runs = one[a:b]
                     out["bucket"].append(int(bucket[a]))
                     out["block"].append(row["block"])
                     out["ids"].append(squeeze(block.ids[block.run_doc[runs]]))
-                    out["lengths"].append(squeeze((block.high[runs] + LENGTH - block.low[runs]).astype(np.uint8)))
-                    out["parts"].append(squeeze((block.hash[runs] >> np.uint64(16)).astype(np.uint8) % PARTS))
-                    out["texts"].append(zstandard.compress(b"".join(block.data[x:y].tobytes() for x, y in zip(block.low[runs], block.high[runs] + LENGTH, strict=True)), 3))
+                    out["lengths"].append(squeeze(sizes[a:b].astype(np.uint8)))
+                    out["parts"].append(squeeze((block.hash[runs] >> np.uint64(16)).astype(np.uint8)))
+                    out["texts"].append(zstandard.compress(texts[begin[a] : begin[b]], 3))
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("parts", pa.binary()), ("texts", pa.binary())]))
 
     def sort(table: pa.Table) -> pa.Table:
@@ -336,12 +356,15 @@ def repeated_windows(held: DataFrame, ranges: int, buckets: int) -> DataFrame:
         size = np.concatenate(lengths)
         start, first = np.cumsum(size) - size, np.cumsum(size - LENGTH + 1) - (size - LENGTH + 1)
         hit = np.zeros(int((size - LENGTH + 1).sum()), bool)
-        for part in range(PARTS):  # equal windows have one anchor, so they are in one part
-            own = np.flatnonzero(parts == part)
+        some = min(PARTS, -(-len(texts) // PART_BYTES))
+        parts = parts.astype(np.int64) * some // PARTS
+        order = np.argsort(parts, kind="stable")
+        edges = np.searchsorted(parts[order], np.arange(some + 1))
+        for a, b in zip(edges, edges[1:], strict=False):  # equal windows have one anchor, so they are in one part
+            own = order[a:b]
             if len(own):
-                windows = size[own] - LENGTH + 1
-                some = decide(gathered(texts, start[own], size[own]), ids[own], size[own])
-                hit[gathered(np.arange(len(hit)), first[own], windows)] = some
+                spot = _places(first[own], size[own] - LENGTH + 1)
+                hit[spot] = decide(gathered(texts, start[own], size[own]), ids[own], size[own])
         ends = np.cumsum([0, *(int((x - LENGTH + 1).sum()) for x in lengths)])
         bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
@@ -357,20 +380,19 @@ def removed(block: Block, shared: np.ndarray, buckets: int, flags: dict[int, byt
     cover = np.zeros(len(block.data) + 1, np.int64)
     if len(at):
         count = block.high[one] - block.low[one] + 1
-        bucket = part_of(block.hash[one], buckets)
         hit = np.zeros(int(count.sum()), bool)
         first = np.cumsum(count) - count
+        # The texts lie in order of bucket, so the windows of each bucket are one slice.
+        cuts = np.append(first, len(hit))[np.searchsorted(part_of(block.hash[one], buckets), np.arange(buckets + 1))]
         for k, packed in flags.items():
-            inside = np.repeat(bucket == k, count)
-            hit[inside] = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(inside.sum())).astype(bool)
+            hit[cuts[k] : cuts[k + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(cuts[k + 1] - cuts[k]))
         size = count[which]
-        spot = np.repeat(first[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        spot = _places(first[which], size)
         own = block.ids[block.run_doc[at]]
         # A larger id than the smallest of the block with this text loses all its windows.
         gone = hit[spot] | np.repeat(own > block.ids[block.run_doc[one]][which], size)
-        start = (np.repeat(block.low[at] - (np.cumsum(size) - size), size) + np.arange(size.sum()))[gone]
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + LENGTH, -1)
+        start = _places(block.low[at], size)[gone]
+        cover += np.bincount(start, minlength=len(cover)) - np.bincount(start + LENGTH, minlength=len(cover))
     return np.cumsum(cover[:-1]) > 0
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -85,3 +86,65 @@ def test_anchors_are_dealt_evenly():
     block = suffix_dedup.Block(data, np.arange(40), np.arange(1, 41) * 10_000)
     held = np.bincount(suffix_dedup.part_of(block.hash, 211), minlength=211)
     assert len(block.hash) > 10_000 and held.max() <= 1.5 * held.mean()
+
+
+def test_answers_are_read_once_however_many_parts():
+    """What comes back from ranges and buckets is laid by slices: a pass over the block for each of them took seconds."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 200_000).astype(np.uint8)
+    block = suffix_dedup.Block(np.concatenate([passage, passage]), np.arange(40), np.arange(1, 41) * 10_000)
+    names, parts = np.unique(block.hash), 20_000
+    of = suffix_dedup.part_of(names, parts)
+    low = np.lexsort((names & suffix_dedup.HALF, of))
+    elsewhere = rng.random(len(names)) < 0.5
+    answers = {int(k): np.packbits(elsewhere[low][of[low] == k]).tobytes() for k in np.unique(of)}
+    begun = time.process_time()
+    shared = block.shared(parts, answers)
+    at, which, one = block.texts(shared)
+    bucket, count = suffix_dedup.part_of(block.hash[one], parts), block.high[one] - block.low[one] + 1
+    hit = rng.random(int(count.sum())) < 0.3
+    ends = np.cumsum(count)
+    flags = {int(k): np.packbits(np.concatenate([hit[ends[n] - count[n] : ends[n]] for n in np.flatnonzero(bucket == k)])).tobytes() for k in np.unique(bucket)}
+    took = time.process_time() - begun
+    begun = time.process_time()
+    gone = suffix_dedup.removed(block, shared, parts, flags)
+    assert time.process_time() - begun < 0.5 and took < 20
+    twice = np.unique(block.hash, return_counts=True)[1] > 1
+    assert (shared == (elsewhere | twice)[np.searchsorted(names, block.hash)]).all()
+    expected = np.zeros(len(block.data), bool)
+    for run, text in zip(at, which, strict=True):
+        later = block.ids[block.run_doc[run]] > block.ids[block.run_doc[one[text]]]
+        for n in range(count[text]):
+            if later or hit[ends[text] - count[text] + n]:
+                expected[block.low[run] + n : block.low[run] + n + 50] = True
+    assert (gone == expected).all()
+
+
+def test_windows_have_the_anchor_of_their_smallest_hash():
+    """Each window of a text is in one run, and equal windows in runs of one hash."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(97, 100, 300).astype(np.uint8)
+    sizes = [300, 0, 49, 50, 3, 300, 120]
+    texts = [passage, passage[:0], passage[:49], passage[:50], passage[:3], passage, passage[100:220]]
+    block = suffix_dedup.Block(np.concatenate(texts), np.arange(7), np.cumsum(sizes))
+    seen: dict[bytes, int] = {}
+    found = []
+    for low, high, doc, name in zip(block.low, block.high, block.run_doc, block.hash, strict=True):
+        for at in range(low, high + 1):
+            found.append((int(doc), int(at)))
+            assert seen.setdefault(block.data[at : at + 50].tobytes(), int(name)) == int(name)
+    begin = np.cumsum(sizes) - sizes
+    assert found == [(doc, int(begin[doc]) + at) for doc, size in enumerate(sizes) for at in range(size - 49)]
+
+
+def test_only_windows_that_meet_again_are_sorted(monkeypatch):
+    asked = []
+    plain = suffix_dedup.sorted_suffixes
+    monkeypatch.setattr(suffix_dedup, "sorted_suffixes", lambda data, end, wanted: asked.append(len(wanted)) or plain(data, end, wanted))
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(97, 123, 70).astype(np.uint8) for _ in range(100)]
+    texts += [texts[0][5:65], texts[1]]
+    ids, lengths = np.arange(102), np.array([len(t) for t in texts])
+    hit = suffix_dedup.decide(np.concatenate(texts), ids, lengths)
+    expected = np.concatenate([np.full(n - 49, at >= 100) for at, n in enumerate(lengths)])
+    assert (hit == expected).all() and asked == [22]  # 11 windows of the first text and as many of its part
