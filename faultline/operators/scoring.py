@@ -12,6 +12,8 @@ from faultline import constants as K
 from faultline.functions.scalar import floor_at_zero, ratio
 
 SPEC_COLUMNS = tuple(K.ENVELOPE_DEFAULTS)
+#: What of a reading its grade follows from.
+READING_COLUMNS = ("temp_c", "load_pct", "vibration_mm_s", "oil_pressure_kpa")
 
 
 def apply_envelope(df: DataFrame) -> DataFrame:

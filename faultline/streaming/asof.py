@@ -19,10 +19,9 @@ class AsOf(InOrder):
     """Memory holds the one version in force at the watermark; none after a delete."""
 
     def __init__(self, input_schema: T.StructType, payload: Sequence[str], order: list[str]):
-        memory = T.StructType([f for f in input_schema.fields if f.name in payload])
-        super().__init__(input_schema, memory, input_schema, order)
+        super().__init__(input_schema, input_schema, order)
         self.side, self.op = input_schema.names.index(_SIDE), input_schema.names.index(OP_COLUMN)
-        self.payload = [input_schema.names.index(c) for c in memory.names]
+        self.payload = [n for n, c in enumerate(input_schema.names) if c in payload]
 
     def on_rows(self, key: tuple, rows: list[tuple], memory: list[tuple], watermark_us: int):
         out = []

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +24,15 @@ NO_WATERMARK = -(2**62)
 SHIFT_US = 62_135_596_800_000_000
 #: Waiting rows lie in state in buckets of so much event time.
 BUCKET_US = 900_000_000
-#: Buckets that a batch opens and that hold few rows are put together up to so many, since each costs a call.
+#: So many waiting rows of a key lie beside its memory and in no bucket. Buckets that a batch opens and that hold few
+#: rows are put together up to so many. Each bucket costs calls to the state.
 PACKED_ROWS = 64
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 _BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
-_INDEX = T.StructType([T.StructField("buckets", T.ArrayType(T.LongType())), T.StructField("firsts", T.ArrayType(T.LongType()))])
+# State holds packed values: the engine would turn every cell of a row into an object of its own and back.
+_ROWS = T.StructType([T.StructField("rows", T.ArrayType(T.BinaryType()))])
+_PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -38,7 +43,8 @@ def use_rocksdb(spark: SparkSession) -> None:
 class InOrder(StatefulProcessor):
     """Hands a subclass each key's rows in event-time order, once the watermark has reached them.
 
-    Rows wait in state, in buckets of event time, sparse ones packed: a batch reads and writes the buckets that
+    A few waiting rows lie in one value with the memory, so that a key costs a batch one read and one write. More wait
+    in buckets of event time, sparse ones packed: a batch reads and writes the buckets that
     are due and those that it adds to, however many rows wait in others. The engine drops
     rows that an earlier watermark has reached; whatever it lets pass can still be put in
     order, because a batch releases only up to its own watermark. With ``late_rows`` the
@@ -50,10 +56,8 @@ class InOrder(StatefulProcessor):
 
     bucket_us = BUCKET_US
 
-    def __init__(
-        self, input_schema: T.StructType, memory_schema: T.StructType, output_schema: T.StructType, order: list[str]
-    ):
-        self.input_schema, self.memory_schema, self.output_schema = input_schema, memory_schema, output_schema
+    def __init__(self, input_schema: T.StructType, output_schema: T.StructType, order: list[str]):
+        self.input_schema, self.output_schema = input_schema, output_schema
         self.time = input_schema.names.index(TIME)
         self.beat = input_schema.names.index(BEAT) if BEAT in input_schema.names else None
         self.order = [input_schema.names.index(c) for c in order]
@@ -81,18 +85,18 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        rows = T.StructType([T.StructField("rows", T.ArrayType(self.input_schema))])
-        self.pending = handle.getMapState("pending", _BUCKET, rows)
-        self.index = handle.getValueState("buckets", _INDEX)
-        self.memory = handle.getListState("memory", self.memory_schema)
+        self.pending = handle.getMapState("pending", _BUCKET, _ROWS)
+        #: While rows wait all but the buckets lies in the one, otherwise in the other, if there is any.
+        self.waiting = handle.getValueState("buckets", _PACKED)
+        self.resting = handle.getValueState("memory", _PACKED)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         watermark = _watermark(timerValues)
         at = None
         arrived = []
         for row in rows:
-            at = at or [row.__fields__.index(c) for c in self.input_schema.names]
-            arrived.append(tuple(row[i] for i in at))
+            at = at or itemgetter(*[row.__fields__.index(c) for c in self.input_schema.names])
+            arrived.append(at(tuple(row)))
         if self.beat is not None:
             arrived = [r for r in arrived if not r[self.beat]]
         if self.late_rows:
@@ -111,52 +115,76 @@ class InOrder(StatefulProcessor):
         return [(False, 0) if row[i] is None else (True, row[i]) for i in self.order]
 
     def _drain(self, key: tuple, arrived: list[tuple], watermark: int) -> Iterator[Row]:
-        held = self.index.get() if self.index.exists() else None
-        firsts = dict(zip(held[0], held[1], strict=True)) if held else {}
-        before = dict(firsts)
-        due, added = [], {}
-        for row in arrived:
-            if row[self.time] <= watermark:
-                due.append(row)
-            else:
+        held = self.waiting.get()
+        waits = held is not None
+        held = held or self.resting.get()
+        before = held and bytes(held[0])
+        firsts, few, memory, timer = pickle.loads(before) if held else ({}, [], [], None)
+        early = [row for row in arrived if row[self.time] <= watermark]
+        later = [row for row in few if row[self.time] > watermark] + [row for row in arrived if row[self.time] > watermark]
+        few, soon = later, [row for row in few if row[self.time] <= watermark]
+        added = {}
+        if len(later) > PACKED_ROWS:
+            for row in later:
                 added.setdefault(row[self.time] // self.bucket_us, []).append(row)
-        added = _packed(added, firsts)
+            few, added = [], _packed(added, firsts)
         reached = [bucket for bucket, first in firsts.items() if first <= watermark]
+        due = early
         for bucket in {*reached, *added}:
             rows = self._bucket(bucket) if bucket in firsts else []
             due += [r for r in rows if r[self.time] <= watermark]
-            later = [r for r in rows if r[self.time] > watermark] + added.get(bucket, [])
-            if later:
-                self.pending.updateValue((bucket,), (later,))
-                firsts[bucket] = min(r[self.time] for r in later)
+            stay = [r for r in rows if r[self.time] > watermark] + added.get(bucket, [])
+            if stay:
+                self.pending.updateValue((bucket,), ([_pack(r) for r in stay],))
+                firsts[bucket] = min(r[self.time] for r in stay)
             else:
                 self.pending.removeKey((bucket,))
                 del firsts[bucket]
-        if firsts != before:
-            if firsts:
-                self.index.update((list(firsts), list(firsts.values())))
-            else:
-                self.index.clear()
-        memory = [tuple(m) for m in self.memory.get()] if self.memory.exists() else []
-        out, kept = self.on_rows(key, sorted(due, key=self._rank), memory, watermark)
-        if kept != memory:
-            _store(self.memory, kept)
-        wakes = [w for w in (self.wake_at(kept), min(firsts.values(), default=None)) if w is not None]
-        if wakes:
-            # Timers expire below the watermark, and a row is due as soon as the watermark is its time.
-            self.handle.registerTimer(-(-(min(wakes) + SHIFT_US) // 1000) - 1)
+        due += soon
+        wake = self.wake_at(memory)
+        out = []
+        if due or (wake is not None and wake <= watermark):
+            out, memory = self.on_rows(key, sorted(due, key=self._rank), memory, watermark)
+            wake = self.wake_at(memory)
+        wakes = [wake, min(firsts.values(), default=None), min((r[self.time] for r in few), default=None)]
+        timer = self._wake([w for w in wakes if w is not None], timer, watermark)
+        self._keep(firsts, few, memory, timer, before, waits)
         yield from self._rows(out, False)
 
+    def _wake(self, wakes: list[int], timer: int | None, watermark: int) -> int | None:
+        """The timer that a key waits for; one that is registered and still ahead is not registered again."""
+        if not wakes:
+            return None
+        # Timers expire below the watermark, and a row is due as soon as the watermark is its time.
+        at = -(-(min(wakes) + SHIFT_US) // 1000) - 1
+        if at != timer or at * 1000 < watermark + SHIFT_US:
+            self.handle.registerTimer(at)
+        return at
+
+    def _keep(self, firsts: dict, few: list, memory: list, timer: int | None, before: bytes | None, waits: bool) -> None:
+        packed = _pack((firsts, few, memory, timer))
+        if firsts or few:
+            if not waits or packed != before:
+                self.waiting.update((packed,))
+            return
+        if waits:
+            self.waiting.clear()
+        if memory:
+            if waits or packed != before:
+                self.resting.update((packed,))
+        elif waits or before:
+            self.resting.clear()
+
     def _bucket(self, bucket: int) -> list[tuple]:
-        return [tuple(r) for r in self.pending.getValue((bucket,))[0]]
+        return [pickle.loads(r) for r in self.pending.getValue((bucket,))[0]]
 
     def _rows(self, out: list[tuple], late: bool) -> Iterator[Row]:
-        named = Row(*self.emitted_schema().names)
+        names = self.emitted_schema().names
         at = self.output_schema.names.index(TIME) if self.chained else 0
         for values in out:
             extra = [late] if self.late_rows else []
             extra += [_EPOCH + timedelta(microseconds=values[at] + SHIFT_US)] if self.chained else []
-            yield named(*values, *extra)
+            yield _flat(names, (*values, *extra))
 
 
 def _watermark(timer_values) -> int:
@@ -178,11 +206,21 @@ def _packed(added: dict[int, list[tuple]], held: dict[int, int]) -> dict[int, li
     return out
 
 
-def _store(state, rows: list[tuple]) -> None:
-    if rows:
-        state.put(rows)
-    elif state.exists():
-        state.clear()
+class _Flat(Row):
+    """A row without rows inside, which need not be looked for when it is written."""
+
+    def asDict(self, recursive: bool = False) -> dict:
+        return dict(zip(self.__fields__, self, strict=True))
+
+
+def _flat(names: list[str], values: tuple) -> Row:
+    row = tuple.__new__(_Flat, values)
+    row.__fields__ = names
+    return row
+
+
+def _pack(value: tuple) -> bytes:
+    return pickle.dumps(value, 5)
 
 
 def in_order(stream: DataFrame, key: str, processor: InOrder, *, late_rows: bool = False, chained: bool = False) -> DataFrame:

@@ -10,13 +10,6 @@ from faultline import constants as K
 from faultline.streaming.ordered import TIME, InOrder, in_order, retimed, timed
 
 _HEALTHY = "healthy"
-_ACTION = T.StructType(
-    [
-        T.StructField("incident_id", T.StringType()),
-        T.StructField("action_type", T.StringType()),
-        T.StructField("act_us", T.LongType()),
-    ]
-)
 _INPUT = T.StructType(
     [
         T.StructField("asset_id", T.StringType()),
@@ -38,10 +31,10 @@ _OUTPUT = T.StructType(
 
 
 class Recovery(InOrder):
-    """Memory holds open actions; each leaves on its recovery or when its window closes."""
+    """Memory holds open actions (incident, type, time); each leaves on its recovery or when its window closes."""
 
     def __init__(self, window_us: int, report_unresolved: bool):
-        super().__init__(_INPUT, _ACTION, _OUTPUT, [TIME, _HEALTHY, "incident_id"])
+        super().__init__(_INPUT, _OUTPUT, [TIME, _HEALTHY, "incident_id"])
         self.window_us, self.report_unresolved = window_us, report_unresolved
 
     def wake_at(self, memory: list[tuple]) -> int | None:

@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 from faultline import constants as K
 from faultline.streaming.ordered import LATE, TIME, InOrder, in_order, state_schema, timed
 
-_MEMORY = T.StructType([T.StructField("value", T.DoubleType())])
-
 
 def zscore(frame: list[float | None]) -> float | None:
     """Deviation of the frame's last value from its mean in population std units, 0 without spread.
@@ -38,7 +36,7 @@ class RollingScore(InOrder):
 
     def __init__(self, input_schema: T.StructType, value: str, output: str, preceding: int, order: list[str]):
         scored = T.StructType([*input_schema.fields, T.StructField(output, T.DoubleType())])
-        super().__init__(input_schema, _MEMORY, scored, order)
+        super().__init__(input_schema, scored, order)
         self.value, self.preceding = input_schema.names.index(value), preceding
 
     def on_rows(self, key: tuple, rows: list[tuple], memory: list[tuple], watermark_us: int):

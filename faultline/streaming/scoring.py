@@ -16,7 +16,7 @@ from faultline.operators.latest import DELETE, OP_COLUMN
 from faultline.streaming.ordered import BEAT, EVENT_TS, LATE, TIME, InOrder, in_order, state_schema, timed
 from faultline.streaming.rolling import zscore
 
-_SIDE, _VALUE, _TIE = "_side", "_value", "_tie_"
+_SIDE, _TIE = "_side", "_tie_"
 
 
 @dataclass(frozen=True)
@@ -44,9 +44,8 @@ class VersionedScore(InOrder):
         hidden = {_SIDE, OP_COLUMN, BEAT, *added}
         shown = [f for f in input_schema.fields if f.name not in hidden and not f.name.startswith(_TIE)]
         kept = [input_schema[c] for c in added]
-        memory = T.StructType([T.StructField(_SIDE, T.IntegerType()), T.StructField(_VALUE, T.DoubleType()), *kept])
         scored = T.StructType([*shown, T.StructField(output, T.DoubleType()), *kept])
-        super().__init__(input_schema, memory, scored, order)
+        super().__init__(input_schema, scored, order)
         names = input_schema.names
         self.side, self.op, self.value = names.index(_SIDE), names.index(OP_COLUMN), names.index(value)
         self.shown = [names.index(f.name) for f in shown]

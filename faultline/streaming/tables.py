@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from faultline import constants as K
-from faultline.operators import incidents, planning, recovery
+from faultline.operators import incidents, planning, recovery, scoring
 from faultline.plans import pipeline
 from faultline.session import materialize, stage_scope
 from faultline.sources.sinks import KeyedTable, fan_out, upsert_stream
@@ -54,6 +54,7 @@ def resolve_stream(
     reading alone, so a replayed batch writes it again unchanged.
     """
     versions = spec_and_registry(specs, registry)
+    telemetry = telemetry.select("asset_id", "event_id", "ts", *scoring.READING_COLUMNS)
     graded = pipeline.grade(versioned_score_stream(telemetry, versions, delay=delay, chained=True))
     found = recovery_chain(actions, graded, delay=delay, window_seconds=window_seconds)
     return upsert_stream(recovery.resolve(found), resolved, checkpoint)

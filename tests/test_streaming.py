@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import UTC
 
 import pytest
@@ -422,6 +423,61 @@ def test_one_row_among_many_waiting_ones_writes_only_its_bucket():
     assert not stub.states["pending"] and stub.states["buckets"].held is None
 
 
+class Counted(Stub):
+    """As ``Stub``, and counts every call to the state."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, Counting(StubMap(self), self))
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, Counting(StubValue(self), self))
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+        super().registerTimer(at)
+
+
+class Counting:
+    def __init__(self, state, stub):
+        self.state, self.stub = state, stub
+
+    def __getattr__(self, name):
+        self.stub.calls += 1
+        return getattr(self.state, name)
+
+
+def test_a_key_with_few_waiting_rows_costs_a_batch_few_calls_and_keeps_its_order():
+    schema = T.StructType([T.StructField("asset_id", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("temp_c", T.DoubleType()), T.StructField(TIME, T.LongType())])
+    processor = RollingScore(schema, "temp_c", "z", 30, [TIME, "event_id"])
+    stub = Counted()
+    processor.init(stub)
+    day = 86_400 * 1_000_000
+    named = Row("asset_id", "event_id", "temp_c", TIME)
+    rng = random.Random(5)
+    times = [rng.randrange(40 * day) for _ in range(120)]
+    frame, want = [], []
+    for n in sorted(range(120), key=lambda n: (times[n], n)):
+        frame = [*frame, float(n % 7)][-31:]
+        want.append((n, zscore(frame)))
+    got = []
+    for step in range(45):
+        stub.watermark, stub.calls = ((step - 8) * day + SHIFT_US) // 1000, 0
+        rows = [named("A", n, float(n % 7), at) for n, at in enumerate(times) if step * day <= at < (step + 1) * day]
+        got += processor.handleInputRows(("A",), iter(rows), stub)
+        assert stub.calls <= 5
+        stub.calls, again = 0, list(processor.handleExpiredTimer(("A",), stub, None))
+        assert not again and stub.calls <= 2
+    stub.watermark = (100 * day + SHIFT_US) // 1000
+    got += processor.handleExpiredTimer(("A",), stub, None)
+    assert [(r.event_id, r.z) for r in got] == want
+
+
 def test_plan_stream_leaves_no_stages(spark, sf, tmp_path):
     from faultline.session import ensure_checkpoint_dir
 
