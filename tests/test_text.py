@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,41 @@ def test_vector_search_sparse_equals_dense(spark):
     assert found[0] == found[1]
 
 
+def test_many_queries_are_asked_in_rounds_that_copy_no_vector(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 30, rng.integers(0, 12))) for _ in range(150)]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "id long, t string").select("id", hashing.sparse_hash_vector(F.col("t"), 40).alias("s"))
+    q = df.filter("id < 60").select(F.col("id").alias("q"), F.col("s").alias("sq"))
+    options = {"query_id": "q", "corpus_id": "id", "k": 4, "dim": 40, "query_vector": "sq", "vector": "s"}
+    many = retrieval.vector_search(q, df, broadcast_values=300, block_rows=8, **options)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") > 1 and "Generate" not in plan and "CoGroup" not in plan
+    dense = np.zeros((150, 40))
+    for row in df.collect():
+        dense[row.id, row.s.at] = row.s.w
+    pairs = list(enumerate(dense))
+    assert {(r.q, r.rank, r.id) for r in many.collect()} == brute_top(pairs[:60], pairs, 4)
+
+
+def test_rows_that_cannot_beat_the_best_are_not_ranked(monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = rng.integers(-2, 3, (4000, 5)).astype(float)
+    ranked, first = [], retrieval._first
+    monkeypatch.setattr(retrieval, "_first", lambda scores, k: ranked.append(scores.size) or first(scores, k))
+    queries = np.concatenate([rng.integers(-2, 3, (40, 5)).astype(float), rng.normal(size=(40, 5))])
+    best = retrieval._Best(retrieval._Asked(pd.DataFrame({"_query": range(80), "_at": None, "_values": list(queries)}), 5), 3, 5, [])
+    ids = rng.permutation(4000)
+    for start in range(0, 4000, 100):
+        part = slice(start, start + 100)
+        nothing = pa.nulls(100, pa.list_(pa.int32()))
+        best.add(pa.RecordBatch.from_pydict({"_id": pa.array(ids[part]), "_at": nothing, "_values": pa.array(rows[part].tolist())}))
+    best.merge()
+    got = best.held.to_pandas()
+    got["rank"] = got.groupby("_at").cumcount() + 1
+    assert sum(ranked) < 80 * 4000 / 4
+    assert {(q, r, i) for q, r, i in zip(got["_at"], got["rank"], got["_id"], strict=True)} == brute_top(list(enumerate(queries)), list(zip(ids, rows, strict=True)), 3)
+
+
 def test_vector_search_of_nothing(spark):
     c = spark.createDataFrame([(1, [1.0])], "id int, embedding array<float>")
     q = spark.createDataFrame([], "q string, qvec array<float>")
